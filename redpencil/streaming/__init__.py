@@ -1,0 +1 @@
+"""Empty on purpose: every input is a finite file and no query keeps a watermark, a window or state."""
