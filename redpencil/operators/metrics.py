@@ -159,7 +159,7 @@ def rubric_exam_pivot(df: DataFrame, exams: Sequence[str] | None = None) -> Data
     Exams become columns, so Spark's own limit on pivot columns applies when they are not given.
     """
     grouped = df.groupBy("rubric_item").pivot("exam_id", list(exams) if exams else None)
-    return grouped.agg(F.count("*")).na.fill(0).orderBy("rubric_item")
+    return grouped.agg(F.count(F.lit(1))).na.fill(0).orderBy("rubric_item")
 
 
 def group_comparison(df: DataFrame, group_col: str, missing_label: str = "Unassigned") -> DataFrame:
