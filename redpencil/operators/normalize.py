@@ -9,7 +9,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from redpencil.functions.text import clean, collapse, is_blank, to_number
+from redpencil.functions.text import clean, collapse, to_number
 from redpencil.schemas import DEDUCTION_COLUMNS, DEDUCTION_IDS, DEDUCTION_OPTIONAL, DEDUCTION_REQUIRED
 
 # The header keywords tried for each field, in this order.
@@ -133,14 +133,14 @@ def _quoted(column: str) -> str:
 
 
 def _problems(checked: list[str]) -> list[tuple[Column, str]]:
-    """Row tests and their messages, in the order in which they are reported."""
+    """Tests on the cleaned columns and their messages, in the order in which they are reported."""
     tests = []
     for c in checked:
         if c == "points_lost":
             tests.append((F.col(c).isNull(), "points_lost has non-numeric values"))
             tests.append((F.col(c) < 0, "points_lost must be non-negative"))
         else:
-            tests.append((is_blank(F.col(c)), f"Required values are missing in '{c}'"))
+            tests.append((F.col(c) == "", f"Required values are missing in '{c}'"))
     return tests
 
 
@@ -148,9 +148,11 @@ def _checked(df: DataFrame, columns: dict[str, Column], order: list[str], check:
     projected = df.select(*[columns[c].alias(c) for c in DEDUCTION_COLUMNS])
     tests = _problems(order)
     if check == "inline":
-        problem = F.coalesce(*[F.when(bad, F.lit(message)) for bad, message in tests])
         # The test sits in a filter, so no pruning of unused columns can skip it.
-        return projected.filter(F.when(problem.isNull(), F.lit(True)).otherwise(F.raise_error(problem).cast("boolean")))
+        passed = F.lit(True)
+        for bad, message in reversed(tests):
+            passed = F.when(bad, F.raise_error(F.lit(message)).cast("boolean")).otherwise(passed)
+        return projected.filter(passed)
     if check != "scan":
         raise ValueError("check must be 'scan' or 'inline'")
     counts = projected.agg(*[F.count_if(bad).alias(f"p{i}") for i, (bad, _) in enumerate(tests)]).first()

@@ -16,7 +16,7 @@ from redpencil.functions.exams import cohort
 from redpencil.functions.text import clean, one_decimal, percent
 from redpencil.operators.cohorts import concept_persistence_rows, persistence_by
 from redpencil.operators.metrics import errors_by_item
-from redpencil.operators.shared import BROADCAST_ROWS
+from redpencil.operators.shared import BROADCAST_ROWS, materialize
 from redpencil.schemas import UNMAPPED, empty
 
 # The persistence rate from which a concept is taught again, and the two actions.
@@ -65,7 +65,8 @@ def recommendations(
     ranked = _concept_rows(data)
     if allowed is not None:
         ranked = ranked.filter(F.col("concept").isin([a.strip() for a in allowed if str(a).strip()]))
-    top = (
+    # Used twice below, and no larger than top_n.
+    top = materialize(
         ranked.withColumn("impact_score", impact_score()).orderBy(F.desc("impact_score"), "concept").limit(top_n)
     )
     names = top.select("concept")

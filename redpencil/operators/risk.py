@@ -19,7 +19,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from redpencil.functions.text import clean
-from redpencil.operators.trajectory import item_sittings, sittings
+from redpencil.operators.shared import materialize
+from redpencil.operators.trajectory import sittings
 
 # Model settings, confidence thresholds and the messages for data that cannot be fitted.
 FEATURES = ["prior_seen", "prior_concept_points"]
@@ -50,119 +51,147 @@ class RiskModel:
         return 1 / (1 + F.exp(-margin))
 
 
+def risk_history(df: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
+    """What all frames are made from: points and rows per (student, exam, item, concept), computed once.
+
+    ``seq`` is the place of the exam among the student's own, ``last`` the last such place.
+    """
+    concept = clean(F.col("concept")) if "concept" in df.columns else F.lit("")
+    facts = (
+        df.select(
+            F.col("student_id").cast("string").alias("student_id"),
+            F.col("exam_id").cast("string").alias("exam_id"),
+            clean(F.col("rubric_item")).alias("rubric_item"),
+            concept.alias("concept"),
+            F.coalesce(F.col("points_lost").cast("double"), F.lit(0.0)).alias("points_lost"),
+        )
+        .groupBy("student_id", "exam_id", "rubric_item", "concept")
+        .agg(F.sum("points_lost").alias("points"), F.count("*").alias("n"))
+    )
+    return materialize(facts.join(sittings(facts, order), ["student_id", "exam_id"]))
+
+
 def item_concept_mode(df: DataFrame) -> DataFrame:
     """The most frequent concept of each rubric item, the smallest one on ties."""
-    counts = _rows(df).groupBy("rubric_item", "concept").agg(F.count("*").alias("n"))
-    best = F.min(F.struct((-F.col("n")).alias("_n"), F.col("concept")))
-    return counts.groupBy("rubric_item").agg(best["concept"].alias("concept"))
+    concept = clean(F.col("concept")).alias("concept")
+    items = df.select(clean(F.col("rubric_item")).alias("rubric_item"), concept)
+    return _modes(items.groupBy("rubric_item", "concept").agg(F.count("*").alias("n")))
 
 
 def risk_train(df: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
     """The full training frame: every item for each exam of a student after the first one."""
-    targets = sittings(df, order).filter(F.col("seq") > 0)
-    full = _expand(item_concept_mode(df), df, order, targets, "train")
+    history = risk_history(df, order)
+    full = _expand(_catalogue(history), history, "train")
     return full.select("student_id", "exam_id", "rubric_item", *FEATURES, "label")
 
 
 def risk_score_frame(df: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
     """The full scoring frame: every item for each student, as things stood before the student's last exam."""
-    return _score_frame(df, order, None)
+    return _score_frame(risk_history(df, order))
 
 
 def risk_train_compact(df: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
     """The training frame with unlisted items counted in ``n_items`` (their rubric_item is null)."""
-    return _compact(df, order, "train")
+    return _compact(risk_history(df, order), "train")
 
 
 def risk_score_compact(df: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
-    return _compact(df, order, "score").drop("label")
+    return _compact(risk_history(df, order), "score").drop("label")
 
 
 def risk_train_weights(df: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
     """How many training rows share each combination of features and label."""
-    return risk_train_compact(df, order).groupBy(*FEATURES, "label").agg(F.sum("n_items").alias("n_rows"))
+    return _weights(risk_history(df, order))
 
 
 def fit_risk_model(df: DataFrame, order: Sequence[str] | None = None) -> RiskModel:
-    """Fit on the distinct feature combinations, weighted by their row counts.
-
-    The penalty is that of a unit-strength L2 term next to the summed log loss; Spark averages the loss, so
-    the parameter is one over the number of rows.
-    """
-    weights = risk_train_weights(df, order).cache()
-    try:
-        size = weights.agg(F.sum("n_rows").alias("rows"), F.count_distinct("label").alias("classes")).first()
-        if not size["rows"]:
-            return RiskModel(None, NO_HISTORY)
-        if size["classes"] < 2:
-            return RiskModel(None, ONE_CLASS)
-        table = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(weights)
-        model = LogisticRegression(
-            labelCol="label",
-            weightCol="n_rows",
-            maxIter=ITERATIONS,
-            regParam=1.0 / size["rows"],
-            elasticNetParam=0.0,
-            standardization=False,
-            tol=1e-9,
-        ).fit(table.withColumn("n_rows", F.col("n_rows").cast("double")))
-        return RiskModel(model, None)
-    finally:
-        weights.unpersist()
+    return _fit(risk_history(df, order))
 
 
 def risk_coefficients(df: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
     return fit_risk_model(df, order).coefficients(df)
 
 
-def risk_scores(df: DataFrame, order: Sequence[str] | None = None, model: RiskModel | None = None) -> DataFrame:
+def risk_scores(df: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
     """The full scoring frame with probability and confidence; no rows when no model can be fitted."""
-    model = model or fit_risk_model(df, order)
-    return _scored(risk_score_frame(df, order), model)
+    history = risk_history(df, order)
+    return _scored(_score_frame(history), _fit(history))
 
 
-def top_risks(
-    df: DataFrame, order: Sequence[str] | None = None, n: int = 50, model: RiskModel | None = None
-) -> DataFrame:
+def top_risks(df: DataFrame, order: Sequence[str] | None = None, n: int = 50) -> DataFrame:
     """The n highest risks, probability rounded to 3 places, ties by student and item.
 
     The compact frame tells which students can be among them: the first n (probability, student) groups
     hold at least n rows. Only for those at most n students is the full frame made.
     """
-    model = model or fit_risk_model(df, order)
+    history = risk_history(df, order)
+    model = _fit(history)
     risk = F.bround("probability", 3)
     groups = (
-        _scored(risk_score_compact(df, order), model)
-        .groupBy(risk.alias("probability"), "student_id")
-        .agg(F.sum("n_items").alias("_n"))
+        _scored(_compact(history, "score"), model)
+        .select(risk.alias("probability"), "student_id")
+        .distinct()
         .orderBy(F.desc("probability"), "student_id")
         .limit(n)
     )
-    full = _scored(_score_frame(df, order, groups.select("student_id").distinct()), model)
-    return (
-        full.withColumn("probability", risk).orderBy(F.desc("probability"), "student_id", "rubric_item").limit(n)
-    )
+    students = materialize(groups.select("student_id").distinct())
+    full = _scored(_score_frame(history, students), model)
+    return full.withColumn("probability", risk).orderBy(F.desc("probability"), "student_id", "rubric_item").limit(n)
 
 
 def confidence(probability: Column) -> Column:
     return F.when(probability >= HIGH, "high").when(probability >= MEDIUM, "medium").otherwise("low")
 
 
+def _weights(history: DataFrame) -> DataFrame:
+    return _compact(history, "train").groupBy(*FEATURES, "label").agg(F.sum("n_items").alias("n_rows"))
+
+
+def _fit(history: DataFrame) -> RiskModel:
+    """Fit on the distinct feature combinations, weighted by their row counts.
+
+    The penalty is that of a unit-strength L2 term next to the summed log loss; Spark averages the loss, so
+    the parameter is one over the number of rows.
+    """
+    weights = materialize(_weights(history))
+    size = weights.agg(F.sum("n_rows").alias("rows"), F.count_distinct("label").alias("classes")).first()
+    if not size["rows"]:
+        return RiskModel(None, NO_HISTORY)
+    if size["classes"] < 2:
+        return RiskModel(None, ONE_CLASS)
+    table = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(weights)
+    model = LogisticRegression(
+        labelCol="label",
+        weightCol="n_rows",
+        maxIter=ITERATIONS,
+        regParam=1.0 / size["rows"],
+        elasticNetParam=0.0,
+        standardization=False,
+        tol=1e-9,
+    ).fit(table.withColumn("n_rows", F.col("n_rows").cast("double")))
+    return RiskModel(model, None)
+
+
 def _scored(frame: DataFrame, model: RiskModel) -> DataFrame:
     scored = frame.withColumn("probability", model.probability())
     scored = scored.withColumn("confidence", confidence(F.col("probability")))
     return scored if model.model is not None else scored.filter(F.lit(False))
 
 
-def _rows(df: DataFrame) -> DataFrame:
-    concept = clean(F.col("concept")) if "concept" in df.columns else F.lit("")
-    return df.select(
-        F.col("student_id").cast("string").alias("student_id"),
-        F.col("exam_id").cast("string").alias("exam_id"),
-        clean(F.col("rubric_item")).alias("rubric_item"),
-        concept.alias("concept"),
-        F.coalesce(F.col("points_lost").cast("double"), F.lit(0.0)).alias("points_lost"),
-    )
+def _modes(counts: DataFrame) -> DataFrame:
+    best = F.min(F.struct((-F.col("n")).alias("_n"), F.col("concept")))
+    return counts.groupBy("rubric_item").agg(best["concept"].alias("concept"))
+
+
+def _catalogue(history: DataFrame) -> DataFrame:
+    """Every rubric item with its most frequent concept."""
+    return _modes(history.groupBy("rubric_item", "concept").agg(F.sum("n").alias("n")))
+
+
+def _targets(history: DataFrame, which: str) -> DataFrame:
+    """The (student, exam) pairs that need rows."""
+    due = F.col("seq") > 0 if which == "train" else F.col("seq") == F.col("last")
+    return history.filter(due).select("student_id", "exam_id", "seq").distinct()
 
 
 def _span(first: Column, which: str) -> Column:
@@ -172,15 +201,13 @@ def _span(first: Column, which: str) -> Column:
     return F.when(low <= last, F.sequence(low, last))
 
 
-def _listed(df: DataFrame, order: Sequence[str] | None, which: str) -> DataFrame:
+def _listed(history: DataFrame, which: str) -> DataFrame:
     """Rows (student_id, seq, rubric_item, prior_seen, label) of the items a student has shown so far.
 
     ``at`` holds the exams in which the student showed the item, so it is no longer than the exam list.
     """
-    shown = (
-        item_sittings(df, order)
-        .groupBy("student_id", "rubric_item")
-        .agg(F.collect_set("seq").alias("at"), F.min("seq").alias("first"), F.max("last").alias("last"))
+    shown = history.groupBy("student_id", "rubric_item").agg(
+        F.collect_set("seq").alias("at"), F.min("seq").alias("first"), F.max("last").alias("last")
     )
     rows = shown.withColumn("target", F.explode(_span(F.col("first"), which)))
     return rows.select(
@@ -192,15 +219,13 @@ def _listed(df: DataFrame, order: Sequence[str] | None, which: str) -> DataFrame
     )
 
 
-def _concept_points(df: DataFrame, order: Sequence[str] | None, which: str) -> DataFrame:
+def _concept_points(history: DataFrame, which: str) -> DataFrame:
     """Rows (student_id, seq, concept, prior_concept_points): points lost in the concept before exam ``seq``."""
     own = W.partitionBy("student_id", "concept").orderBy("seq")
     totals = (
-        _rows(df)
-        .filter(F.col("concept") != "")
-        .groupBy("student_id", "exam_id", "concept")
-        .agg(F.sum("points_lost").alias("_points"))
-        .join(sittings(df, order), ["student_id", "exam_id"])
+        history.filter(F.col("concept") != "")
+        .groupBy("student_id", "concept", "seq")
+        .agg(F.sum("points").alias("_points"), F.max("last").alias("last"))
         .withColumn("prior_concept_points", F.sum("_points").over(own.rowsBetween(W.unboundedPreceding, 0)))
         .withColumn("_until", F.coalesce(F.lead("seq").over(own), F.col("last")))
     )
@@ -210,14 +235,14 @@ def _concept_points(df: DataFrame, order: Sequence[str] | None, which: str) -> D
     return rows.select("student_id", F.col("_target").alias("seq"), "concept", "prior_concept_points")
 
 
-def _compact(df: DataFrame, order: Sequence[str] | None, which: str) -> DataFrame:
+def _compact(history: DataFrame, which: str) -> DataFrame:
     at = ["student_id", "seq"]
-    catalogue = item_concept_mode(df)
+    catalogue = _catalogue(history)
     sizes = catalogue.groupBy("concept").agg(F.count("*").alias("_size"))
     n_items = catalogue.agg(F.count("*")).scalar()
-    states = _concept_points(df, order, which).join(sizes, "concept")
+    states = _concept_points(history, which).join(sizes, "concept")
     listed = (
-        _listed(df, order, which)
+        _listed(history, which)
         .join(catalogue, "rubric_item")
         .join(states.drop("_size"), [*at, "concept"], "left")
     )
@@ -229,8 +254,7 @@ def _compact(df: DataFrame, order: Sequence[str] | None, which: str) -> DataFram
     )
     covered = states.groupBy(*at).agg(F.sum("_size").alias("_covered"))
     outside = listed.filter(F.col("prior_concept_points").isNull()).groupBy(*at).agg(F.count("*").alias("_outside"))
-    due = F.col("seq") > 0 if which == "train" else F.col("seq") == F.col("last")
-    targets = sittings(df, order).filter(due).select("student_id", "exam_id", "seq")
+    targets = _targets(history, which)
     plain_rest = (
         targets.join(covered, at, "left")
         .join(outside, at, "left")
@@ -257,17 +281,13 @@ def _compact(df: DataFrame, order: Sequence[str] | None, which: str) -> DataFram
     return one_by_one.unionByName(rest).join(targets, at).drop("seq")
 
 
-def _score_frame(df: DataFrame, order: Sequence[str] | None, students: DataFrame | None) -> DataFrame:
+def _score_frame(history: DataFrame, students: DataFrame | None = None) -> DataFrame:
     """``students`` restricts the rows made; the item catalogue still comes from everybody."""
-    facts = df if students is None else df.join(students, "student_id", "left_semi")
-    targets = sittings(facts, order).filter(F.col("seq") == F.col("last"))
-    full = _expand(item_concept_mode(df), facts, order, targets, "score")
-    return full.select("student_id", "rubric_item", *FEATURES)
+    scope = history if students is None else history.join(students, "student_id", "left_semi")
+    return _expand(_catalogue(history), scope, "score").select("student_id", "rubric_item", *FEATURES)
 
 
-def _expand(
-    catalogue: DataFrame, df: DataFrame, order: Sequence[str] | None, targets: DataFrame, which: str
-) -> DataFrame:
+def _expand(catalogue: DataFrame, history: DataFrame, which: str) -> DataFrame:
     """One row per target (student, exam) and item, with features and label.
 
     Targets and items meet by an equi-join on (item block, spread), so the output is made by many tasks of
@@ -280,14 +300,14 @@ def _expand(
         .withColumn("_spread", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
     )
     spread_targets = (
-        targets.select("student_id", "exam_id", "seq")
+        _targets(history, which)
         .withColumn("_block", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .withColumn("_spread", F.pmod(F.xxhash64("student_id", "seq"), F.lit(SPREAD)).cast("int"))
     )
     grid = spread_targets.join(spread_items, ["_block", "_spread"])
     return (
-        grid.join(_listed(df, order, which), [*at, "rubric_item"], "left")
-        .join(_concept_points(df, order, which), [*at, "concept"], "left")
+        grid.join(_listed(history, which), [*at, "rubric_item"], "left")
+        .join(_concept_points(history, which), [*at, "concept"], "left")
         .select(
             "student_id",
             "exam_id",

@@ -9,6 +9,7 @@ with numpy into (left, right, n) partial counts, and only those are shuffled.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,6 @@ UNIT_ITEMS = 512
 PAIRS_AT_ONCE = 2_000_000
 DENSE_CELLS = 4_000_000
 
-PAIR_DDL = "rubric_item_a string, rubric_item_b string, jaccard double, corr double, cooccurrence bigint"
 CLUSTER_DDL = "label string, rubric_item string, size bigint, support_students bigint"
 
 
@@ -39,56 +39,72 @@ def incidence(df: DataFrame) -> DataFrame:
 
 def item_support(df: DataFrame, min_support: int = 2) -> DataFrame:
     """Rows (rubric_item, students) of the items that enough students have; none when fewer than two do."""
-    supported = _supported(df, min_support)
+    supported = _supported(incidence(df), min_support)
     return supported.filter(supported.limit(2).agg(F.count("*")).scalar() >= 2).orderBy("rubric_item")
 
 
+@dataclass(frozen=True)
+class Incidence:
+    """Numbered supported items (rubric_item, students, item_no) and who has them (unit, item_no, weight)."""
+
+    items: DataFrame
+    rows: DataFrame
+
+    def with_catalogue(self, first: int | None = None) -> DataFrame:
+        """The rows plus one weightless unit that has every item, or the first few: it adds pairs, not counts."""
+        items = self.items if first is None else self.items.filter(F.col("item_no") <= first)
+        return self.rows.unionByName(
+            items.select(F.lit(None).cast("string").alias("unit"), "item_no", F.lit(0).alias("weight"))
+        )
+
+
+def supported_incidence(df: DataFrame, min_support: int = 2) -> Incidence:
+    """The distinct incidence is computed once; item numbers follow the lexicographic order of the items."""
+    distinct = materialize(incidence(df))
+    items = ordinals(_supported(distinct, min_support), "rubric_item", "item_no")
+    rows = distinct.join(items, "rubric_item").select(
+        F.col("student_id").alias("unit"), "item_no", F.lit(1).alias("weight")
+    )
+    return Incidence(items, rows)
+
+
 def pair_similarity(df: DataFrame, min_support: int = 2) -> DataFrame:
     """All pairs of supported items, also those that no student has both of.
 
     The result has a row per pair of items by definition, whatever the number of students. Callers that
     only need the pairs with something in common use ``overlapping_pairs``.
     """
-    items = _numbered_items(df, min_support)
-    # A weightless unit set that holds every item adds the pairs without overlap, tile by tile.
-    units = _numbered_incidence(df, items).withColumn("weight", F.lit(1))
-    catalogue = items.select(F.lit(None).cast("string").alias("unit"), "item_no", F.lit(0).alias("weight"))
-    return _similarities(_pair_counts(units.unionByName(catalogue)), items).orderBy(
-        F.desc("jaccard"), "rubric_item_a", "rubric_item_b"
-    )
+    data = supported_incidence(df, min_support)
+    pairs = _measures(_pair_counts(data.with_catalogue()), data.items)
+    return _named(pairs, data.items).orderBy(F.desc("jaccard"), "rubric_item_a", "rubric_item_b")
 
 
 def overlapping_pairs(df: DataFrame, min_support: int = 2) -> DataFrame:
     """The pairs of supported items that at least one student has both of."""
-    items = _numbered_items(df, min_support)
-    units = _numbered_incidence(df, items).withColumn("weight", F.lit(1))
-    return _similarities(_pair_counts(units), items)
+    data = supported_incidence(df, min_support)
+    return _named(_measures(_pair_counts(data.rows), data.items), data.items)
 
 
 def top_pairs(df: DataFrame, n: int = 20, min_support: int = 2) -> DataFrame:
-    """The most similar pairs, rounded for display.
+    """The most similar pairs, ranked on the exact values and rounded for display.
 
     Pairs without overlap only matter when fewer than ``n`` pairs overlap, and then the ones wanted are all
     among the first ``2 n`` items; so no other such pair is made.
     """
-    items = _numbered_items(df, min_support)
-    units = _numbered_incidence(df, items).withColumn("weight", F.lit(1))
-    first = items.filter(F.col("item_no") <= 2 * n)
-    filler = first.select(F.lit(None).cast("string").alias("unit"), "item_no", F.lit(0).alias("weight"))
-    ranked = _similarities(_pair_counts(units.unionByName(filler)), items)
-    top = ranked.orderBy(F.desc("jaccard"), "rubric_item_a", "rubric_item_b").limit(n)
-    # Ranked on the exact value, rounded afterwards.
-    return top.withColumns({"jaccard": F.bround("jaccard", 3), "corr": F.bround("corr", 3)})
+    data = supported_incidence(df, min_support)
+    ranked = _measures(_pair_counts(data.with_catalogue(first=2 * n)), data.items)
+    # Item numbers sort as the item names do.
+    top = _named(ranked.orderBy(F.desc("jaccard"), "a", "b").limit(n), data.items)
+    ordered = top.orderBy(F.desc("jaccard"), "rubric_item_a", "rubric_item_b")
+    return ordered.withColumns({"jaccard": F.bround("jaccard", 3), "corr": F.bround("corr", 3)})
 
 
 def similarity_edges(
     df: DataFrame, jaccard_threshold: float = 0.2, corr_threshold: float = 0.3, min_support: int = 2
 ) -> DataFrame:
     """Pairs similar enough by either measure."""
-    near = (F.col("jaccard") >= jaccard_threshold) | (F.col("corr") >= corr_threshold)
-    if jaccard_threshold <= 0 or corr_threshold <= 0:
-        return pair_similarity(df, min_support).filter(near)
-    return overlapping_pairs(df, min_support).filter(near)
+    data = supported_incidence(df, min_support)
+    return _named(_edges(data, jaccard_threshold, corr_threshold), data.items)
 
 
 def misconception_clusters(
@@ -99,30 +115,25 @@ def misconception_clusters(
     Columns: label, rubric_item, size, support_students (distinct students over all members). Clusters are
     numbered by their smallest member. Members are rows, not one array, as a cluster has no size bound.
     """
-    items = _numbered_items(df, min_support)
-    if items.limit(2).count() < 2:
+    data = supported_incidence(df, min_support)
+    if data.items.limit(2).count() < 2:
         return empty(df.sparkSession, CLUSTER_DDL)
-    number = items.select("rubric_item", "item_no")
-    near = similarity_edges(df, jaccard_threshold, corr_threshold, min_support)
-    edges = near.join(_as(number, "a"), "rubric_item_a").join(_as(number, "b"), "rubric_item_b")
-    component = connected_components(items.select("item_no"), edges.select(F.col("no_a").alias("a"), F.col("no_b").alias("b")))
-    members = materialize(items.join(component, "item_no").select("rubric_item", "component"))
-    sizes = members.groupBy("component").agg(F.count("*").alias("size"))
+    number = data.items.select("rubric_item", "item_no")
+    near = _edges(data, jaccard_threshold, corr_threshold)
+    component = connected_components(number.select("item_no"), near.select("a", "b"))
+    sizes = component.groupBy("component").agg(F.count("*").alias("size"))
     support = (
-        incidence(df)
-        .join(members, "rubric_item")
+        data.rows.join(component, "item_no")
         .groupBy("component")
-        .agg(F.count_distinct("student_id").alias("support_students"))
+        .agg(F.count_distinct("unit").alias("support_students"))
     )
     labels = ordinals(sizes, "component", "_n")
     return (
-        members.join(labels, "component")
+        number.join(component, "item_no")
+        .join(labels, "component")
         .join(support, "component")
-        .select(
-            F.format_string("Misconception %d", "_n").alias("label"), "rubric_item", "size", "support_students", "_n"
-        )
         .orderBy("_n", "rubric_item")
-        .drop("_n")
+        .select(F.format_string("Misconception %d", "_n").alias("label"), "rubric_item", "size", "support_students")
     )
 
 
@@ -132,8 +143,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Each round takes the smallest label among the neighbours and then jumps to the label of that label, so
     long chains close in a logarithmic number of rounds. Rounds are checkpointed.
     """
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
-    links = materialize(both)
+    ways = F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    links = materialize(edges.select(ways))
     labels = materialize(nodes.select("item_no", F.col("item_no").alias("component")))
     while True:
         nearest = (
@@ -174,18 +185,16 @@ def block_of(item: Column, blocks: Column) -> Column:
     return F.pmod(F.xxhash64(item), blocks).cast("int")
 
 
-def _supported(df: DataFrame, min_support: int) -> DataFrame:
-    counts = incidence(df).groupBy("rubric_item").agg(F.count("*").alias("students"))
+def _supported(distinct: DataFrame, min_support: int) -> DataFrame:
+    counts = distinct.groupBy("rubric_item").agg(F.count("*").alias("students"))
     return counts.filter(F.col("students") >= min_support)
 
 
-def _numbered_items(df: DataFrame, min_support: int) -> DataFrame:
-    """Supported items with numbers that follow their lexicographic order."""
-    return ordinals(_supported(df, min_support), "rubric_item", "item_no")
-
-
-def _numbered_incidence(df: DataFrame, items: DataFrame) -> DataFrame:
-    return incidence(df).join(items, "rubric_item").select(F.col("student_id").alias("unit"), "item_no")
+def _edges(data: Incidence, jaccard_threshold: float, corr_threshold: float) -> DataFrame:
+    # Pairs without overlap score 0, so they only count under a threshold of 0 or less.
+    rows = data.rows if min(jaccard_threshold, corr_threshold) > 0 else data.with_catalogue()
+    near = (F.col("jaccard") >= jaccard_threshold) | (F.col("corr") >= corr_threshold)
+    return _measures(_pair_counts(rows), data.items).filter(near)
 
 
 def _pair_counts(rows: DataFrame) -> DataFrame:
@@ -214,25 +223,29 @@ def _pair_counts(rows: DataFrame) -> DataFrame:
     return pair_tallies(units.select("left", "right", same, "weight"), ordered=False)
 
 
-def _similarities(counts: DataFrame, items: DataFrame) -> DataFrame:
-    a = items.select(F.col("item_no").alias("a"), F.col("rubric_item").alias("rubric_item_a"), F.col("students").alias("_sa"))
-    b = items.select(F.col("item_no").alias("b"), F.col("rubric_item").alias("rubric_item_b"), F.col("students").alias("_sb"))
+def _measures(counts: DataFrame, items: DataFrame) -> DataFrame:
+    """Rows (a, b, jaccard, corr, n) from pair counts and the supports of both items."""
+    size_a = items.select(F.col("item_no").alias("a"), F.col("students").cast("double").alias("_sa"))
+    size_b = items.select(F.col("item_no").alias("b"), F.col("students").cast("double").alias("_sb"))
     both = F.col("n").cast("double")
     return (
-        counts.join(a, "a")
-        .join(b, "b")
+        counts.join(size_a, "a")
+        .join(size_b, "b")
         .select(
-            "rubric_item_a",
-            "rubric_item_b",
-            (both / (F.col("_sa") + F.col("_sb") - F.col("n"))).alias("jaccard"),
-            (both / F.sqrt(F.col("_sa").cast("double") * F.col("_sb").cast("double"))).alias("corr"),
-            F.col("n").alias("cooccurrence"),
+            "a",
+            "b",
+            (both / (F.col("_sa") + F.col("_sb") - both)).alias("jaccard"),
+            (both / F.sqrt(F.col("_sa") * F.col("_sb"))).alias("corr"),
+            "n",
         )
     )
 
 
-def _as(number: DataFrame, side: str) -> DataFrame:
-    return number.select(F.col("rubric_item").alias(f"rubric_item_{side}"), F.col("item_no").alias(f"no_{side}"))
+def _named(measures: DataFrame, items: DataFrame) -> DataFrame:
+    name_a = items.select(F.col("item_no").alias("a"), F.col("rubric_item").alias("rubric_item_a"))
+    name_b = items.select(F.col("item_no").alias("b"), F.col("rubric_item").alias("rubric_item_b"))
+    named = measures.join(name_a, "a").join(name_b, "b")
+    return named.select("rubric_item_a", "rubric_item_b", "jaccard", "corr", F.col("n").alias("cooccurrence"))
 
 
 def _tally_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

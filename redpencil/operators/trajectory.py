@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from redpencil.functions.exams import sort_keys
 from redpencil.functions.text import clean
-from redpencil.operators.shared import ordinals
+from redpencil.operators.shared import materialize, ordinals
 from redpencil.operators.similarity import UNIT_ITEMS, block_of, pair_tallies, unit_blocks
 
 
@@ -32,7 +32,7 @@ def sittings(df: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
 def item_sittings(df: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
     """Distinct (student_id, exam_id, rubric_item) with the place of the exam among the student's own."""
     items = df.select("student_id", "exam_id", clean(F.col("rubric_item")).alias("rubric_item")).distinct()
-    return items.join(sittings(df, order), ["student_id", "exam_id"])
+    return items.join(sittings(items, order), ["student_id", "exam_id"])
 
 
 def trajectory(df: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
@@ -62,7 +62,7 @@ def transitions(df: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
 
     A unit is one student's step from an exam to the next; its item pairs are tallied, never listed.
     """
-    steps = item_sittings(df, order)
+    steps = materialize(item_sittings(df, order))
     items = ordinals(steps.select("rubric_item").distinct(), "rubric_item", "item_no")
     placed = steps.join(items, "rubric_item")
     seq = F.col("seq")
@@ -78,6 +78,7 @@ def transitions(df: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
             )
         ).alias("side"),
     ).select("student_id", "item_no", "side.*")
+    sides = materialize(sides)
     counts = pair_tallies(_step_units(sides), ordered=True)
     occasions = sides.filter("source").groupBy("item_no").agg(F.count("*").alias("_occasions"))
     source = items.select(F.col("item_no").alias("a"), F.col("rubric_item").alias("source"))

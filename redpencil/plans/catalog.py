@@ -63,7 +63,7 @@ def mapped_events(spark: SparkSession, folder: str) -> DataFrame:
 
 def _csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     path = files.persist_dataset(deductions(spark, folder), scratch_path(spark, "deductions.csv"))
-    return files.load_persisted_dataset(spark, path)
+    return files.load_persisted_dataset(spark, path, check="inline")
 
 
 def _normalize_csv(spark: SparkSession, folder: str) -> DataFrame:

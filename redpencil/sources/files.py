@@ -56,9 +56,8 @@ def read_scores(spark: SparkSession, path: str, multiline: bool = False) -> Data
 
 
 def persist_dataset(df: DataFrame, path: str) -> str:
-    """Write a dataset that passes the row checks; the frame is written as it is."""
-    canonicalize(df)
-    return write_csv(df, path)
+    """Write a dataset in canonical form. A row that fails the checks fails the write, in the same pass."""
+    return write_csv(canonicalize(df, check="inline"), path)
 
 
 def load_persisted_dataset(spark: SparkSession, path: str, check: str = "scan") -> DataFrame:
@@ -68,15 +67,16 @@ def load_persisted_dataset(spark: SparkSession, path: str, check: str = "scan")
 def write_packet(artifacts: Mapping[str, DataFrame], folder: str) -> DataFrame:
     """Write every table that has rows to its own CSV folder; rows (artifact, file, rows) of what was written.
 
-    Row counts are observed while writing, so no table is computed a second time for them.
+    Each table is computed once, whether or not it turns out to have rows, and counted while it is written.
     """
     spark = next(iter(artifacts.values())).sparkSession if artifacts else SparkSession.active()
     names = spark.createDataFrame([(a,) for a in artifacts], "artifact string")
     safe = {r["artifact"]: r["file"] for r in names.select("artifact", safe_name(F.concat("artifact", F.lit(".csv"))).alias("file")).collect()}
     written = []
-    for name, df in artifacts.items():
+    for name, table in artifacts.items():
         if safe[name] is None:
             raise ValueError(f"Not an acceptable export name: {name}")
+        df = materialize(table)
         if df.isEmpty():
             continue
         seen = Observation()
