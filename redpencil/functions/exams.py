@@ -29,39 +29,34 @@ def sort_keys(order: Sequence[str] | None, exam: str = "exam_id") -> list[Column
 
 @dataclass(frozen=True)
 class Cohort:
-    """Predicates for the first exam and the exams after it."""
+    """Predicates for the first exam and the exams after it; constants, so scans can filter by them."""
 
     is_first: Column
     is_later: Column
-    has_two: Column
+    has_two: bool
 
 
 def cohort(df: DataFrame, order: Sequence[str] | None, scope: DataFrame | None = None) -> Cohort:
     """First / later predicates over the exams that occur in ``df``.
 
     A list of which no exam occurs falls back to the lexicographic order. ``scope`` is the part of ``df``
-    whose exams form the order, when that is not all of it. Everything needed is one aggregate row, read
-    back as a scalar subquery: no ranking and no join.
+    whose exams form the order, when that is not all of it. One aggregate row is read back; exams are
+    neither ranked nor joined.
     """
     scope = df if scope is None else scope
     exam = F.col("exam_id")
-    if not order:
-        seen = scope.agg(F.struct(F.min(exam).alias("low"), F.max(exam).alias("high")).alias("s")).scalar()
-        return Cohort(exam == seen["low"], exam > seen["low"], seen["low"] < seen["high"])
-
     place = position(exam, order)
     seen = scope.agg(
-        F.struct(
-            F.min(place).alias("first"),
-            F.max(place).alias("last"),
-            F.min(exam).alias("low"),
-            F.max(exam).alias("high"),
-        ).alias("s")
-    ).scalar()
-    any_listed = seen["first"] if scope is df else df.agg(F.min(place)).scalar()
-    listed = any_listed.isNotNull()
-    return Cohort(
-        F.when(listed, F.coalesce(place == seen["first"], F.lit(False))).otherwise(exam == seen["low"]),
-        F.when(listed, F.coalesce(place > seen["first"], F.lit(False))).otherwise(exam > seen["low"]),
-        F.when(listed, seen["first"] < seen["last"]).otherwise(seen["low"] < seen["high"]),
-    )
+        F.min(place).alias("first"), F.max(place).alias("last"), F.min(exam).alias("low"), F.max(exam).alias("high")
+    ).first()
+    listed = seen["first"] is not None
+    if order and not listed and scope is not df:
+        listed = not df.filter(place.isNotNull()).isEmpty()
+    if listed:
+        if seen["first"] is None:
+            return Cohort(F.lit(False), F.lit(False), False)
+        first, later = order[seen["first"]], list(order[seen["first"] + 1 :])
+        return Cohort(exam == first, exam.isin(later), seen["first"] < seen["last"])
+    if seen["low"] is None:
+        return Cohort(F.lit(False), F.lit(False), False)
+    return Cohort(exam == seen["low"], exam > seen["low"], seen["low"] < seen["high"])

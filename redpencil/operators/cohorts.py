@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from redpencil.functions.exams import Cohort, cohort, position, sort_keys
 from redpencil.functions.text import clean
-from redpencil.operators.metrics import exam_breakdown
+from redpencil.operators.metrics import by_exam
 
 
 def exam_order(df: DataFrame, chosen: Sequence[str] | None = None) -> DataFrame:
@@ -35,7 +35,7 @@ def exam_changes(df: DataFrame, order: Sequence[str] | None = None) -> DataFrame
         F.when(before != 0, total / before - 1).when((before == 0) & (total > 0), F.lit(float("inf")))
     )
     return (
-        exam_breakdown(df)
+        by_exam(df)
         .withColumn("_previous", previous)
         .withColumns({"delta_vs_prev": total - before, "pct_change_vs_prev": growth})
         .drop("_previous")
@@ -65,8 +65,8 @@ def persistence(df: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
 def persistence_by(df: DataFrame, key: str, exams: Cohort) -> DataFrame:
     """Two combinable aggregates: flags per (key, student), then counts per key. Keys without a cohort drop out."""
     flags = (
-        df.select(key, "student_id", exams.is_first.alias("_first"), exams.is_later.alias("_later"))
-        .filter(F.col("_first") | F.col("_later"))
+        df.filter(exams.is_first | exams.is_later)
+        .select(key, "student_id", exams.is_first.alias("_first"), exams.is_later.alias("_later"))
         .groupBy(key, "student_id")
         .agg(F.max("_first").alias("_first"), F.max("_later").alias("_later"))
         .filter("_first")
@@ -93,7 +93,7 @@ def concept_persistence_rows(df: DataFrame, order: Sequence[str] | None, only: D
     named = data.filter(F.col("concept") != "")
     exams = cohort(data, order, scope=named)
     rows = named if only is None else named.join(only, "concept", "left_semi")
-    return persistence_by(rows.filter(F.coalesce(exams.has_two, F.lit(False))), "concept", exams)
+    return persistence_by(rows if exams.has_two else rows.filter(F.lit(False)), "concept", exams)
 
 
 def _round_finite(column: str, digits: int) -> F.Column:

@@ -15,13 +15,7 @@ from redpencil.schemas import empty
 
 def overall_summary(df: DataFrame) -> DataFrame:
     """One row: rows, students, exams, questions, avg_points_lost."""
-    return df.agg(
-        F.count("*").alias("rows"),
-        F.count_distinct("student_id").alias("students"),
-        F.count_distinct("exam_id").alias("exams"),
-        F.count_distinct("question_id").alias("questions"),
-        F.avg("points_lost").alias("avg_points_lost"),
-    )
+    return df.agg(*_overall())
 
 
 def rubric_item_stats(df: DataFrame) -> DataFrame:
@@ -57,7 +51,7 @@ def value_stats(counts: DataFrame, keys: Sequence[str], value: str) -> DataFrame
 
 
 def exam_breakdown(df: DataFrame) -> DataFrame:
-    return _by_exam(df).orderBy("exam_id")
+    return by_exam(df).orderBy("exam_id")
 
 
 def student_summary(df: DataFrame, exam_order: Sequence[str] | None = None) -> DataFrame:
@@ -83,39 +77,28 @@ def histogram(df: DataFrame, value: Column, bins: int, label: Column) -> DataFra
     maximum. A range of zero width is first widened by 0.1 % of its value on both sides.
     """
     values = df.select(value.alias("_v")).filter(F.col("_v").isNotNull())
-    s = values.agg(F.struct(F.min("_v").alias("lo"), F.max("_v").alias("hi")).alias("s")).scalar()
-    pad = F.when(s["lo"] != s["hi"], 0.0).when(s["lo"] == 0, 0.001).otherwise(F.abs(s["lo"]) * 0.001)
-    lo, hi = s["lo"] - pad, s["hi"] + pad
-    step = (hi - lo) / bins
-    last = F.when(s["lo"] == s["hi"], hi).otherwise(hi + (hi - lo) * 0.001)
+    low, high = values.agg(F.min("_v"), F.max("_v")).first()
+    bin_ddl = "bin_index int, bin_lo double, bin_hi double"
+    if low is None:
+        edges = []
+    else:
+        pad = 0.0 if low != high else abs(low) * 0.001 or 0.001
+        lo, hi = low - pad, high + pad
+        step = (hi - lo) / bins
+        edges = [lo + i * step for i in range(bins)] + [hi if low == high else hi + (hi - lo) * 0.001]
+    grid = df.sparkSession.createDataFrame([(i, *e) for i, e in enumerate(zip(edges, edges[1:]))], bin_ddl)
+    if not edges:
+        return grid.select("bin_index", label.alias("bin"), "bin_lo", "bin_hi", F.lit(0).cast("bigint").alias("count"))
 
     # A first guess by division, then put right against the edges themselves.
-    guess = F.least(F.greatest(F.floor((F.col("_v") - F.col("_lo")) / F.col("_step")), F.lit(0)), F.lit(bins - 1))
-    g = F.col("_g")
-    index = (
-        F.when(F.col("_v") < F.col("_lo") + g * F.col("_step"), g - 1)
-        .when((g < bins - 1) & (F.col("_v") >= F.col("_lo") + (g + 1) * F.col("_step")), g + 1)
-        .otherwise(g)
-    )
+    v, g = F.col("_v"), F.col("_g")
+    guess = F.least(F.greatest(F.floor((v - lo) / step), F.lit(0)), F.lit(bins - 1))
+    index = F.when(v < lo + g * step, g - 1).when((g < bins - 1) & (v >= lo + (g + 1) * step), g + 1).otherwise(g)
     counts = (
-        values.withColumns({"_lo": lo, "_step": step})
-        .withColumn("_g", guess)
+        values.withColumn("_g", guess)
         .groupBy(index.cast("int").alias("bin_index"))
         .agg(F.count("*").alias("_n"))
     )
-    # The edges hang on the same aggregate, so an input without values gives no bins.
-    grid = (
-        df.sparkSession.range(bins)
-        .select(F.col("id").cast("int").alias("bin_index"), lo.alias("_lo"), step.alias("_step"), last.alias("_last"))
-        .filter(F.col("_lo").isNotNull())
-        .select(
-            "bin_index",
-            (F.col("_lo") + F.col("bin_index") * F.col("_step")).alias("bin_lo"),
-            F.when(F.col("bin_index") == bins - 1, F.col("_last"))
-            .otherwise(F.col("_lo") + (F.col("bin_index") + 1) * F.col("_step"))
-            .alias("bin_hi"),
-        )
-    )
     return (
         grid.join(counts, "bin_index", "left")
         .select("bin_index", label.alias("bin"), "bin_lo", "bin_hi", F.coalesce("_n", F.lit(0)).alias("count"))
@@ -171,10 +154,10 @@ def group_comparison(df: DataFrame, group_col: str, missing_label: str = "Unassi
     if group_col not in df.columns:
         return empty(df.sparkSession, ddl)
     named = ~is_blank(F.col(group_col))
-    any_named = F.coalesce(df.filter(named).select(F.lit(True)).limit(1).scalar(), F.lit(False))
+    if df.filter(named).isEmpty():
+        return empty(df.sparkSession, ddl)
     return (
-        df.filter(any_named)
-        .withColumn(group_col, F.when(named, strip(F.col(group_col).cast("string"))).otherwise(missing_label))
+        df.withColumn(group_col, F.when(named, strip(F.col(group_col).cast("string"))).otherwise(missing_label))
         .groupBy(group_col)
         .agg(
             F.count("*").alias("rows"),
@@ -202,29 +185,43 @@ def disparity_gap(df: DataFrame, group_col: str, label: str) -> DataFrame:
 
 def kpis(df: DataFrame, rubric_item: str | None = None) -> DataFrame:
     """Headline figures. Per-student figures, items and total follow the drill-down; the others do not."""
-    scoped = df if rubric_item is None else df.filter(F.col("rubric_item") == rubric_item)
-    per_student = scoped.groupBy("student_id").agg(F.sum("points_lost").alias("t"))
+    chosen = F.lit(True) if rubric_item is None else F.col("rubric_item") == rubric_item
+    per_student = df.filter(chosen).groupBy("student_id").agg(F.sum("points_lost").alias("t"))
     spread = per_student.agg(
         F.struct(
             F.coalesce(F.avg("t"), F.lit(0.0)).alias("avg"),
             F.coalesce(F.stddev_pop("t"), F.lit(0.0)).alias("std"),
             F.coalesce(F.sum("t"), F.lit(0.0)).alias("total"),
         ).alias("s")
-    ).scalar()
-    items = scoped.agg(F.count_distinct("rubric_item")).scalar()
-    return overall_summary(df).select(
-        "rows",
-        "students",
-        spread["avg"].alias("avg_points_per_student"),
-        spread["std"].alias("std_points_per_student"),
-        "exams",
-        items.alias("rubric_items"),
-        "avg_points_lost",
-        spread["total"].alias("total_points_lost"),
     )
+    items = F.count_distinct(F.when(chosen, F.col("rubric_item")))
+    return (
+        df.agg(*_overall(), items.alias("rubric_items"))
+        .withColumn("_s", spread.scalar())
+        .select(
+            "rows",
+            "students",
+            F.col("_s.avg").alias("avg_points_per_student"),
+            F.col("_s.std").alias("std_points_per_student"),
+            "exams",
+            "rubric_items",
+            "avg_points_lost",
+            F.col("_s.total").alias("total_points_lost"),
+        )
+    )
+
+
+def _overall() -> list[Column]:
+    return [
+        F.count("*").alias("rows"),
+        F.count_distinct("student_id").alias("students"),
+        F.count_distinct("exam_id").alias("exams"),
+        F.count_distinct("question_id").alias("questions"),
+        F.avg("points_lost").alias("avg_points_lost"),
+    ]
 
 
-def _by_exam(df: DataFrame) -> DataFrame:
+def by_exam(df: DataFrame) -> DataFrame:
     return df.groupBy("exam_id").agg(
         F.count_distinct("student_id").alias("students"),
         F.count_distinct("question_id").alias("questions"),

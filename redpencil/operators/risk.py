@@ -184,8 +184,8 @@ def _modes(counts: DataFrame) -> DataFrame:
 
 
 def _catalogue(history: DataFrame) -> DataFrame:
-    """Every rubric item with its most frequent concept."""
-    return _modes(history.groupBy("rubric_item", "concept").agg(F.sum("n").alias("n")))
+    """Every rubric item with its most frequent concept; one row per item, used several times."""
+    return materialize(_modes(history.groupBy("rubric_item", "concept").agg(F.sum("n").alias("n"))))
 
 
 def _targets(history: DataFrame, which: str) -> DataFrame:
@@ -239,45 +239,48 @@ def _compact(history: DataFrame, which: str) -> DataFrame:
     at = ["student_id", "seq"]
     catalogue = _catalogue(history)
     sizes = catalogue.groupBy("concept").agg(F.count("*").alias("_size"))
-    n_items = catalogue.agg(F.count("*")).scalar()
+    n_items = catalogue.count()
     states = _concept_points(history, which).join(sizes, "concept")
-    listed = (
-        _listed(history, which)
-        .join(catalogue, "rubric_item")
-        .join(states.drop("_size"), [*at, "concept"], "left")
-    )
-    zero = F.lit(0)
+    listed = _listed(history, which).join(catalogue, "rubric_item")
+    zero, no_item = F.lit(0).cast("bigint"), F.lit(None).cast("string").alias("rubric_item")
 
-    inside = listed.groupBy(*at, "concept").agg(F.count("*").alias("_listed"))
-    concept_rest = states.join(inside, [*at, "concept"], "left").select(
-        *at, "concept", "prior_concept_points", (F.col("_size") - F.coalesce("_listed", zero)).alias("n_items")
+    one_by_one = listed.join(states.drop("_size"), [*at, "concept"], "left").select(
+        *at,
+        "rubric_item",
+        "concept",
+        "prior_seen",
+        F.coalesce("prior_concept_points", F.lit(0.0)).alias("prior_concept_points"),
+        "label",
+        F.lit(1).cast("bigint").alias("n_items"),
     )
-    covered = states.groupBy(*at).agg(F.sum("_size").alias("_covered"))
-    outside = listed.filter(F.col("prior_concept_points").isNull()).groupBy(*at).agg(F.count("*").alias("_outside"))
+    # Per concept: its items (when the student has points in it) and how many of them are listed above.
+    concepts = states.join(
+        listed.groupBy(*at, "concept").agg(F.count("*").alias("_listed")), [*at, "concept"], "full_outer"
+    ).withColumn("_listed", F.coalesce("_listed", zero))
+    concept_rest = concepts.filter(F.col("prior_concept_points").isNotNull()).select(
+        *at, "concept", "prior_concept_points", (F.col("_size") - F.col("_listed")).alias("n_items")
+    )
+    accounted = concepts.groupBy(*at).agg(F.sum(F.coalesce("_size", "_listed")).alias("_accounted"))
     targets = _targets(history, which)
-    plain_rest = (
-        targets.join(covered, at, "left")
-        .join(outside, at, "left")
-        .select(
-            *at,
-            F.lit(None).cast("string").alias("concept"),
-            F.lit(0.0).alias("prior_concept_points"),
-            (n_items - F.coalesce("_covered", zero) - F.coalesce("_outside", zero)).alias("n_items"),
-        )
+    plain_rest = targets.join(accounted, at, "left").select(
+        *at,
+        F.lit(None).cast("string").alias("concept"),
+        F.lit(0.0).alias("prior_concept_points"),
+        (F.lit(n_items) - F.coalesce("_accounted", zero)).alias("n_items"),
     )
     rest = (
         concept_rest.unionByName(plain_rest)
         .filter(F.col("n_items") > 0)
         .select(
-            *at, F.lit(None).cast("string").alias("rubric_item"), "concept", zero.alias("prior_seen"),
-            "prior_concept_points", zero.alias("label"), "n_items",
+            *at,
+            no_item,
+            "concept",
+            F.lit(0).alias("prior_seen"),
+            "prior_concept_points",
+            F.lit(0).alias("label"),
+            "n_items",
         )
     )
-    one_by_one = listed.select(
-        *at, "rubric_item", "concept", "prior_seen",
-        F.coalesce("prior_concept_points", F.lit(0.0)).alias("prior_concept_points"), "label",
-        F.lit(1).cast("bigint").alias("n_items"),
-    )
     return one_by_one.unionByName(rest).join(targets, at).drop("seq")
 
 
@@ -294,14 +297,14 @@ def _expand(catalogue: DataFrame, history: DataFrame, which: str) -> DataFrame:
     bounded size: a block holds about ``BLOCK_ITEMS`` items, and the targets of a block are spread by student.
     """
     at = ["student_id", "seq"]
-    blocks = F.ceil(catalogue.agg(F.count("*")).scalar() / BLOCK_ITEMS).cast("int")
+    blocks = max(1, -(-catalogue.count() // BLOCK_ITEMS))
     spread_items = (
-        catalogue.withColumn("_block", F.pmod(F.xxhash64("rubric_item"), blocks).cast("int"))
+        catalogue.withColumn("_block", F.pmod(F.xxhash64("rubric_item"), F.lit(blocks)).cast("int"))
         .withColumn("_spread", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
     )
     spread_targets = (
         _targets(history, which)
-        .withColumn("_block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
         .withColumn("_spread", F.pmod(F.xxhash64("student_id", "seq"), F.lit(SPREAD)).cast("int"))
     )
     grid = spread_targets.join(spread_items, ["_block", "_spread"])

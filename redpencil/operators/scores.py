@@ -169,13 +169,11 @@ def score_student_summary(df: DataFrame) -> DataFrame:
 def score_distribution_pct(df: DataFrame, bins: int = 10) -> DataFrame:
     """Histogram of percent of full marks, or of the raw scores when no row knows its maximum."""
     data = _labelled(df)
-    any_max = F.coalesce(
-        data.filter(F.col("max_score").isNotNull()).select(F.lit(True)).limit(1).scalar(), F.lit(False)
-    )
+    any_max = not data.filter(F.col("max_score").isNotNull()).isEmpty()
     ratio = F.col("score") / F.nullif("max_score", F.lit(0.0))
     percent = F.when(ratio.isNotNull(), F.greatest(F.least(ratio, F.lit(1.0)), F.lit(0.0)) * 100)
     label = F.concat(F.col("bin_lo").cast("bigint"), F.lit("-"), F.col("bin_hi").cast("bigint"))
-    return histogram(data, F.when(any_max, percent).otherwise(F.col("score")), bins, label)
+    return histogram(data, percent if any_max else F.col("score"), bins, label)
 
 
 def _labelled(df: DataFrame) -> DataFrame:

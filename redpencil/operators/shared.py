@@ -80,8 +80,9 @@ def ordinals(df: DataFrame, key: str, name: str) -> DataFrame:
 def medians(counts: DataFrame, groups: Sequence[str], value: str, weight: str, name: str) -> DataFrame:
     """Exact median per group from (groups, value, weight) rows, one per distinct value."""
     groups = list(groups)
-    ranked = running_totals(counts.filter(F.col(value).isNotNull()), [value], F.col(weight), groups, "_upto")
-    totals = ranked.groupBy(*groups).agg(F.max("_upto").alias("_n"))
+    known = counts.filter(F.col(value).isNotNull())
+    ranked = running_totals(known, [value], F.col(weight), groups, "_upto")
+    totals = known.groupBy(*groups).agg(F.sum(weight).alias("_n"))
     low = F.expr("(_n + 1) div 2")
     high = F.expr("_n div 2 + 1")
     return (

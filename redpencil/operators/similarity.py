@@ -39,8 +39,8 @@ def incidence(df: DataFrame) -> DataFrame:
 
 def item_support(df: DataFrame, min_support: int = 2) -> DataFrame:
     """Rows (rubric_item, students) of the items that enough students have; none when fewer than two do."""
-    supported = _supported(incidence(df), min_support)
-    return supported.filter(supported.limit(2).agg(F.count("*")).scalar() >= 2).orderBy("rubric_item")
+    supported = materialize(_supported(incidence(df), min_support))
+    return supported.limit(0) if supported.limit(2).count() < 2 else supported.orderBy("rubric_item")
 
 
 @dataclass(frozen=True)
@@ -61,7 +61,7 @@ class Incidence:
 def supported_incidence(df: DataFrame, min_support: int = 2) -> Incidence:
     """The distinct incidence is computed once; item numbers follow the lexicographic order of the items."""
     distinct = materialize(incidence(df))
-    items = ordinals(_supported(distinct, min_support), "rubric_item", "item_no")
+    items = materialize(ordinals(_supported(distinct, min_support), "rubric_item", "item_no"))
     rows = distinct.join(items, "rubric_item").select(
         F.col("student_id").alias("unit"), "item_no", F.lit(1).alias("weight")
     )

@@ -63,7 +63,7 @@ def transitions(df: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
     A unit is one student's step from an exam to the next; its item pairs are tallied, never listed.
     """
     steps = materialize(item_sittings(df, order))
-    items = ordinals(steps.select("rubric_item").distinct(), "rubric_item", "item_no")
+    items = materialize(ordinals(steps.select("rubric_item").distinct(), "rubric_item", "item_no"))
     placed = steps.join(items, "rubric_item")
     seq = F.col("seq")
     sides = placed.select(
