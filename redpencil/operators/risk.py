@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from redpencil.functions.text import clean
-from redpencil.operators.shared import materialize
+from redpencil.operators.shared import broadcast_if_small, materialize
 from redpencil.operators.trajectory import sittings
 
 # Model settings, confidence thresholds and the messages for data that cannot be fitted.
@@ -240,8 +240,8 @@ def _compact(history: DataFrame, which: str) -> DataFrame:
     catalogue = _catalogue(history)
     sizes = catalogue.groupBy("concept").agg(F.count("*").alias("_size"))
     n_items = catalogue.count()
-    states = _concept_points(history, which).join(sizes, "concept")
-    listed = _listed(history, which).join(catalogue, "rubric_item")
+    states = _concept_points(history, which).join(broadcast_if_small(sizes), "concept")
+    listed = _listed(history, which).join(broadcast_if_small(catalogue), "rubric_item")
     zero, no_item = F.lit(0).cast("bigint"), F.lit(None).cast("string").alias("rubric_item")
 
     one_by_one = listed.join(states.drop("_size"), [*at, "concept"], "left").select(

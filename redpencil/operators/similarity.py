@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from redpencil.functions.text import clean
-from redpencil.operators.shared import materialize, ordinals
+from redpencil.operators.shared import broadcast_if_small, materialize, ordinals
 from redpencil.schemas import empty
 
 # Size bounds: items per unit side, pairs tallied at a time, cells of a dense tally.
@@ -61,7 +61,8 @@ class Incidence:
 def supported_incidence(df: DataFrame, min_support: int = 2) -> Incidence:
     """The distinct incidence is computed once; item numbers follow the lexicographic order of the items."""
     distinct = materialize(incidence(df))
-    items = materialize(ordinals(_supported(distinct, min_support), "rubric_item", "item_no"))
+    numbered = materialize(ordinals(_supported(distinct, min_support), "rubric_item", "item_no"))
+    items = broadcast_if_small(numbered)
     rows = distinct.join(items, "rubric_item").select(
         F.col("student_id").alias("unit"), "item_no", F.lit(1).alias("weight")
     )

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from redpencil.functions.exams import sort_keys
 from redpencil.functions.text import clean
-from redpencil.operators.shared import materialize, ordinals
+from redpencil.operators.shared import broadcast_if_small, materialize, ordinals
 from redpencil.operators.similarity import UNIT_ITEMS, block_of, pair_tallies, unit_blocks
 
 
@@ -63,7 +63,8 @@ def transitions(df: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
     A unit is one student's step from an exam to the next; its item pairs are tallied, never listed.
     """
     steps = materialize(item_sittings(df, order))
-    items = materialize(ordinals(steps.select("rubric_item").distinct(), "rubric_item", "item_no"))
+    numbered = materialize(ordinals(steps.select("rubric_item").distinct(), "rubric_item", "item_no"))
+    items = broadcast_if_small(numbered)
     placed = steps.join(items, "rubric_item")
     seq = F.col("seq")
     sides = placed.select(
