@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -96,6 +96,6 @@ def concept_persistence_rows(df: DataFrame, order: Sequence[str] | None, only: D
     return persistence_by(rows if exams.has_two else rows.filter(F.lit(False)), "concept", exams)
 
 
-def _round_finite(column: str, digits: int) -> F.Column:
+def _round_finite(column: str, digits: int) -> Column:
     c = F.col(column)
     return F.when(c.isNull(), 0.0).when(F.abs(c) == float("inf"), c).otherwise(F.bround(c, digits))

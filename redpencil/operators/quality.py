@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from redpencil.functions.text import is_blank, to_number
@@ -13,7 +13,7 @@ def required_columns(df: DataFrame) -> dict[str, bool]:
     return {c: c in df.columns for c in INVARIANT_COLUMNS}
 
 
-def missing_identifiers(df: DataFrame) -> F.Column:
+def missing_identifiers(df: DataFrame) -> Column:
     """Count of rows with a blank id. A column that is absent is blank in every row."""
     blank = F.lit(False)
     for c in DEDUCTION_IDS:
@@ -21,11 +21,11 @@ def missing_identifiers(df: DataFrame) -> F.Column:
     return F.count_if(blank)
 
 
-def non_numeric_points(df: DataFrame) -> F.Column:
+def non_numeric_points(df: DataFrame) -> Column:
     return F.count_if(_points(df).isNull())
 
 
-def negative_points(df: DataFrame) -> F.Column:
+def negative_points(df: DataFrame) -> Column:
     return F.count_if(_points(df) < 0)
 
 
@@ -54,7 +54,7 @@ def schema_listing(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(df.dtypes, "column string, dtype string")
 
 
-def _points(df: DataFrame) -> F.Column:
+def _points(df: DataFrame) -> Column:
     if "points_lost" not in df.columns:
         return F.lit(None).cast("double")
     return to_number(F.col("points_lost"), df.schema["points_lost"].dataType)

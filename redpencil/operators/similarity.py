@@ -182,6 +182,10 @@ def unit_blocks(count: Column) -> Column:
     return F.ceil(count / UNIT_ITEMS).cast("int")
 
 
+def no_items() -> Column:
+    return F.array().cast("array<bigint>")
+
+
 def block_of(item: Column, blocks: Column) -> Column:
     return F.pmod(F.xxhash64(item), blocks).cast("int")
 
@@ -199,29 +203,43 @@ def _edges(data: Incidence, jaccard_threshold: float, corr_threshold: float) ->
 
 
 def _pair_counts(rows: DataFrame) -> DataFrame:
-    """Pair counts from (unit, item_no, weight); a unit with many items is split into tiles."""
+    """Pair counts from (unit, item_no, weight); a unit with many items is split into tiles.
+
+    The rows of large units are dealt out by item before they are copied to their tiles, and the tiles are
+    dealt out again, so that no task gets all of one unit.
+    """
     key = F.coalesce(F.concat(F.lit("s"), F.col("unit")), F.lit("catalogue"))
-    rows = rows.select(key.alias("unit"), "item_no", "weight")
+    rows = rows.select(key.alias("unit"), "item_no", F.col("weight").cast("bigint").alias("weight"))
     large = (
-        rows.groupBy("unit").agg(F.count("*").alias("_k")).filter(F.col("_k") > UNIT_ITEMS)
+        rows.groupBy("unit")
+        .agg(F.count("*").alias("_k"))
+        .filter(F.col("_k") > UNIT_ITEMS)
         .select("unit", unit_blocks(F.col("_k")).alias("_blocks"))
     )
-    placed = (
-        rows.join(large, "unit", "left")
-        .withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+    sized = rows.join(large, "unit", "left")
+    whole = (
+        sized.filter(F.col("_blocks").isNull())
+        .groupBy("unit")
+        .agg(F.collect_list("item_no").alias("left"), F.max("weight").alias("weight"))
+        .select("left", no_items().alias("right"), F.lit(True).alias("same"), "weight")
+    )
+    own, lo, hi = F.col("_own"), F.col("_lo"), F.col("_hi")
+    tiled = (
+        sized.filter(F.col("_blocks").isNotNull())
+        .repartition("unit", "item_no")
         .withColumn("_own", block_of(F.col("item_no"), F.col("_blocks")))
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
         .withColumns({"_lo": F.least("_own", "_other"), "_hi": F.greatest("_own", "_other")})
+        .repartition("unit", "_lo", "_hi")
+        .groupBy("unit", "_lo", "_hi")
+        .agg(
+            F.collect_list(F.when(own == lo, F.col("item_no"))).alias("left"),
+            F.collect_list(F.when((own == hi) & (lo != hi), F.col("item_no"))).alias("right"),
+            F.max("weight").alias("weight"),
+        )
+        .select("left", "right", (lo == hi).alias("same"), "weight")
     )
-    units = placed.groupBy("unit", "_lo", "_hi").agg(
-        F.collect_list(F.when(F.col("_own") == F.col("_lo"), F.col("item_no"))).alias("left"),
-        F.collect_list(F.when((F.col("_own") == F.col("_hi")) & (F.col("_lo") != F.col("_hi")), F.col("item_no"))).alias(
-            "right"
-        ),
-        F.max("weight").cast("bigint").alias("weight"),
-    )
-    same = (F.col("_lo") == F.col("_hi")).alias("same")
-    return pair_tallies(units.select("left", "right", same, "weight"), ordered=False)
+    return pair_tallies(whole.unionByName(tiled), ordered=False)
 
 
 def _measures(counts: DataFrame, items: DataFrame) -> DataFrame:

@@ -99,32 +99,37 @@ def top_transitions(df: DataFrame, order: Sequence[str] | None = None, n: int =
 
 
 def _step_units(sides: DataFrame) -> DataFrame:
-    """One unit per step; a step with many items on a side is split into tiles of item blocks."""
+    """One unit per step; a step with many items on a side is split into tiles of item blocks.
+
+    As with pairs of items, the rows of large steps are dealt out before and after they are copied to tiles.
+    """
     step = ["student_id", "step"]
+    source = F.col("source")
+    both = [
+        F.collect_list(F.when(source, F.col("item_no"))).alias("left"),
+        F.collect_list(F.when(~source, F.col("item_no"))).alias("right"),
+    ]
     large = (
         sides.groupBy(*step)
-        .agg(F.count_if("source").alias("_l"), F.count_if(~F.col("source")).alias("_r"))
+        .agg(F.count_if("source").alias("_l"), F.count_if(~source).alias("_r"))
         .filter((F.col("_l") > UNIT_ITEMS) | (F.col("_r") > UNIT_ITEMS))
         .select(*step, unit_blocks(F.col("_l")).alias("_lb"), unit_blocks(F.col("_r")).alias("_rb"))
     )
+    sized = sides.join(large, step, "left")
+    whole = sized.filter(F.col("_lb").isNull()).groupBy(*step).agg(*both)
     one = F.lit(1)
-    mine = F.when(F.col("source"), F.col("_lb")).otherwise(F.col("_rb"))
-    others = F.when(F.col("source"), F.col("_rb")).otherwise(F.col("_lb"))
+    mine = F.greatest(F.when(source, F.col("_lb")).otherwise(F.col("_rb")), one)
+    others = F.greatest(F.when(source, F.col("_rb")).otherwise(F.col("_lb")), one)
+    own, other = F.col("_own"), F.col("_other")
     tiled = (
-        sides.join(large, step, "left")
-        .withColumns({"_lb": F.coalesce("_lb", one), "_rb": F.coalesce("_rb", one)})
-        .withColumn("_own", block_of(F.col("item_no"), F.greatest(mine, one)))
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.greatest(others, one) - 1)))
-    )
-    return (
-        tiled.groupBy(
-            *step,
-            F.when(F.col("source"), F.col("_own")).otherwise(F.col("_other")).alias("_lt"),
-            F.when(F.col("source"), F.col("_other")).otherwise(F.col("_own")).alias("_rt"),
-        )
-        .agg(
-            F.collect_list(F.when(F.col("source"), F.col("item_no"))).alias("left"),
-            F.collect_list(F.when(~F.col("source"), F.col("item_no"))).alias("right"),
-        )
-        .select("left", "right", F.lit(False).alias("same"), F.lit(1).cast("bigint").alias("weight"))
+        sized.filter(F.col("_lb").isNotNull())
+        .repartition(*step, "item_no")
+        .withColumn("_own", block_of(F.col("item_no"), mine))
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), others - 1)))
+        .withColumns({"_lt": F.when(source, own).otherwise(other), "_rt": F.when(source, other).otherwise(own)})
+        .repartition(*step, "_lt", "_rt")
+        .groupBy(*step, "_lt", "_rt")
+        .agg(*both)
     )
+    units = whole.select("left", "right").unionByName(tiled.select("left", "right"))
+    return units.select("left", "right", F.lit(False).alias("same"), F.lit(1).cast("bigint").alias("weight"))
