@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redpencil.llm import decontamination, exact_dedup, license_scan, packing, secret_scan, simhash
+from redpencil.llm import decontamination, exact_dedup, license_scan, packing, secret_scan, simhash, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, folder, "documents")).drop("text_key")
 
 
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.report(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.report(table(spark, folder, "documents"))
 
@@ -44,6 +48,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash": op1_simhash,
         "op2_packing": op2_packing,
         "op3_exact_dedup": op3_exact_dedup,
+        "op4_toxicity": op4_toxicity,
         "op5_license_scan": op5_license_scan,
         "op9_secret_scan": op9_secret_scan,
         "op10_decontamination": op10_decontamination,
