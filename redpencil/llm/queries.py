@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redpencil.llm import decontamination, exact_dedup, license_scan, packing, secret_scan, simhash, toxicity
+from redpencil.llm import decontamination, exact_dedup, hmm_lm, license_scan, packing, secret_scan, simhash, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.report(table(spark, folder, "documents"))
 
 
+def op6_hmm_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return hmm_lm.report(table(spark, folder, "documents"))
+
+
 def op9_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.report(table(spark, folder, "documents"))
 
@@ -50,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_exact_dedup": op3_exact_dedup,
         "op4_toxicity": op4_toxicity,
         "op5_license_scan": op5_license_scan,
+        "op6_hmm_lm": op6_hmm_lm,
         "op9_secret_scan": op9_secret_scan,
         "op10_decontamination": op10_decontamination,
     }
