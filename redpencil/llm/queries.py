@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redpencil.llm import decontamination, exact_dedup, hmm_lm, license_scan, packing, secret_scan, simhash, toxicity
+from redpencil.llm import chat_format, cotraining, decontamination, exact_dedup, hmm_lm, license_scan, packing, secret_scan, simhash, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -39,6 +39,14 @@ def op6_hmm_lm(spark: SparkSession, folder: str) -> DataFrame:
     return hmm_lm.report(table(spark, folder, "documents"))
 
 
+def op7_quality_cotraining(spark: SparkSession, folder: str) -> DataFrame:
+    return cotraining.report(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op8_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    return chat_format.formatted(table(spark, folder, "conversations"))
+
+
 def op9_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.report(table(spark, folder, "documents"))
 
@@ -55,6 +63,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity": op4_toxicity,
         "op5_license_scan": op5_license_scan,
         "op6_hmm_lm": op6_hmm_lm,
+        "op7_quality_cotraining": op7_quality_cotraining,
+        "op8_chat_format": op8_chat_format,
         "op9_secret_scan": op9_secret_scan,
         "op10_decontamination": op10_decontamination,
     }

@@ -120,7 +120,7 @@ def scan(docs: DataFrame, wide_owners: int = WIDE_OWNERS, owner: Column | None =
     """
     found = store(candidates(docs, owner, repository), "secret-candidates")
     rows = found.select("doc_id", "text_key", F.explode(F.concat("base", "added")).alias("span"))
-    judged = rows.join(ownership(found), F.col("span.value") == F.col("value")).select(
+    judged = rows.join(store(ownership(found), "ownership"), F.col("span.value") == F.col("value")).select(
         "doc_id", "text_key", "span", (F.col("n_owners") < wide_owners).alias("live")
     )
     per_row = judged.groupBy(F.col("doc_id").alias("j_id"), F.col("text_key").alias("j_key")).agg(
