@@ -154,6 +154,8 @@ def _members(open_rows: DataFrame) -> DataFrame:
     lead = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
     groups = open_rows.groupBy(*GROUP).agg(lead.alias("lead"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     led = groups.select(*GROUP, F.col("lead.doc_id").alias("lead_id"), F.col("lead.text_key").alias("lead_key"))
+    # Stored, as only a join of two plain shuffles is split where a group holds many rows.
+    led = store(led, "groups")
     return open_rows.join(led, GROUP).select(*ROW, *GROUP, "lead_id", "lead_key")
 
 
@@ -170,7 +172,8 @@ def classes(docs: DataFrame, prints: DataFrame) -> DataFrame:
             break
         wanted = members.select(F.col("doc_id").alias("m_id"), F.col("text_key").alias("m_key"))
         keyed = docs.select("doc_id", text_key().alias("text_key"), "text")
-        found = keyed.join(wanted, keyed["doc_id"].eqNullSafe(F.col("m_id")) & (F.col("text_key") == F.col("m_key")), "left_semi")
+        # Always by shuffle: the candidates grow with the corpus.
+        found = keyed.join(wanted.hint("merge"), keyed["doc_id"].eqNullSafe(F.col("m_id")) & (F.col("text_key") == F.col("m_key")), "left_semi")
         cut = store(_chunk_rows(found), "chunks")
         mine = cut.select(F.col("doc_id").alias("a_id"), F.col("text_key").alias("a_key"), "chunk_no", F.col("chunk").alias("mine"))
         pairs = members.select(F.col("doc_id").alias("p_id"), F.col("text_key").alias("p_key"), "lead_id", "lead_key")
@@ -181,6 +184,7 @@ def classes(docs: DataFrame, prints: DataFrame) -> DataFrame:
             .select(F.col("doc_id").alias("l_id"), F.col("text_key").alias("l_key"), F.col("chunk_no").alias("l_no"), F.col("chunk").alias("theirs"))
             .dropDuplicates(["l_id", "l_key", "l_no"])
         )
+        theirs = store(theirs, "leading-chunks")
         led = mine.join(pairs, F.col("a_id").eqNullSafe(F.col("p_id")) & (F.col("a_key") == F.col("p_key")))
         compared = led.join(
             theirs,
@@ -212,7 +216,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
         joined = row.join(found, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("text_key") == F.col("f_key")), "left")
         grouped = store(joined.filter(F.col("lead_key").isNotNull()), "grouped")
         sizes = grouped.groupBy(F.col("lead_id").alias("s_id"), F.col("lead_key").alias("s_key")).agg(F.sum("n").alias("group_size"))
-        many = grouped.join(sizes, F.col("lead_id").eqNullSafe(F.col("s_id")) & (F.col("lead_key") == F.col("s_key")))
+        many = grouped.join(store(sizes, "group-sizes"), F.col("lead_id").eqNullSafe(F.col("s_id")) & (F.col("lead_key") == F.col("s_key")))
         many = many.select(*row.columns, F.col("lead_id").alias("keep_id"), "group_size")
         one = joined.filter(F.col("lead_key").isNull()).select(*row.columns, F.col("doc_id").alias("keep_id"), F.col("n").alias("group_size"))
         led = one.unionByName(many)

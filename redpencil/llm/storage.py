@@ -52,10 +52,9 @@ def text_key(text: str | Column = "text") -> Column:
 def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """``docs`` without the rows whose (doc_id, text_key) is in ``dropped``; columns and other rows stay as they are.
 
-    The key tables are small beside the texts, so Spark broadcasts them while they are small and merges by
-    shuffle beyond. Rows without a doc_id are never dropped.
+    Always a merge by shuffle, as what is dropped grows with the corpus. Rows without a doc_id are never dropped.
     """
     id_name, key_name = fresh_name(docs, "_dropped_id"), fresh_name(docs, "_dropped_key")
     gone = dropped.select(F.col("doc_id").alias(id_name), F.col("text_key").alias(key_name))
     same = (F.col("doc_id") == F.col(id_name)) & (text_key() == F.col(key_name))
-    return docs.join(gone, same, "left_anti")
+    return docs.join(gone.hint("merge"), same, "left_anti")
