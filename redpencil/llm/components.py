@@ -2,7 +2,8 @@
 
 Every round replaces the edges by edges to smaller neighbours and never makes more of them. Groups are reduced
 by partial aggregates, and joins back to a large group rely on Spark's split of skewed joins, so that a
-component may hold any share of all vertices. Rounds are written to the shared folder.
+component may hold any share of all vertices; the reduced tables are stored first, as only joins of plain
+shuffles are split. Rounds are written to the shared folder.
 """
 
 from __future__ import annotations
@@ -10,19 +11,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redpencil.llm.storage import discard, store_at
+from redpencil.llm.storage import discard, store, store_at
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of a vertex to the smallest vertex around it."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    smallest = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    smallest = store(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "smallest")
     return both.join(smallest, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link a vertex and its smaller neighbours to the smallest of them. Edges run from larger to smaller."""
-    smallest = edges.groupBy("u").agg(F.min("v").alias("m"))
+    smallest = store(edges.groupBy("u").agg(F.min("v").alias("m")), "smallest")
     moved = edges.join(smallest, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(smallest.select("u", F.col("m").alias("v"))).distinct()
 

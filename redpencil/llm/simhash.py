@@ -273,7 +273,7 @@ def _units(rotated: DataFrame, budget: int, node_rows: int) -> Iterator[tuple[in
             pairs.join(one, ["turn", "a"])
             .join(two, ["turn", "b"])
             .filter("a != b or c < d or (c = d and n_c > 1)")
-            .withColumn("errors", (F.col("errors") + F.bit_count(F.col("c").bitwiseXOR(F.col("d")))).cast("int"))
+            .withColumn("errors", F.bit_count(F.col("c").bitwiseXOR(F.col("d"))).cast("int"))  # nodes are whole prefixes
             .filter(F.col("errors") <= budget)
             .select("turn", F.col("c").alias("a"), F.col("d").alias("b"), "errors", F.greatest("n_c", "n_d").alias("n"))
         )
@@ -302,8 +302,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, budget: int = BUDGET, n
     distinct = store(made.groupBy("bits").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
     roots = connected_components(links(distinct, budget, node_rows))
     rooted = distinct.join(roots, F.col("bits") == F.col("u"), "left").select("bits", "first_id", F.coalesce("root", "bits").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    components = rooted.join(smallest, "root").select("bits", "component_id")
+    rooted = store(rooted, "rooted")
+    # Both stored, as only joins of plain shuffles are split where a component or fingerprint holds many rows.
+    smallest = store(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "component-ids")
+    components = store(rooted.join(smallest, "root").select("bits", "component_id"), "components")
     return made.join(components, "bits", "left").select("doc_id", "text_key", "bits", "component_id")
 
 
