@@ -38,7 +38,7 @@ SPEAKERS = {
 }
 _ROLE_OF = {name: ROLES.index(role) for role, names in SPEAKERS.items() for name in names.split()}
 _NAMES = "|".join(sorted(_ROLE_OF, key=lambda n: (-len(n), n)))
-_MARKER = re.compile(rf"(?im)^[ \t]*(?:<\|({_NAMES})\|>|\[({_NAMES})\]:?|(?:#+|\*\*)[ \t]*({_NAMES})[ \t]*(?:\*\*)?:?[ \t]*(?=$)|(?:\*\*)?({_NAMES})(?:\*\*)?[ \t]*[:>])[ \t]*")
+_MARKER = re.compile(rf"(?im)^[ \t]*(?:<\|({_NAMES})\|>|\[({_NAMES})\]:?|(?:#+|\*\*)[ \t]*({_NAMES})[ \t]*(?:\*\*)?:?[ \t]*(?=$)|(?:\*\*)?({_NAMES})(?:\*\*)?[ \t]*[:>](?:\*\*)?)[ \t]*")
 _LIST = re.compile(r"(?m)^\s*(?:[-*•]|\d+[.)])\s")
 SIZES = (40, 100, 200, 400, 800, 1600)
 MARKERS, LENGTHS, SHAPES, PLACES = len(ROLES) + 1, len(SIZES) + 1, 4, 3
