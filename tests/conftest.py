@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 from pyspark.sql import SparkSession
@@ -24,8 +25,11 @@ CANONICAL_DDL = "student_id string, exam_id string, question_id string, rubric_i
 
 @pytest.fixture(scope="session")
 def spark():
+    scratch = tempfile.mkdtemp(prefix="redpencil-tests-")
     session = (
         SparkSession.builder.master("local[8]")
+        .config("spark.checkpoint.dir", f"file://{scratch}/shared")
+        .config("spark.sql.warehouse.dir", f"file://{scratch}/warehouse")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
