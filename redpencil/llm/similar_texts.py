@@ -1,0 +1,201 @@
+"""Near copies by the similarity of their word shingles, with SimHash fingerprints as the way to find them.
+
+A 64-bit fingerprint within a few bits finds texts that are all but equal; at a Jaccard similarity of 0.8, two texts differ
+in 4 to 14 bits. So the search is widened. Beside the fingerprint of the whole text, joined by the trie walk, a
+text gets ``BANDS`` further fingerprints, each the SimHash of a min-wise sample of its shingles: two texts of similarity s
+have the same sample with probability of about s to the power of the sample's size. At 0.8, the chance
+to share none of the bands is below one in ten thousand.
+
+What is found is then verified: texts that share a band or a trie component are compared by their sets of shingles, which is exact
+up to ``SKETCH`` distinct shingles and beyond that is estimated from the ``SKETCH`` smallest hashes of the union (standard error below 0.02).
+Only pairs at or above the similarity link. A group that shares a band is compared in blocks of bounded
+size; the representatives of the clusters found are compared again, dealt anew, for ``PASSES`` passes.
+
+Defined results: as for fingerprints. Texts without words are similar to each other and to nothing else.
+"""
+
+from __future__ import annotations
+
+from itertools import groupby
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from redpencil.llm.components import connected_components
+from redpencil.llm.simhash import BUDGET, _fingerprints_of, _hashes, links
+from redpencil.llm.storage import store, text_key, without_rows
+from redpencil.llm.words import pieces, texts
+
+WORDS = 5
+SIMILARITY = 0.8
+BANDS = 14
+SAMPLED = 3
+SKETCH = 512
+BLOCK = 2048
+PASSES = 3
+# Fingerprints of whole texts that differ in more bits cannot stand for texts of the similarity (32 are expected of strangers, 10 at 0.8).
+FAR_BITS = 24
+_MULTIPLIERS = np.random.default_rng(11).integers(1, 1 << 63, BANDS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _mixed(values: np.ndarray, multiplier: np.uint64) -> np.ndarray:
+    """One of many orders of the hashes."""
+    mixed = values * multiplier
+    return (mixed ^ (mixed >> np.uint64(32))) * multiplier
+
+
+def bands(distinct: np.ndarray) -> list[int]:
+    """SimHash of each min-wise sample; a text without shingles has none."""
+    out = []
+    for multiplier in _MULTIPLIERS if len(distinct) else ():
+        mixed = _mixed(distinct, multiplier)
+        few = np.sort(np.partition(mixed, SAMPLED - 1)[:SAMPLED] if len(mixed) > SAMPLED else mixed)
+        if len(few) == 1:
+            bits = few[0]
+        elif len(few) == 2:
+            bits = few[0] & few[1]
+        else:
+            bits = (few[0] & few[1]) | (few[0] & few[2]) | (few[1] & few[2])
+        out.append(int(bits.astype(np.int64)))
+    return out
+
+
+def similarity(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> float:
+    """Jaccard similarity from the smallest hashes of two sets of n_a and n_b shingles."""
+    if not n_a or not n_b:
+        return float(n_a == n_b)
+    union = np.union1d(a, b)
+    if max(n_a, n_b) > SKETCH:
+        union = union[:SKETCH]
+    both = np.intersect1d(a, b, assume_unique=True)
+    return float(np.searchsorted(both, union[-1], side="right")) / len(union)
+
+
+def sketched(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """Rows (row, doc_id, text_key, bits, bands, n, sketch)."""
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"row bigint, doc_id {id_type}, text_key bigint, bits bigint, bands array<bigint>, n bigint, sketch binary"
+    names = [part.split()[0] for part in schema.split(", ")]
+
+    def run(batches):
+        number = 0
+        for whole in batches:
+            for batch in pieces(whole):
+                found = list(texts(batch))
+                bits = _fingerprints_of(found, words).view(np.int64)
+                band, count, sketch = [], [], []
+                for text in found:
+                    parts = list(_hashes(text, words))
+                    distinct = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+                    band.append(bands(distinct))
+                    count.append(len(distinct))
+                    sketch.append(np.unique((distinct[:SKETCH] >> np.uint64(32)).astype("<u4")).tobytes())
+                rows = (batch.column("part")[0].as_py() << 40) + number + np.arange(batch.num_rows)
+                number += batch.num_rows
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(rows), batch.column("doc_id"), batch.column("text_key"), pa.array(bits)]
+                    + [pa.array(band, pa.list_(pa.int64())), pa.array(count, pa.int64()), pa.array(sketch, pa.binary())],
+                    names,
+                )
+
+    return docs.select(F.spark_partition_id().alias("part"), "doc_id", text_key().alias("text_key"), "text").mapInArrow(run, schema)
+
+
+def _clusters(rows: list[dict], least: float) -> np.ndarray:
+    """Label of each row: the place of the first row of its cluster, over links of the similarity."""
+    label = np.arange(len(rows))
+    bits = np.array([r["bits"] for r in rows], np.int64)
+    sizes = np.array([r["n"] for r in rows], float)
+    sketch = [np.frombuffer(r["sketch"], "<u4") for r in rows]
+    for k in range(1, len(rows)):
+        near = np.bitwise_count(bits[:k] ^ bits[k]) <= FAR_BITS
+        near &= np.minimum(sizes[:k], sizes[k]) >= least * np.maximum(sizes[:k], sizes[k])
+        open_ = np.flatnonzero(near & (label[:k] != label[k]))
+        while len(open_):
+            j = open_[0]
+            if similarity(sketch[j], sketch[k], rows[j]["n"], rows[k]["n"]) >= least:
+                first, second = sorted((label[j], label[k]))
+                label[label == second] = first
+            open_ = open_[1:]
+            open_ = open_[label[open_] != label[k]]
+    return label
+
+
+def _verified(members: DataFrame, least: float) -> DataFrame:
+    """Rows (band, value, u, v): every member with the representative of its cluster in its block."""
+    def run(batches):
+        held: list[dict] = []
+        unit = lambda r: (r["band"], r["value"], r["block"])
+
+        def solve(rows: list[dict]) -> pa.RecordBatch:
+            out = []
+            for _, group in groupby(rows, unit):
+                group = list(group)
+                for r, first in zip(group, _clusters(group, least)):
+                    out.append((r["band"], r["value"], r["row"], group[first]["row"]))
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["band", "value", "u", "v"])
+
+        for whole in batches:
+            for batch in pieces(whole, 2048):
+                held += batch.to_pylist()
+                last = unit(held[-1]) if held else None
+                cut = len(held)
+                while cut and unit(held[cut - 1]) == last:
+                    cut -= 1
+                if cut:
+                    yield solve(held[:cut])
+                    held = held[cut:]
+        if held:
+            yield solve(held)
+
+    dealt = members.repartition("band", "value", "block").sortWithinPartitions("band", "value", "block", "n", "row")
+    return dealt.select("band", "value", "block", "row", "bits", "n", "sketch").mapInArrow(run, "band int, value bigint, u bigint, v bigint")
+
+
+def similar_links(made: DataFrame, trie: DataFrame, least: float) -> DataFrame:
+    """Rows (u, v) of linked rows. ``trie`` has (u, root) of fingerprints joined by the trie walk."""
+    whole = made.join(trie, F.col("bits") == F.col("u"), "left").select(
+        F.lit(-1).alias("band"), F.coalesce("root", "bits").alias("value"), "row"
+    )
+    keys = whole.unionByName(made.select(F.posexplode("bands").alias("band", "value"), "row"))
+    found = None
+    for turn in range(PASSES):
+        sizes = keys.groupBy("band", "value").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+        sizes = store(sizes, "band-groups")
+        if sizes.isEmpty():
+            break
+        blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
+        members = keys.join(sizes, ["band", "value"]).select(
+            "band", "value", "row", F.pmod(F.xxhash64("row", F.lit(turn)), blocks).cast("int").alias("block"), (blocks > 1).alias("several")
+        )
+        members = store(members, "band-members")
+        full = members.join(made.select("row", "bits", "n", "sketch").hint("merge"), "row")
+        part = store(_verified(full, least), "similar-links")
+        found = part if found is None else found.unionByName(part)
+        if members.filter("several").isEmpty():
+            break
+        hot = sizes.filter(blocks > 1).select("band", "value")
+        keys = part.filter("u = v").join(hot, ["band", "value"], "left_semi").select("band", "value", F.col("u").alias("row"))
+    if found is None:
+        return made.select(F.col("row").alias("u"), F.col("row").alias("v")).limit(0)
+    return found.filter("u != v").select("u", "v")
+
+
+def similar_texts(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY, budget: int = BUDGET) -> DataFrame:
+    """Rows (doc_id, text_key, component_id) of the rows that have a near copy: the smallest doc_id reachable."""
+    made = store(sketched(docs, words), "sketches")
+    distinct = store(made.select("bits").distinct(), "distinct-fingerprints")
+    trie = store(connected_components(links(distinct, budget)), "trie-roots")
+    linked = store(connected_components(similar_links(made, trie, least)), "similar-roots")
+    ends = linked.unionByName(linked.select(F.col("root").alias("u"), "root").distinct())
+    rows = store(made.select("row", "doc_id", "text_key").join(ends, F.col("row") == F.col("u")).select("doc_id", "text_key", "root"), "similar-rows")
+    smallest = store(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "smallest-ids")
+    return rows.join(smallest, "root").select("doc_id", "text_key", "component_id")
+
+
+def keep_one_each(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY) -> DataFrame:
+    """``docs`` with the document of the smallest doc_id of each group of near copies; all columns stay."""
+    found = similar_texts(docs, words, least).filter(F.col("doc_id") != F.col("component_id"))
+    return without_rows(docs, found.select("doc_id", "text_key").distinct())
