@@ -106,7 +106,7 @@ def sketched(docs: DataFrame, words: int = WORDS) -> DataFrame:
 def _clusters(rows: list[dict], least: float) -> np.ndarray:
     """Label of each row: the place of the first row of its cluster, over links of the similarity."""
     label = np.arange(len(rows))
-    bits = np.array([r["bits"] for r in rows], np.int64)
+    bits = np.array([r["bits"] for r in rows], np.int64).view(np.uint64)
     sizes = np.array([r["n"] for r in rows], float)
     sketch = [np.frombuffer(r["sketch"], "<u4") for r in rows]
     for k in range(1, len(rows)):
