@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from redpencil.functions.text import clean, is_blank
-from redpencil.operators.shared import broadcast_if_small
 from redpencil.schemas import UNMAPPED
 
 # Texts that stand for "no concept".
@@ -30,7 +29,7 @@ def clean_concept_map(entries: DataFrame) -> DataFrame:
             valid.alias("valid"),
         )
         .groupBy("rubric_item", "valid")
-        .agg(F.max_by("concept", "pos").alias("concept"))
+        .agg(F.max_by("concept", F.coalesce("pos", F.lit(-1))).alias("concept"))
         .select("rubric_item", "concept", "valid")
     )
 
@@ -50,7 +49,7 @@ def apply_concepts(df: DataFrame, concept_map: DataFrame | None = None, unmapped
     data = df.withColumn("rubric_item", clean(F.col("rubric_item")))
     if concept_map is None:
         return data.withColumn("concept", F.coalesce(own, F.lit(unmapped)))
-    lookup = broadcast_if_small(concept_map.select("rubric_item", clean(F.col("concept")).alias("_mapped")))
+    lookup = concept_map.select("rubric_item", clean(F.col("concept")).alias("_mapped"))
     return (
         data.join(lookup, "rubric_item", "left")
         .withColumn("concept", F.coalesce(own, F.nullif("_mapped", F.lit("")), F.lit(unmapped)))

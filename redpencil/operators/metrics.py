@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from redpencil.functions.exams import sort_keys
 from redpencil.functions.text import is_blank, strip
-from redpencil.operators.shared import materialize, medians
+from redpencil.operators.shared import materialize, medians, null_safe_join
 from redpencil.schemas import empty
 
 
@@ -25,6 +25,8 @@ def rubric_item_stats(df: DataFrame) -> DataFrame:
     is derived from those counts, so an item with a third of all rows costs no more than the others.
     """
     keys = ["rubric_item", "topic"]
+    blank = F.lit("")  # null and blank are one key
+    df = df.withColumns({k: F.coalesce(k, blank) for k in keys})
     counts = materialize(df.groupBy(*keys, "points_lost").agg(F.count("*").alias("n")))
     stats = value_stats(counts, keys, "points_lost")
     return stats.select(
@@ -47,7 +49,8 @@ def value_stats(counts: DataFrame, keys: Sequence[str], value: str) -> DataFrame
     )
     base = base.withColumn("mean", F.when(F.col("known") > 0, F.col("total") / F.col("known")))
     spread = _spread(counts, base, keys, value)
-    return base.join(spread, list(keys)).join(medians(counts, keys, value, "n", "median"), list(keys), "left")
+    with_spread = null_safe_join(base, spread, keys)
+    return null_safe_join(with_spread, medians(counts, keys, value, "n", "median"), keys, "left")
 
 
 def exam_breakdown(df: DataFrame) -> DataFrame:
@@ -184,7 +187,11 @@ def disparity_gap(df: DataFrame, group_col: str, label: str) -> DataFrame:
 
 
 def kpis(df: DataFrame, rubric_item: str | None = None) -> DataFrame:
-    """Headline figures. Per-student figures, items and total follow the drill-down; the others do not."""
+    """Headline figures. Per-student figures, items and total follow the drill-down; the others do not.
+
+    Without a drill-down the sums per student also tell how many rows and students there are, so that the
+    facts are only expanded for the columns of few values.
+    """
     chosen = F.lit(True) if rubric_item is None else F.col("rubric_item") == rubric_item
     per_student = df.filter(chosen).groupBy("student_id").agg(F.sum("points_lost").alias("t"))
     spread = per_student.agg(
@@ -234,7 +241,7 @@ def _spread(counts: DataFrame, base: DataFrame, keys: Sequence[str], value: str)
     """Population deviation around the group mean."""
     apart = F.col("n") * F.pow(F.col(value) - F.col("mean"), F.lit(2))
     return (
-        counts.join(base.select(*keys, "mean", "known"), list(keys))
+        null_safe_join(counts, base.select(*keys, "mean", "known"), keys)
         .groupBy(*keys)
         .agg(F.sqrt(F.sum(apart) / F.nullif(F.max("known"), F.lit(0))).alias("std"))
     )

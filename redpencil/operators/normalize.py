@@ -82,11 +82,11 @@ def resolve_mapping(
     return {**suggestion, **{k: v for k, v in (saved or {}).items() if v}}
 
 
-def apply_mapping(df: DataFrame, mapping: ColumnMapping, check: str = "scan") -> DataFrame:
+def apply_mapping(df: DataFrame, mapping: ColumnMapping, check: str = "inline") -> DataFrame:
     """Project a source frame onto the canonical columns and reject it when a row is not acceptable.
 
-    ``check="scan"`` tests all rows in one aggregate before returning; ``check="inline"`` puts the test into
-    the projection, so that the first action fails instead and no extra pass over the source is needed.
+    ``check="inline"`` puts the test into the projection, so that the first action fails and no extra pass over the
+    source is needed; ``check="scan"`` tests all rows in one aggregate before returning.
     """
     unknown = [c for c in mapping.to_dict().values() if c and c not in df.columns]
     if unknown:
@@ -102,7 +102,7 @@ def apply_mapping(df: DataFrame, mapping: ColumnMapping, check: str = "scan") ->
     return _checked(df, columns, ["points_lost", *DEDUCTION_IDS], check)
 
 
-def canonicalize(df: DataFrame, check: str = "scan") -> DataFrame:
+def canonicalize(df: DataFrame, check: str = "inline") -> DataFrame:
     """Strip ids, fill the optional columns and put an already canonical frame into table order."""
     missing = [c for c in DEDUCTION_REQUIRED if c not in df.columns]
     if missing:
@@ -114,7 +114,7 @@ def canonicalize(df: DataFrame, check: str = "scan") -> DataFrame:
 
 
 def normalize(
-    df: DataFrame, mapping: ColumnMapping | None = None, infer_mapping: bool = True, check: str = "scan"
+    df: DataFrame, mapping: ColumnMapping | None = None, infer_mapping: bool = True, check: str = "inline"
 ) -> Normalized:
     """Canonical input is cleaned; anything else goes through the given or the suggested mapping."""
     if is_canonical(df):

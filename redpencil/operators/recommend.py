@@ -16,7 +16,7 @@ from redpencil.functions.exams import cohort
 from redpencil.functions.text import clean, one_decimal, percent
 from redpencil.operators.cohorts import concept_persistence_rows, persistence_by
 from redpencil.operators.metrics import errors_by_item
-from redpencil.operators.shared import BROADCAST_ROWS, materialize
+from redpencil.operators.shared import materialize
 from redpencil.schemas import UNMAPPED, empty
 
 # The persistence rate from which a concept is taught again, and the two actions.
@@ -70,7 +70,7 @@ def recommendations(
         ranked.withColumn("impact_score", impact_score()).orderBy(F.desc("impact_score"), "concept").limit(top_n)
     )
     names = top.select("concept")
-    rates = concept_persistence_rows(data, order, F.broadcast(names) if top_n <= BROADCAST_ROWS else names)
+    rates = concept_persistence_rows(data, order, names)
     rate = F.coalesce("persistence_rate", F.lit(0.0))
     return (
         top.join(rates.select("concept", "persistence_rate"), "concept", "left")

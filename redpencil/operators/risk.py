@@ -3,8 +3,8 @@
 The reference has one row per (student, exam, item), for every item there is. Nearly all of those rows say
 "not seen, not repeated", so the work is done on a compact frame that is exactly equivalent: the rows of
 items a student has shown are listed one by one, and all the others are counted, once per concept with
-points and once for the rest. ``n_items`` is the number of reference rows a compact row stands for. The fit
-uses it as a weight. The full frames are there too; their size is students x exams x items by definition.
+points and once for the rest. ``n_items`` is the number of reference rows a compact row stands for; the fit
+uses it as a weight. Null student and exam ids are blank ones.
 """
 
 from __future__ import annotations
@@ -12,55 +12,64 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import VectorAssembler
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from redpencil.functions.exams import sort_keys
 from redpencil.functions.text import clean
-from redpencil.operators.shared import broadcast_if_small, materialize
-from redpencil.operators.trajectory import sittings
+from redpencil.operators.shared import materialize
 
-# Model settings, confidence thresholds and the messages for data that cannot be fitted.
+# Feature names, confidence thresholds and the messages for data that cannot be fitted.
 FEATURES = ["prior_seen", "prior_concept_points"]
-ITERATIONS = 200
 HIGH, MEDIUM = 0.7, 0.4
-NO_HISTORY = "Not enough exam history to train (need at least 2 exams with students)."
-ONE_CLASS = "Model training failed: the training labels contain only one class."
+NO_HISTORY = "No student sat two exams, so there is nothing to fit."
+ONE_CLASS = "Every item was repeated, or none was, so no model can be fitted."
+# Newton's method: most steps, and the size of a step that ends it.
+STEPS, SMALL = 50, 1e-10
 
-BLOCK_ITEMS = 1000
-SPREAD = 32
+
+@dataclass(frozen=True)
+class Fitted:
+    intercept: float
+    coefficients: tuple[float, float]
 
 
 @dataclass(frozen=True)
 class RiskModel:
-    model: LogisticRegressionModel | None
+    model: Fitted | None
     warning: str | None
 
     def coefficients(self, like: DataFrame) -> DataFrame:
         """Rows (feature, coefficient)."""
-        rows = [] if self.model is None else list(zip(FEATURES, map(float, self.model.coefficients)))
+        rows = [] if self.model is None else list(zip(FEATURES, self.model.coefficients))
         return like.sparkSession.createDataFrame(rows, "feature string, coefficient double")
 
     def probability(self) -> Column:
         if self.model is None:
             return F.lit(None).cast("double")
-        seen, points = map(float, self.model.coefficients)
-        margin = F.lit(float(self.model.intercept)) + F.lit(seen) * F.col(FEATURES[0]) + F.lit(points) * F.col(FEATURES[1])
-        return 1 / (1 + F.exp(-margin))
+        return _chance(self.model.intercept, *self.model.coefficients)
 
 
-def risk_history(df: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
-    """What all frames are made from: points and rows per (student, exam, item, concept), computed once.
+@dataclass(frozen=True)
+class RiskBase:
+    """What all frames are made from, each part computed once.
 
-    ``seq`` is the place of the exam among the student's own, ``last`` the last such place.
+    ``history`` has points and rows per (student, exam, item, concept); ``seq`` is the place of the exam among the
+    student's own, ``last`` the last such place. ``catalogue`` has every item with its most frequent concept.
     """
+
+    history: DataFrame
+    catalogue: DataFrame
+    n_items: int
+
+
+def risk_base(df: DataFrame, order: Sequence[str] | None = None) -> RiskBase:
     concept = clean(F.col("concept")) if "concept" in df.columns else F.lit("")
     facts = (
         df.select(
-            F.col("student_id").cast("string").alias("student_id"),
-            F.col("exam_id").cast("string").alias("exam_id"),
+            *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("student_id", "exam_id")],
             clean(F.col("rubric_item")).alias("rubric_item"),
             concept.alias("concept"),
             F.coalesce(F.col("points_lost").cast("double"), F.lit(0.0)).alias("points_lost"),
@@ -68,7 +77,13 @@ def risk_history(df: DataFrame, order: Sequence[str] | None = None) -> DataFrame
         .groupBy("student_id", "exam_id", "rubric_item", "concept")
         .agg(F.sum("points_lost").alias("points"), F.count("*").alias("n"))
     )
-    return materialize(facts.join(sittings(facts, order), ["student_id", "exam_id"]))
+    # Numbering a student's exams needs all rows of the student together, which the sum per student keeps.
+    own = W.partitionBy("student_id")
+    seq = F.dense_rank().over(own.orderBy(*sort_keys(order))) - 1
+    placed = facts.withColumn("seq", seq).withColumn("last", F.max("seq").over(own))
+    history = materialize(placed)
+    catalogue = materialize(_modes(history.groupBy("rubric_item", "concept").agg(F.sum("n").alias("n"))))
+    return RiskBase(history, catalogue, catalogue.count())
 
 
 def item_concept_mode(df: DataFrame) -> DataFrame:
@@ -79,33 +94,25 @@ def item_concept_mode(df: DataFrame) -> DataFrame:
 
 
 def risk_train(df: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
-    """The full training frame: every item for each exam of a student after the first one."""
-    history = risk_history(df, order)
-    full = _expand(_catalogue(history), history, "train")
-    return full.select("student_id", "exam_id", "rubric_item", *FEATURES, "label")
+    """Training rows for the exams of a student after the first; unlisted items are counted in ``n_items``.
 
-
-def risk_score_frame(df: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
-    """The full scoring frame: every item for each student, as things stood before the student's last exam."""
-    return _score_frame(risk_history(df, order))
-
-
-def risk_train_compact(df: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
-    """The training frame with unlisted items counted in ``n_items`` (their rubric_item is null)."""
-    return _compact(risk_history(df, order), "train")
+    Rows that stand for unlisted items have no rubric_item, and a concept only where the student has points in it.
+    """
+    return _compact(risk_base(df, order), "train")
 
 
-def risk_score_compact(df: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
-    return _compact(risk_history(df, order), "score").drop("label")
+def risk_score_frame(df: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
+    """Scoring rows, as things stood before a student's last exam, in the form of the training rows."""
+    return _compact(risk_base(df, order), "score").drop("label")
 
 
 def risk_train_weights(df: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
     """How many training rows share each combination of features and label."""
-    return _weights(risk_history(df, order))
+    return _weights(risk_base(df, order))
 
 
 def fit_risk_model(df: DataFrame, order: Sequence[str] | None = None) -> RiskModel:
-    return _fit(risk_history(df, order))
+    return _fit(risk_base(df, order))
 
 
 def risk_coefficients(df: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
@@ -113,29 +120,29 @@ def risk_coefficients(df: DataFrame, order: Sequence[str] | None = None) -> Data
 
 
 def risk_scores(df: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
-    """The full scoring frame with probability and confidence; no rows when no model can be fitted."""
-    history = risk_history(df, order)
-    return _scored(_score_frame(history), _fit(history))
+    """The scoring rows with probability and confidence; no rows when no model can be fitted."""
+    base = risk_base(df, order)
+    return _scored(_compact(base, "score").drop("label"), _fit(base))
 
 
 def top_risks(df: DataFrame, order: Sequence[str] | None = None, n: int = 50) -> DataFrame:
     """The n highest risks, probability rounded to 3 places, ties by student and item.
 
-    The compact frame tells which students can be among them: the first n (probability, student) groups
-    hold at least n rows. Only for those at most n students is the full frame made.
+    The compact rows tell which students can be among them: the first n (probability, student) groups
+    hold at least n rows. Only for those at most n students every item gets a row.
     """
-    history = risk_history(df, order)
-    model = _fit(history)
+    base = risk_base(df, order)
+    model = _fit(base)
     risk = F.bround("probability", 3)
     groups = (
-        _scored(_compact(history, "score"), model)
+        _scored(_compact(base, "score"), model)
         .select(risk.alias("probability"), "student_id")
         .distinct()
         .orderBy(F.desc("probability"), "student_id")
         .limit(n)
     )
-    students = materialize(groups.select("student_id").distinct())
-    full = _scored(_score_frame(history, students), model)
+    students = sorted({row["student_id"] for row in groups.collect()})  # at most n
+    full = _scored(_every_item(base, students), model)
     return full.withColumn("probability", risk).orderBy(F.desc("probability"), "student_id", "rubric_item").limit(n)
 
 
@@ -143,33 +150,38 @@ def confidence(probability: Column) -> Column:
     return F.when(probability >= HIGH, "high").when(probability >= MEDIUM, "medium").otherwise("low")
 
 
-def _weights(history: DataFrame) -> DataFrame:
-    return _compact(history, "train").groupBy(*FEATURES, "label").agg(F.sum("n_items").alias("n_rows"))
+def _chance(intercept: float, seen: float, points: float) -> Column:
+    margin = F.lit(intercept) + F.lit(seen) * F.col(FEATURES[0]) + F.lit(points) * F.col(FEATURES[1])
+    return 1 / (1 + F.exp(-margin))
 
 
-def _fit(history: DataFrame) -> RiskModel:
-    """Fit on the distinct feature combinations, weighted by their row counts.
+def _weights(base: RiskBase) -> DataFrame:
+    return _compact(base, "train").groupBy(*FEATURES, "label").agg(F.sum("n_items").alias("n_rows"))
 
-    The penalty is that of a unit-strength L2 term next to the summed log loss; Spark averages the loss, so
-    the parameter is one over the number of rows.
+
+def _fit(base: RiskBase) -> RiskModel:
+    """Logistic regression with a unit L2 penalty on the slopes, by Newton's method.
+
+    The rows are reduced to distinct feature combinations with counts; each step is one aggregate over these.
     """
-    weights = materialize(_weights(history))
+    weights = materialize(_weights(base))
     size = weights.agg(F.sum("n_rows").alias("rows"), F.count_distinct("label").alias("classes")).first()
     if not size["rows"]:
         return RiskModel(None, NO_HISTORY)
     if size["classes"] < 2:
         return RiskModel(None, ONE_CLASS)
-    table = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(weights)
-    model = LogisticRegression(
-        labelCol="label",
-        weightCol="n_rows",
-        maxIter=ITERATIONS,
-        regParam=1.0 / size["rows"],
-        elasticNetParam=0.0,
-        standardization=False,
-        tol=1e-9,
-    ).fit(table.withColumn("n_rows", F.col("n_rows").cast("double")))
-    return RiskModel(model, None)
+    x = [F.lit(1.0), *map(F.col, FEATURES)]
+    at, penalty = np.zeros(3), np.diag([0.0, 1.0, 1.0])
+    for _ in range(STEPS):
+        p = _chance(*map(float, at))
+        off, slope = F.col("n_rows") * (p - F.col("label")), F.col("n_rows") * p * (1 - p)
+        sums = weights.agg(*[F.sum(off * a) for a in x], *[F.sum(slope * a * b) for a in x for b in x]).first()
+        gradient = np.array(sums[:3]) + penalty @ at
+        step = np.linalg.solve(np.array(sums[3:]).reshape(3, 3) + penalty, gradient)
+        at = at - step
+        if np.abs(step).max() < SMALL:
+            break
+    return RiskModel(Fitted(float(at[0]), (float(at[1]), float(at[2]))), None)
 
 
 def _scored(frame: DataFrame, model: RiskModel) -> DataFrame:
@@ -183,11 +195,6 @@ def _modes(counts: DataFrame) -> DataFrame:
     return counts.groupBy("rubric_item").agg(best["concept"].alias("concept"))
 
 
-def _catalogue(history: DataFrame) -> DataFrame:
-    """Every rubric item with its most frequent concept; one row per item, used several times."""
-    return materialize(_modes(history.groupBy("rubric_item", "concept").agg(F.sum("n").alias("n"))))
-
-
 def _targets(history: DataFrame, which: str) -> DataFrame:
     """The (student, exam) pairs that need rows."""
     due = F.col("seq") > 0 if which == "train" else F.col("seq") == F.col("last")
@@ -235,13 +242,12 @@ def _concept_points(history: DataFrame, which: str) -> DataFrame:
     return rows.select("student_id", F.col("_target").alias("seq"), "concept", "prior_concept_points")
 
 
-def _compact(history: DataFrame, which: str) -> DataFrame:
+def _compact(base: RiskBase, which: str) -> DataFrame:
     at = ["student_id", "seq"]
-    catalogue = _catalogue(history)
-    sizes = catalogue.groupBy("concept").agg(F.count("*").alias("_size"))
-    n_items = catalogue.count()
-    states = _concept_points(history, which).join(broadcast_if_small(sizes), "concept")
-    listed = _listed(history, which).join(broadcast_if_small(catalogue), "rubric_item")
+    history = base.history
+    sizes = base.catalogue.groupBy("concept").agg(F.count("*").alias("_size"))
+    states = _concept_points(history, which).join(sizes, "concept")
+    listed = _listed(history, which).join(base.catalogue, "rubric_item")
     zero, no_item = F.lit(0).cast("bigint"), F.lit(None).cast("string").alias("rubric_item")
 
     one_by_one = listed.join(states.drop("_size"), [*at, "concept"], "left").select(
@@ -266,7 +272,7 @@ def _compact(history: DataFrame, which: str) -> DataFrame:
         *at,
         F.lit(None).cast("string").alias("concept"),
         F.lit(0.0).alias("prior_concept_points"),
-        (F.lit(n_items) - F.coalesce("_accounted", zero)).alias("n_items"),
+        (F.lit(base.n_items) - F.coalesce("_accounted", zero)).alias("n_items"),
     )
     rest = (
         concept_rest.unionByName(plain_rest)
@@ -284,39 +290,21 @@ def _compact(history: DataFrame, which: str) -> DataFrame:
     return one_by_one.unionByName(rest).join(targets, at).drop("seq")
 
 
-def _score_frame(history: DataFrame, students: DataFrame | None = None) -> DataFrame:
-    """``students`` restricts the rows made; the item catalogue still comes from everybody."""
-    scope = history if students is None else history.join(students, "student_id", "left_semi")
-    return _expand(_catalogue(history), scope, "score").select("student_id", "rubric_item", *FEATURES)
-
-
-def _expand(catalogue: DataFrame, history: DataFrame, which: str) -> DataFrame:
-    """One row per target (student, exam) and item, with features and label.
-
-    Targets and items meet by an equi-join on (item block, spread), so the output is made by many tasks of
-    bounded size: a block holds about ``BLOCK_ITEMS`` items, and the targets of a block are spread by student.
-    """
-    at = ["student_id", "seq"]
-    blocks = max(1, -(-catalogue.count() // BLOCK_ITEMS))
-    spread_items = (
-        catalogue.withColumn("_block", F.pmod(F.xxhash64("rubric_item"), F.lit(blocks)).cast("int"))
-        .withColumn("_spread", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-    )
-    spread_targets = (
-        _targets(history, which)
-        .withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        .withColumn("_spread", F.pmod(F.xxhash64("student_id", "seq"), F.lit(SPREAD)).cast("int"))
-    )
-    grid = spread_targets.join(spread_items, ["_block", "_spread"])
+def _every_item(base: RiskBase, students: Sequence[str]) -> DataFrame:
+    """Scoring rows of a bounded list of students with a row for every item there is."""
+    if not students:
+        return base.catalogue.select(F.lit("").alias("student_id"), "rubric_item", F.lit(0).alias(FEATURES[0]), F.lit(0.0).alias(FEATURES[1])).limit(0)
+    history = base.history.filter(F.col("student_id").isin(list(students)))
+    grid = base.catalogue.withColumn("student_id", F.explode(F.array(*map(F.lit, students))))
+    seen = _listed(history, "score").select("student_id", "rubric_item", "prior_seen")
+    points = _concept_points(history, "score").select("student_id", "concept", "prior_concept_points")
     return (
-        grid.join(_listed(history, which), [*at, "rubric_item"], "left")
-        .join(_concept_points(history, which), [*at, "concept"], "left")
+        grid.join(seen, ["student_id", "rubric_item"], "left")
+        .join(points, ["student_id", "concept"], "left")
         .select(
             "student_id",
-            "exam_id",
             "rubric_item",
             F.coalesce("prior_seen", F.lit(0)).alias("prior_seen"),
             F.coalesce("prior_concept_points", F.lit(0.0)).alias("prior_concept_points"),
-            F.coalesce("label", F.lit(0)).alias("label"),
         )
     )

@@ -7,14 +7,17 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redpencil.operators.shared import broadcast_if_small, ordinals
+from redpencil.operators.shared import ordinals
 
 # Fixed value: instructor-level output is withheld below this number of students.
 SMALL_COHORT = 5
 
 
 def student_scope(df: DataFrame, students: Iterable[str] | DataFrame | None = None) -> DataFrame:
-    """All rows, or those of the given students. A frame of ids (column ``student_id``) may be of any size."""
+    """All rows, or those of the given students. An empty list means everybody, an empty frame nobody.
+
+    A frame of ids (column ``student_id``) may be of any size.
+    """
     if isinstance(students, DataFrame):
         return df.join(students.select("student_id").distinct(), "student_id", "left_semi").select(*df.columns)
     wanted = [] if students is None else list(students)
@@ -42,20 +45,23 @@ def small_cohort_gate(output: DataFrame, scope: DataFrame, minimum: int = SMALL_
     return output.filter(students >= minimum)
 
 
+def _id():
+    return F.coalesce(F.col("student_id").cast("string"), F.lit(""))
+
+
 def student_aliases(df: DataFrame) -> DataFrame:
-    """Rows (student_id, alias): ids in sorted order become ``Student 001``, ``Student 002``, …"""
-    ids = df.select(F.col("student_id").cast("string").alias("student_id")).distinct()
+    """Rows (student_id, alias): ids in sorted order become ``Student 001``, ``Student 002``, …; a null id is blank."""
+    ids = df.select(_id().alias("student_id")).distinct()
     numbered = ordinals(ids, "student_id", "_n")
     return numbered.select("student_id", F.format_string("Student %03d", "_n").alias("alias"))
 
 
 def anonymize(df: DataFrame, enabled: bool = True) -> DataFrame:
-    """Replace ids, and names where there are any, by aliases. Few students: the facts are not shuffled."""
+    """Replace ids, and names where there are any, by aliases; every row stays. Few students: the facts are not shuffled."""
     if not enabled:
         return df
-    out = df.withColumn("student_id", F.col("student_id").cast("string"))
-    aliases = broadcast_if_small(student_aliases(df))
-    out = out.join(aliases, "student_id").withColumn("student_id", F.col("alias"))
+    out = df.withColumn("student_id", _id())
+    out = out.join(student_aliases(df), "student_id").withColumn("student_id", F.col("alias"))
     if "student_name" in df.columns:
         out = out.withColumn("student_name", F.col("alias"))
     return out.select(*df.columns)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from redpencil.functions.text import clean, is_blank, to_number
 from redpencil.operators.metrics import histogram, value_stats
 from redpencil.operators.normalize import match_headers
-from redpencil.operators.shared import materialize
+from redpencil.operators.shared import materialize, null_safe_join
 from redpencil.schemas import SCORE_COLUMNS, SCORE_REQUIRED
 
 # The header keywords tried for each field, in this order.
@@ -135,8 +135,7 @@ def score_rubric_stats(df: DataFrame) -> DataFrame:
         (F.sum("_full") / F.nullif(F.sum("_rated"), F.lit(0)) * 100).alias("full_points_pct"),
     )
     return (
-        value_stats(counts, keys, "score")
-        .join(marks, keys)
+        null_safe_join(value_stats(counts, keys, "score"), marks, keys)
         .select(
             *keys,
             F.col("rows").alias("count"),

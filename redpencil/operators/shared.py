@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -11,35 +10,24 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder all executors see.
-
-    It is the one named in ``spark.checkpoint.dir``. Where that is unset a private folder is made, which
-    only a local session may use.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            spark.sparkContext.setCheckpointDir(folder)
-        return folder
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("Set spark.checkpoint.dir to a folder that every executor can read")
-    folder = tempfile.mkdtemp(prefix="redpencil-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/redpencil-{uuid.uuid4().hex}/{name}"
+    """A new place in the folder all executors see: ``spark.checkpoint.dir``, or the warehouse where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/redpencil/{uuid.uuid4().hex}/{name}"
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Compute once and cut the lineage; the result survives the loss of executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute once into a parquet table, which survives lost executors, is read by column, and has a known size."""
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys match each other; the columns of ``left``, then the others of ``right``."""
+    named = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = [left[k].eqNullSafe(named[f"_right_{k}"]) for k in keys]
+    return left.join(named, same, how).drop(*[f"_right_{k}" for k in keys])
 
 
 def running_totals(
@@ -66,7 +54,7 @@ def running_totals(
     )
     return (
         ranged.withColumn("_inside", F.sum("_value").over(inside))
-        .join(offsets, ["_range", *groups])
+        .transform(lambda totals: null_safe_join(totals, offsets, ["_range", *groups]))
         .withColumn(name, F.col("_inside") + F.col("_offset"))
         .drop("_range", "_value", "_inside", "_offset")
     )
@@ -86,7 +74,7 @@ def medians(counts: DataFrame, groups: Sequence[str], value: str, weight: str, n
     low = F.expr("(_n + 1) div 2")
     high = F.expr("_n div 2 + 1")
     return (
-        ranked.join(totals, groups)
+        null_safe_join(ranked, totals, groups)
         .groupBy(*groups)
         .agg(
             (
@@ -98,11 +86,3 @@ def medians(counts: DataFrame, groups: Sequence[str], value: str, weight: str, n
             ).alias(name)
         )
     )
-
-
-BROADCAST_ROWS = 100_000
-
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a lookup table for broadcast only after counting it; a larger one is joined by shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from redpencil.functions.exams import sort_keys
 from redpencil.functions.text import clean
-from redpencil.operators.shared import broadcast_if_small, materialize, ordinals
+from redpencil.operators.shared import materialize, ordinals
 from redpencil.operators.similarity import UNIT_ITEMS, block_of, pair_tallies, unit_blocks
 
 
@@ -31,7 +31,8 @@ def sittings(df: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
 
 def item_sittings(df: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
     """Distinct (student_id, exam_id, rubric_item) with the place of the exam among the student's own."""
-    items = df.select("student_id", "exam_id", clean(F.col("rubric_item")).alias("rubric_item")).distinct()
+    ids = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("student_id", "exam_id")]
+    items = df.select(*ids, clean(F.col("rubric_item")).alias("rubric_item")).distinct()
     return items.join(sittings(items, order), ["student_id", "exam_id"])
 
 
@@ -63,8 +64,7 @@ def transitions(df: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
     A unit is one student's step from an exam to the next; its item pairs are tallied, never listed.
     """
     steps = materialize(item_sittings(df, order))
-    numbered = materialize(ordinals(steps.select("rubric_item").distinct(), "rubric_item", "item_no"))
-    items = broadcast_if_small(numbered)
+    items = materialize(ordinals(steps.select("rubric_item").distinct(), "rubric_item", "item_no"))
     placed = steps.join(items, "rubric_item")
     seq = F.col("seq")
     sides = placed.select(

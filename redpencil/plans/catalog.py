@@ -22,6 +22,8 @@ EVENT_MAPPING = ColumnMapping("sid", "exam", "question", "rubric", "loss")
 SCORE_MAPPING = scores.ScoreMapping(
     "Student ID", "Student Name", "Assignment", "Rubric Item", "Category", "Score", "Max Score", "Comment"
 )
+# Concepts a recommendation may name.
+ALLOWED = ["Brand#11 SMALL", "Brand#22 ECONOMY", "Brand#3 PROMO", "Brand#4 STANDARD", "Brand#25 MEDIUM", "Unmapped"]
 # Jaccard alone decides here: the measure called corr never exceeds 1.
 CLUSTER_JACCARD, CLUSTER_CORR = 0.25, 2.0
 
@@ -71,19 +73,21 @@ def _normalize_csv(spark: SparkSession, folder: str) -> DataFrame:
     return files.load_and_normalize(spark, path).data
 
 
-def _concept_map_files(spark: SparkSession, folder: str) -> DataFrame:
+def _concept_map_files(spark: SparkSession, folder: str, format: str = "lines") -> DataFrame:
     path = scratch_path(spark, "concepts.json")
     current = event_concept_map(spark, folder).withColumn("pos", F.lit(0))
-    files.save_concept_map(current, path)
-    return files.load_concept_map(spark, path)
+    files.save_concept_map(current, path, format)
+    return files.load_concept_map(spark, path, format)
 
 
 def _concept_map_load(spark: SparkSession, folder: str) -> DataFrame:
-    """Load a map file that still has placeholders and padded keys."""
+    """Load a JSON object that still has placeholders and padded keys, in the order of its entries."""
     path = scratch_path(spark, "raw.json")
-    raw = event_concept_entries(spark, folder).select("pos", "rubric_item", "concept")
-    raw.write.json(path)
-    return files.load_concept_map(spark, path)
+    entries = F.array_sort(F.collect_list(F.struct("pos", "rubric_item", "concept")))
+    pairs = F.transform(entries, lambda e: F.struct(e["rubric_item"], e["concept"]))
+    raw = event_concept_entries(spark, folder).agg(F.to_json(F.map_from_entries(pairs)).alias("value"))
+    raw.coalesce(1).write.text(path)
+    return files.load_concept_map(spark, path, "object")
 
 
 def _packet(spark: SparkSession, folder: str) -> DataFrame:
@@ -159,6 +163,11 @@ def _score(operator: Callable[..., DataFrame], *args, **kwargs) -> Query:
     return lambda spark, folder: operator(tables.scores(spark, folder), *args, **kwargs)
 
 
+def _with_nulls(data: DataFrame, column: str, where) -> DataFrame:
+    """A view with a share of its keys missing."""
+    return data.withColumn(column, F.when(~where, F.col(column)))
+
+
 def _rounded(query: Query, column: str) -> Query:
     """Deviations depend on the order of addition in their last digits; compare them rounded."""
     return lambda spark, folder: query(spark, folder).withColumn(column, F.round(column, 6))
@@ -175,6 +184,7 @@ def queries() -> dict[str, Query]:
         "normalize_csv": _normalize_csv,
         "concept_map_load": _concept_map_load,
         "concept_map_save": _concept_map_files,
+        "concept_map_save_object": lambda s, d: _concept_map_files(s, d, "object"),
         "packet_manifest": _packet,
         "safe_name": _safe_names,
         # Normalisation
@@ -195,12 +205,17 @@ def queries() -> dict[str, Query]:
         "rubric_search": _v1(scope.rubric_search, "#1 lAr"),
         "preview": _v1(scope.preview, 200),
         "anonymize": _v1(scope.anonymize),
+        "anonymize_nulls": lambda s, d: scope.anonymize(_with_nulls(deductions(s, d), "student_id", F.col("question_id") == "L3")),
         # Quality
         "invariants": _invariants,
         "score_validate": _score_validate,
         # Aggregates
         "overall_summary": _v1(metrics.overall_summary),
         "rubric_item_stats": _rounded(_v1(metrics.rubric_item_stats), "std_points_lost"),
+        "rubric_item_stats_nulls": _rounded(
+            lambda s, d: metrics.rubric_item_stats(_with_nulls(deductions(s, d), "topic", F.col("question_id") == "L3")),
+            "std_points_lost",
+        ),
         "exam_breakdown": _v1(metrics.exam_breakdown),
         "student_summary": _v1(metrics.student_summary, MANUAL_ORDER),
         "score_distribution": _v1(metrics.score_distribution),
@@ -217,6 +232,10 @@ def queries() -> dict[str, Query]:
         "kpis": _rounded(_v1(metrics.kpis), "std_points_per_student"),
         "kpis_drilldown": _rounded(_v1(metrics.kpis, "Brand#16 LARGE"), "std_points_per_student"),
         "score_rubric_stats": _rounded(_score(scores.score_rubric_stats), "std_score"),
+        "score_rubric_stats_nulls": _rounded(
+            lambda s, d: scores.score_rubric_stats(_with_nulls(tables.scores(s, d), "rubric_item", F.col("comment") == "A")),
+            "std_score",
+        ),
         "score_category_breakdown": _score(scores.category_breakdown),
         "score_student_summary": _score(scores.score_student_summary),
         "score_distribution_pct": _score(scores.score_distribution_pct),
@@ -248,19 +267,24 @@ def queries() -> dict[str, Query]:
         "concept_persistence": lambda s, d: cohorts.concept_persistence(rubric_as_concept(s, d)),
         "recommendations": lambda s, d: recommend.recommendations(rubric_as_concept(s, d), top_n=500),
         "recommendations_default": flagship,
+        "recommendations_allowed": lambda s, d: recommend.recommendations(
+            rubric_as_concept(s, d), allowed=[" Brand#16 LARGE", *ALLOWED, ""], top_n=500
+        ),
+        "recommendations_unmapped_manual": _v1c(recommend.recommendations, MANUAL_ORDER, top_n=500, include_unmapped=True),
         "lesson_plan": _v1c(recommend.lesson_plan),
         # Similarity
         "item_support": _v1(similarity.item_support),
-        "pair_similarity": _v1(similarity.pair_similarity),
+        "pair_similarity": _v1(similarity.overlapping_pairs),
         "similarity_edges": _v1(similarity.similarity_edges),
         "misconception_clusters": _v1(similarity.misconception_clusters, CLUSTER_JACCARD, CLUSTER_CORR),
         # Risk
         "risk_train": _risk(risk.risk_train),
         "risk_score_frame": _risk(risk.risk_score_frame),
         "risk_train_weights": _risk(risk.risk_train_weights),
-        "risk_coefficients": _risk(risk.risk_coefficients),
-        "risk_scores": _risk(risk.risk_scores),
+        "risk_coefficients": _rounded(_risk(risk.risk_coefficients), "coefficient"),
+        "risk_scores": _rounded(_risk(risk.risk_scores), "probability"),
         # Trajectories
         "transitions": _v1(trajectory.transitions),
+        "top_transitions": _v1(trajectory.top_transitions),
         "trajectory": _v1(trajectory.trajectory),
     }

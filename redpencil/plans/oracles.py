@@ -208,7 +208,8 @@ prior AS (
   FROM sit t JOIN pts p ON p.student_id = t.student_id AND p.seq < t.seq GROUP BY 1, 2, 3
 ),
 frame AS (
-  SELECT g.student_id, g.exam_id, g.seq, g.last, g.rubric_item,
+  SELECT g.student_id, g.exam_id, g.seq, g.last, g.rubric_item, g.concept,
+         seen.student_id IS NOT NULL AS listed, prior.p IS NOT NULL AS known,
          CASE WHEN coalesce(before, false) THEN 1 ELSE 0 END AS prior_seen,
          coalesce(prior.p, 0.0::DOUBLE) AS prior_concept_points,
          CASE WHEN coalesce(now, false) THEN 1 ELSE 0 END AS label
@@ -217,6 +218,43 @@ frame AS (
   LEFT JOIN prior ON prior.student_id = g.student_id AND prior.seq = g.seq AND prior.concept = g.concept
 )"""
 
+# Rows of items not shown so far are counted, by concept where the student has points in it.
+COMPACT = """
+compact AS (
+  SELECT student_id, exam_id, seq, last, CASE WHEN listed THEN rubric_item END AS rubric_item,
+         CASE WHEN listed OR known THEN concept END AS concept, prior_seen, prior_concept_points, label, count(*) AS n_items
+  FROM frame GROUP BY ALL
+)"""
+
+# Newton's method on the counted training rows, with a unit penalty on both slopes; the steps are solved by Cramer's rule.
+NEWTON = """
+w AS (
+  SELECT prior_seen::DOUBLE AS s, prior_concept_points AS p, label::DOUBLE AS y, count(*)::DOUBLE AS n
+  FROM frame WHERE seq > 0 GROUP BY ALL
+),
+newton(i, b0, b1, b2) AS (
+  SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE
+  UNION ALL
+  SELECT i + 1,
+         b0 - (g0 * (h11 * h22 - h12 * h12) - h01 * (g1 * h22 - h12 * g2) + h02 * (g1 * h12 - h11 * g2)) / det,
+         b1 - (h00 * (g1 * h22 - h12 * g2) - g0 * (h01 * h22 - h12 * h02) + h02 * (h01 * g2 - g1 * h02)) / det,
+         b2 - (h00 * (h11 * g2 - g1 * h12) - h01 * (h01 * g2 - g1 * h02) + g0 * (h01 * h12 - h11 * h02)) / det
+  FROM (
+    SELECT *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) AS det
+    FROM (
+      SELECT i, b0, b1, b2, sum(n * (q - y)) AS g0, sum(n * (q - y) * s) + b1 AS g1, sum(n * (q - y) * p) + b2 AS g2,
+             sum(n * q * (1 - q)) AS h00, sum(n * q * (1 - q) * s) AS h01, sum(n * q * (1 - q) * p) AS h02,
+             sum(n * q * (1 - q) * s * s) + 1 AS h11, sum(n * q * (1 - q) * s * p) AS h12,
+             sum(n * q * (1 - q) * p * p) + 1 AS h22
+      FROM (SELECT *, 1 / (1 + exp(-(b0 + b1 * s + b2 * p))) AS q FROM newton, w WHERE i < 20)
+      GROUP BY i, b0, b1, b2
+    )
+  )
+),
+fitted AS (SELECT b0, b1, b2 FROM newton ORDER BY i DESC LIMIT 1)"""
+LEVEL = "CASE WHEN c >= 0.7 THEN 'high' WHEN c >= 0.4 THEN 'medium' ELSE 'low' END AS confidence"
+CHANCE = "1 / (1 + exp(-(b0 + b1 * prior_seen + b2 * prior_concept_points))) AS c"
+
 STEPS = V1 + """,
 sit AS (
   SELECT student_id, exam_id, row_number() OVER (PARTITION BY student_id ORDER BY exam_id) - 1 AS seq,
@@ -247,6 +285,7 @@ def oracle_sql() -> dict[str, str]:
         "normalize_csv": event_rows,
         "concept_map_load": f"WITH {CMAP} SELECT * FROM cmap",
         "concept_map_save": f"WITH {CMAP} SELECT * FROM cmap",
+        "concept_map_save_object": f"WITH {CMAP} SELECT * FROM cmap",
         "packet_manifest": f"""WITH {V1C}
             SELECT 'top_concepts' AS artifact, 'top_concepts.csv' AS file,
                    least(5, count(DISTINCT concept)) AS rows FROM v1c
@@ -282,6 +321,11 @@ def oracle_sql() -> dict[str, str]:
             ids AS (SELECT student_id, row_number() OVER (ORDER BY student_id) AS n
                     FROM (SELECT DISTINCT student_id FROM v1))
             SELECT v1.* REPLACE (printf('Student %03d', n) AS student_id) FROM v1 JOIN ids USING (student_id)""",
+        "anonymize_nulls": f"""WITH {V1},
+            vn AS (SELECT * REPLACE (CASE WHEN question_id <> 'L3' THEN student_id ELSE '' END AS student_id) FROM v1),
+            ids AS (SELECT student_id, row_number() OVER (ORDER BY student_id) AS n
+                    FROM (SELECT DISTINCT student_id FROM vn))
+            SELECT vn.* REPLACE (printf('Student %03d', n) AS student_id) FROM vn JOIN ids USING (student_id)""",
         "invariants": f"""WITH {V1},
             c AS (SELECT count(*) FILTER (WHERE ta_id LIKE '%7') AS m, count(*) FILTER (WHERE question_id = 'L3') AS x,
                          count(*) FILTER (WHERE question_id = 'L4') AS g FROM v1)
@@ -300,6 +344,11 @@ def oracle_sql() -> dict[str, str]:
                    median(points_lost) AS median_points_lost, round(stddev_pop(points_lost), 6) AS std_points_lost,
                    sum(points_lost) AS total_points_lost
             FROM v1 GROUP BY rubric_item, topic""",
+        "rubric_item_stats_nulls": f"""WITH {V1}
+            SELECT rubric_item, CASE WHEN question_id <> 'L3' THEN topic ELSE '' END AS topic, count(*) AS count,
+                   avg(points_lost) AS avg_points_lost, median(points_lost) AS median_points_lost,
+                   round(stddev_pop(points_lost), 6) AS std_points_lost, sum(points_lost) AS total_points_lost
+            FROM v1 GROUP BY 1, 2""",
         "exam_breakdown": f"WITH {V1}, {BY_EXAM} SELECT * FROM by_exam",
         "student_summary": f"""WITH {V1}
             SELECT student_id, exam_id, sum(points_lost) AS total_points_lost, count(DISTINCT question_id) AS questions
@@ -341,6 +390,13 @@ def oracle_sql() -> dict[str, str]:
                    CAST(count(*) FILTER (WHERE score >= max_score) AS DOUBLE) / nullif(count(max_score), 0) * 100
                      AS full_points_pct
             FROM v3 GROUP BY rubric_item, category""",
+        "score_rubric_stats_nulls": f"""WITH {V3}
+            SELECT CASE WHEN comment <> 'A' THEN rubric_item END AS rubric_item, category, count(*) AS count,
+                   avg(score) AS avg_score, median(score) AS median_score,
+                   round(stddev_pop(score), 6) AS std_score, max(max_score) AS max_score_value,
+                   CAST(count(*) FILTER (WHERE score >= max_score) AS DOUBLE) / nullif(count(max_score), 0) * 100
+                     AS full_points_pct
+            FROM v3 GROUP BY 1, 2""",
         "score_category_breakdown": f"""WITH {V3}
             SELECT category, count(DISTINCT rubric_item) AS items, count(DISTINCT student_id) AS submissions,
                    coalesce(sum(score), 0) AS score_sum, coalesce(sum(max_score), 0) AS max_sum,
@@ -412,6 +468,23 @@ def oracle_sql() -> dict[str, str]:
             {persist('vr', 'concept')} SELECT * FROM pers""",
         "recommendations": f"""WITH {V1}, vr AS (SELECT *, rubric_item AS concept FROM v1),
             {recs('vr', 500)} SELECT * FROM recs""",
+        "recommendations_allowed": f"""WITH {V1}, vr AS (SELECT *, rubric_item AS concept FROM v1),
+            {recs('vr', 100000)} SELECT * FROM recs
+            WHERE concept IN ('Brand#16 LARGE', 'Brand#11 SMALL', 'Brand#22 ECONOMY', 'Brand#3 PROMO', 'Brand#4 STANDARD',
+                              'Brand#25 MEDIUM', 'Unmapped')""",
+        "recommendations_unmapped_manual": f"""WITH {V1C}, {PLACES},
+            placed AS (SELECT v1c.*, place FROM v1c JOIN places USING (exam_id)),
+            firsts AS (SELECT min(place) AS fp FROM placed),
+            flags AS (SELECT concept, student_id, bool_or(place = fp) AS f, bool_or(place > fp) AS l
+                      FROM placed, firsts GROUP BY 1, 2),
+            pers AS (SELECT concept, CAST(count(*) FILTER (WHERE l) AS DOUBLE) / count(*) AS rate
+                     FROM flags WHERE f GROUP BY concept),
+            stats AS (SELECT concept, count(DISTINCT student_id) AS students, sum(points_lost) AS points_lost_total
+                      FROM v1c GROUP BY concept)
+            SELECT concept, CASE WHEN coalesce(rate, 0) >= 0.2 THEN 'Re-teach' ELSE 'Add practice for' END AS action,
+                   points_lost_total * greatest(students, 1) AS impact_score, students, points_lost_total,
+                   coalesce(rate, 0.0::DOUBLE) AS persistence_rate
+            FROM stats LEFT JOIN pers USING (concept)""",
         "recommendations_default": f"WITH {V1C}, {recs('v1c', 5)} SELECT * FROM recs",
         "lesson_plan": v1c_persist + f""", {CONCEPT_STATS},
             c1 AS (SELECT *, points_lost_total * greatest(students_affected, 1) AS impact_score FROM cstats
@@ -425,7 +498,7 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT 4, 'Share anonymized exemplars for the highest-impact misconception to speed feedback loops.'""",
         "item_support": f"""WITH {V1}, {PAIRS} SELECT rubric_item, students FROM support
             WHERE (SELECT count(*) FROM support) >= 2""",
-        "pair_similarity": f"WITH {V1}, {PAIRS} SELECT * FROM pairs",
+        "pair_similarity": f"WITH {V1}, {PAIRS} SELECT * FROM pairs WHERE cooccurrence > 0",
         "similarity_edges": f"WITH {V1}, {PAIRS} SELECT * FROM pairs WHERE jaccard >= 0.2 OR corr >= 0.3",
         "misconception_clusters": f"""WITH RECURSIVE {V1}, {PAIRS},
             near AS (SELECT rubric_item_a AS a, rubric_item_b AS b FROM pairs WHERE jaccard >= 0.25
@@ -439,10 +512,19 @@ def oracle_sql() -> dict[str, str]:
             num AS (SELECT *, row_number() OVER (ORDER BY root) AS n FROM sup)
             SELECT 'Misconception ' || n AS label, item AS rubric_item, size, support_students
             FROM comp JOIN num USING (root)""",
-        "risk_train": f"""WITH {RISK} SELECT student_id, exam_id, rubric_item, prior_seen, prior_concept_points, label
-            FROM frame WHERE seq > 0""",
-        "risk_score_frame": f"""WITH {RISK} SELECT student_id, rubric_item, prior_seen, prior_concept_points
-            FROM frame WHERE seq = last""",
+        "risk_train": f"WITH {RISK}, {COMPACT} SELECT * EXCLUDE (seq, last) FROM compact WHERE seq > 0",
+        "risk_score_frame": f"""WITH {RISK}, {COMPACT.replace('label, ', '')} SELECT * EXCLUDE (seq, last) FROM compact
+            WHERE seq = last""",
+        "risk_coefficients": f"""WITH RECURSIVE {RISK}, {NEWTON}
+            SELECT 'prior_seen' AS feature, round(b1, 6) AS coefficient FROM fitted
+            UNION ALL SELECT 'prior_concept_points', round(b2, 6) FROM fitted""",
+        "risk_scores": f"""WITH RECURSIVE {RISK}, {COMPACT.replace('label, ', '')}, {NEWTON}
+            SELECT * EXCLUDE (seq, last, c), round(c, 6) AS probability, {LEVEL}
+            FROM (SELECT compact.*, {CHANCE} FROM compact, fitted WHERE seq = last)""",
+        "top_risks": f"""WITH RECURSIVE {RISK}, {NEWTON}
+            SELECT student_id, rubric_item, prior_seen, prior_concept_points, round_even(c, 3) AS probability, {LEVEL}
+            FROM (SELECT frame.*, {CHANCE} FROM frame, fitted WHERE seq = last)
+            ORDER BY probability DESC, student_id, rubric_item LIMIT 50""",
         "risk_train_weights": f"""WITH {RISK} SELECT prior_seen, prior_concept_points, label, count(*) AS n_rows
             FROM frame WHERE seq > 0 GROUP BY ALL""",
         "transitions": f"""WITH {STEPS},
@@ -450,6 +532,13 @@ def oracle_sql() -> dict[str, str]:
             t AS (SELECT a.rubric_item AS source, b.rubric_item AS target, count(*) AS count
                   FROM has a JOIN has b ON a.student_id = b.student_id AND b.seq = a.seq + 1 GROUP BY 1, 2)
             SELECT source, target, count, CAST(count AS DOUBLE) / o AS conditional_prob FROM t JOIN occ USING (source)""",
+        "top_transitions": f"""WITH {STEPS},
+            occ AS (SELECT rubric_item AS source, count(*) AS o FROM has WHERE seq < last GROUP BY 1),
+            t AS (SELECT a.rubric_item AS source, b.rubric_item AS target, count(*) AS count
+                  FROM has a JOIN has b ON a.student_id = b.student_id AND b.seq = a.seq + 1 GROUP BY 1, 2),
+            top AS (SELECT source, target, count, CAST(count AS DOUBLE) / o AS cp FROM t JOIN occ USING (source)
+                    ORDER BY count DESC, cp DESC, source, target LIMIT 20)
+            SELECT source, target, count, round_even(cp, 3) AS conditional_prob FROM top""",
         "trajectory": f"""WITH {STEPS},
             s AS (SELECT h.rubric_item, h.seq < h.last AS followed, n.seq IS NOT NULL AS repeated,
                          h.seq > 0 AND p.seq IS NULL AS emerged

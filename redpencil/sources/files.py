@@ -21,8 +21,8 @@ MISSING_TOKENS = [
 ]
 ENTRY_DDL = "pos int, rubric_item string, concept string"
 MAP_DDL = "rubric_item string, concept string"
-# Largest map written as one JSON object; a larger one is written as JSON lines.
-OBJECT_ENTRIES = 100_000
+# Forms of a concept-map file: JSON lines of entries, which many tasks write and read, or one JSON object.
+FORMATS = ("lines", "object")
 
 
 def read_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
@@ -45,7 +45,7 @@ def load_and_normalize(
     path: str,
     mapping: ColumnMapping | None = None,
     infer_mapping: bool = True,
-    check: str = "scan",
+    check: str = "inline",
 ) -> Normalized:
     return normalize(read_csv(spark, path), mapping, infer_mapping, check)
 
@@ -60,14 +60,15 @@ def persist_dataset(df: DataFrame, path: str) -> str:
     return write_csv(canonicalize(df, check="inline"), path)
 
 
-def load_persisted_dataset(spark: SparkSession, path: str, check: str = "scan") -> DataFrame:
+def load_persisted_dataset(spark: SparkSession, path: str, check: str = "inline") -> DataFrame:
     return canonicalize(_missing_to_null(read_csv(spark, path)), check)
 
 
 def write_packet(artifacts: Mapping[str, DataFrame], folder: str) -> DataFrame:
-    """Write every table that has rows to its own CSV folder; rows (artifact, file, rows) of what was written.
+    """Write every table to its own CSV folder; rows (artifact, file, rows) of those that have rows.
 
-    Each table is computed once, whether or not it turns out to have rows, and counted while it is written.
+    Each table is computed once and counted while it is written. The folder of a table without rows holds no row and
+    is not listed.
     """
     spark = next(iter(artifacts.values())).sparkSession if artifacts else SparkSession.active()
     names = spark.createDataFrame([(a,) for a in artifacts], "artifact string")
@@ -76,46 +77,52 @@ def write_packet(artifacts: Mapping[str, DataFrame], folder: str) -> DataFrame:
     for name, table in artifacts.items():
         if safe[name] is None:
             raise ValueError(f"Not an acceptable export name: {name}")
-        df = materialize(table)
-        if df.isEmpty():
-            continue
-        seen = Observation()
-        write_csv(df.observe(seen, F.count(F.lit(1)).alias("rows")), f"{folder.rstrip('/')}/{safe[name]}")
-        written.append((name, safe[name], seen.get["rows"]))
+        path, seen = f"{folder.rstrip('/')}/{safe[name]}", Observation()
+        write_csv(table.observe(seen, F.count(F.lit(1)).alias("rows")), path)
+        rows = seen.get["rows"]
+        if rows:
+            written.append((name, safe[name], rows))
     return spark.createDataFrame(written, "artifact string, file string, rows bigint")
 
 
-def read_concept_entries(spark: SparkSession, path: str) -> DataFrame:
-    """Raw (pos, rubric_item, concept) entries of a JSON object file, or of the JSON lines written for large maps."""
+def read_concept_entries(spark: SparkSession, path: str, format: str = "lines") -> DataFrame:
+    """Raw (pos, rubric_item, concept) entries of a map file in the named format; a missing file has none.
+
+    One JSON object cannot be split, so a file of that format is read by one task.
+    """
+    _known(format)
     try:
+        if format == "lines":
+            return spark.read.schema(ENTRY_DDL).json(path)
         whole = spark.read.text(path, wholetext=True)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return empty(spark, ENTRY_DDL)
         raise
-    line = spark.read.text(path).limit(1).select(F.from_json("value", ENTRY_DDL).alias("e")).select("e.*")
-    if not line.filter("rubric_item is not null and concept is not null").isEmpty():
-        return spark.read.schema(ENTRY_DDL).json(path)
     parsed = whole.filter(F.trim("value") != "").select(F.from_json("value", "map<string,string>").alias("m"))
     if parsed.filter(F.col("m").isNull()).limit(1).count() or parsed.isEmpty():
         raise ValueError("A concept map must be a JSON object of rubric item to concept")
     return parsed.select(F.posexplode("m").alias("pos", "rubric_item", "concept"))
 
 
-def load_concept_map(spark: SparkSession, path: str) -> DataFrame:
+def load_concept_map(spark: SparkSession, path: str, format: str = "lines") -> DataFrame:
     """Rows (rubric_item, concept); placeholders are dropped, a missing file is an empty map."""
-    return valid_entries(clean_concept_map(read_concept_entries(spark, path)))
+    return valid_entries(clean_concept_map(read_concept_entries(spark, path, format)))
+
 
+def save_concept_map(entries: DataFrame, path: str, format: str = "lines") -> DataFrame:
+    """Write a map in the named format unless one of its (pos, rubric_item, concept) entries is invalid; returns it.
 
-def save_concept_map(entries: DataFrame, path: str) -> DataFrame:
-    """Write a map unless one of its (pos, rubric_item, concept) entries is invalid; returns what was written."""
+    The error gives the number of invalid entries; ``invalid_entries(clean_concept_map(entries))`` has them.
+    An object is put together in one task, as its format asks; JSON lines are written by many.
+    """
+    _known(format)
     cleaned = materialize(clean_concept_map(entries))
-    wrong = invalid_entries(cleaned)
-    shown = [r["rubric_item"] for r in wrong.orderBy("rubric_item").limit(20).collect()]
-    if shown:
-        raise ValueError(f"Invalid concept values ({wrong.count()}), such as: {', '.join(shown)}")
+    wrong = invalid_entries(cleaned).count()
+    if wrong:
+        raise ValueError(f"The map has {wrong} invalid concept values; invalid_entries() lists them")
     valid = valid_entries(cleaned)
-    if valid.limit(OBJECT_ENTRIES + 1).count() <= OBJECT_ENTRIES:
+    if format == "object":
         pairs = F.array_sort(F.collect_list(F.struct("rubric_item", "concept")))
         text = valid.agg(F.to_json(F.map_from_entries(pairs)).alias("value"))
         text.coalesce(1).write.mode("overwrite").text(path)
@@ -124,5 +131,10 @@ def save_concept_map(entries: DataFrame, path: str) -> DataFrame:
     return valid
 
 
+def _known(format: str) -> None:
+    if format not in FORMATS:
+        raise ValueError(f"A concept map is written as one of {FORMATS}, not {format!r}")
+
+
 def _missing_to_null(df: DataFrame) -> DataFrame:
     return df.select(*[F.when(~F.col(f"`{c}`").isin(MISSING_TOKENS), F.col(f"`{c}`")).alias(c) for c in df.columns])

@@ -11,10 +11,11 @@ RECOMMEND_DDL = "student_id string, exam_id string, question_id string, rubric_i
 @pytest.fixture
 def concept_rows(spark):
     rows = [
-        ("s1", "Exam1", "Q1", "A", 2.0, "Allowed"),
-        ("s2", "Exam1", "Q2", "B", 3.0, "Blocked"),
-        ("s1", "Exam2", "Q1", "A", 1.0, "Allowed"),
-        ("s3", "Exam2", "Q1", "C", 9.0, "Unmapped"),
+        ("m", "T1", "Q1", "Axis", 1.5, "Plots"),
+        ("m", "T2", "Q1", "Axis", 0.5, "Plots"),
+        ("n", "T1", "Q3", "Axis", 2.0, "Plots"),
+        ("n", "T1", "Q2", "Joule", 3.0, "Energy"),
+        ("o", "T2", "Q2", "Other", 20.0, "Unmapped"),
     ]
     return spark.createDataFrame(rows, RECOMMEND_DDL)
 
@@ -55,63 +56,65 @@ def test_upsert(spark):
 
 def test_recommendations_on_the_sample(sample):
     recs = tuples(recommend.recommendations(concepts.apply_concepts(sample)))
-    assert recs[0] == ("Mechanism", "Re-teach", 21.0, 3, 7.0, 1.0)
+    assert recs[0] == ("Units", "Re-teach", 25.5, 3, 8.5, 1.0)
     # A concept without a first-exam cohort.
-    assert recs[1] == ("Nucleophile", "Add practice for", 3.5, 1, 3.5, 0.0)
-    assert [r[0] for r in recs[2:]] == ["Charge", "Stereochemistry", "Resonance"]
+    assert recs[3] == ("Steps", "Add practice for", 5.0, 1, 5.0, 0.0)
+    assert [r[0] for r in recs] == ["Units", "Graphs", "Signs", "Steps", "Numbers"]
 
 
 def test_recommendation_filters(concept_rows):
-    got = recommend.recommendations(concept_rows, ["Exam1", "Exam2"], allowed=[" Allowed ", ""])
-    assert tuples(got) == [("Allowed", "Re-teach", 3.0, 1, 3.0, 1.0)]
+    got = recommend.recommendations(concept_rows, ["T1", "T2"], allowed=[" Plots ", ""])
+    assert tuples(got) == [("Plots", "Re-teach", 8.0, 2, 4.0, 0.5)]
     assert recommend.recommendations(concept_rows, allowed=[]).count() == 0
     everything = recommend.recommendations(concept_rows, include_unmapped=True)
-    assert [r["concept"] for r in everything.collect()] == ["Unmapped", "Allowed", "Blocked"]
+    assert [r["concept"] for r in everything.collect()] == ["Unmapped", "Plots", "Energy"]
     assert recommend.recommendations(concept_rows, top_n=1).count() == 1
     # One exam only: no persistence, so practice.
-    assert {r["persistence_rate"] for r in recommend.recommendations(concept_rows, ["Exam1"]).collect()} == {0.0}
+    assert {r["persistence_rate"] for r in recommend.recommendations(concept_rows, ["T1"]).collect()} == {0.0}
 
 
 def test_rankings_and_lines(sample):
     data = concepts.apply_concepts(sample)
-    assert [r[0] for r in tuples(recommend.top_issues(data, 3))] == ["Arrow direction", "Wrong nucleophile", "Charge conservation"]
+    assert [r[0] for r in tuples(recommend.top_issues(data, 3))] == ["Unit missing", "Graph unlabelled", "Step skipped"]
     assert recommend.high_persistence(data).count() == 0
-    assert tuples(recommend.high_persistence(data, min_cohort=2)) == [("Arrow direction", 2, 2, 1.0)]
-    assert tuples(recommend.suggested_topics(data)) == [("Mechanism", 7.0), ("Nucleophile", 3.5), ("Charge", 1.5)]
-    assert recommend.top_concepts(data).first()["impact_score"] == 21.0
-    assert [r[0] for r in tuples(recommend.top_persistent(data, n=2))] == ["Arrow direction", "Stereochem"]
-    assert recommend.drilldown_candidates(data).first()["label"] == "Arrow direction (5 rows)"
+    assert tuples(recommend.high_persistence(data, min_cohort=2)) == [("Unit missing", 2, 2, 1.0)]
+    assert tuples(recommend.suggested_topics(data)) == [("Units", 8.5), ("Graphs", 5.0), ("Steps", 5.0)]
+    assert recommend.top_concepts(data).first()["impact_score"] == 25.5
+    assert [r[0] for r in tuples(recommend.top_persistent(data, n=2))] == ["Unit missing", "Sign flipped"]
+    assert recommend.drilldown_candidates(data).first()["label"] == "Graph unlabelled (2 rows)"
     plan = [r["line"] for r in recommend.lesson_plan(data).collect()]
-    assert plan[0] == "Prioritize reteaching **Mechanism**; it has the highest impact score (21.0)."
-    assert plan[1] == "Address recurring concept **Arrow direction**; repeat rate 100% across 2 students."
+    assert plan[0] == "Prioritize reteaching **Units**; it has the highest impact score (25.5)."
+    assert plan[1] == "Address recurring concept **Unit missing**; repeat rate 100% across 2 students."
     assert len(plan) == 4
     lines = recommend.report_lines(data).filter("section = 'Persistence'").collect()
-    assert lines[0]["line"] == "- Arrow direction: cohort 2, repeated 2, rate 100.0%"
+    assert lines[0]["line"] == "- Graph unlabelled: cohort 1, repeated 0, rate 0.0%"
     nothing = recommend.report_lines(data.limit(0)).collect()
     assert [r["line_no"] for r in nothing] == [1, 1, 1]
     assert len(recommend.lesson_plan(data.limit(0)).collect()) == 2
 
 
 def test_scope(spark, sample):
-    assert scope.student_scope(sample, ["s1", "s5"]).count() == 4
-    assert scope.student_scope(sample).count() == scope.student_scope(sample, []).count() == 11
-    ids = spark.createDataFrame([("s6",), ("s6",)], "student_id string")
+    assert scope.student_scope(sample, ["u1", "u5"]).count() == 5
+    assert scope.student_scope(sample).count() == scope.student_scope(sample, []).count() == 13
+    ids = spark.createDataFrame([("u4",), ("u4",)], "student_id string")
     assert scope.student_scope(sample, ids).count() == 2
-    assert scope.rubric_drilldown(sample, "Stereochem").count() == 2
-    assert tuples(scope.rubric_search(sample, "ARROW")) == [("Arrow direction",)]
+    assert scope.rubric_drilldown(sample, "Graph unlabelled").count() == 2
+    assert tuples(scope.rubric_search(sample, "UNIT")) == [("Unit missing",)]
     assert scope.rubric_search(sample, ".*").count() == 0
     assert scope.preview(sample, 3).count() == 3
-    assert scope.small_cohort_gate(sample, sample).count() == 11
-    assert scope.small_cohort_gate(sample, sample.filter("student_id < 's5'")).count() == 0
+    assert scope.small_cohort_gate(sample, sample).count() == 13
+    assert scope.small_cohort_gate(sample, sample.filter("student_id < 'u5'")).count() == 0
 
 
 def test_aliases_follow_the_sorted_ids(spark, sample):
     out = scope.anonymize(sample.withColumn("student_name", F.lit("Name")))
-    assert out.select("student_id").distinct().count() == 6
-    assert out.filter("rubric_item = 'Resonance error'").first()["student_name"] == "Student 006"
+    assert out.select("student_id").distinct().count() == 5
+    assert out.filter("rubric_item = 'Rounding'").first()["student_name"] == "Student 005"
     assert scope.anonymize(sample, enabled=False) is sample
     # A third of all rows belongs to one student.
     many = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "zzz").otherwise(F.format_string("u%05d", "id")).alias("student_id"))
     aliases = dict(tuples(scope.student_aliases(many)))
     assert aliases == {s: f"Student {i + 1:03d}" for i, s in enumerate(sorted({r[0] for r in tuples(many)}))}
     assert scope.anonymize(many).count() == 3000
+    some = spark.createDataFrame([("b",), (None,), ("a",), (None,)], "student_id string")
+    assert sorted(tuples(scope.anonymize(some))) == [("Student 001",), ("Student 001",), ("Student 002",), ("Student 003",)]

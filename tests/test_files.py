@@ -18,11 +18,11 @@ def test_csv_keeps_texts(spark, tmp_path):
     assert out.mapping is None and out.data.columns == DEDUCTION_COLUMNS
     assert out.data.collect()[1]["section_id"] == "NA"
     with pytest.raises(ValueError, match="rubric_item"):
-        files.load_persisted_dataset(spark, str(path))
+        files.load_persisted_dataset(spark, str(path), check="scan")
 
 
 def test_round_trip(spark, sample):
-    odd = sample.unionByName(sample.limit(1).na.replace({"s1": 'a "quoted", id'}, subset=["student_id"]))
+    odd = sample.unionByName(sample.limit(1).na.replace({"u1": 'a "quoted", id'}, subset=["student_id"]))
     path = files.persist_dataset(odd, scratch_path(spark, "set.csv"))
     assert sorted(tuples(files.load_persisted_dataset(spark, path))) == sorted(tuples(odd))
     with pytest.raises(Exception, match="non-negative"):
@@ -35,24 +35,29 @@ def test_score_file_reads_missing_tokens_as_null(spark, tmp_path):
     assert tuples(files.read_scores(spark, str(path))) == [("s1", None), ("s2", "3")]
 
 
-def test_concept_map_files(spark, tmp_path, monkeypatch):
+def test_concept_map_files(spark, tmp_path):
     path = tmp_path / "map.json"
     assert files.load_concept_map(spark, str(path)).count() == 0
     path.write_text(json.dumps({"Item A": "Valid", "Item B": "none", "Item C": True, "Item D": None}, indent=2))
-    assert tuples(files.load_concept_map(spark, str(path))) == [("Item A", "Valid")]
+    assert tuples(files.load_concept_map(spark, str(path), "object")) == [("Item A", "Valid")]
+    path.write_text(json.dumps({"rubric_item": "Alpha", "concept": "Beta"}))
+    assert sorted(tuples(files.load_concept_map(spark, str(path), "object"))) == [("concept", "Beta"), ("rubric_item", "Alpha")]
+    path.write_text('{"rubric_item": "x"}\n{"rubric_item": "y", "concept": "Why"}\n')
+    assert tuples(files.load_concept_map(spark, str(path))) == [("y", "Why")]
     path.write_text("[1, 2]")
     with pytest.raises(ValueError):
-        files.load_concept_map(spark, str(path))
+        files.load_concept_map(spark, str(path), "object")
+    with pytest.raises(ValueError, match="lines"):
+        files.load_concept_map(spark, str(path), "yaml")
     target = tmp_path / "saved.json"
     bad = spark.createDataFrame([(0, "Item A", "yes"), (1, "Item B", "Valid")], files.ENTRY_DDL)
-    with pytest.raises(ValueError, match="Item A"):
+    with pytest.raises(ValueError, match="1 invalid"):
         files.save_concept_map(bad, str(target))
     assert not target.exists()
     good = spark.createDataFrame([(0, "Item B", "Ünï \"x\""), (1, "Item A", "Other")], files.ENTRY_DDL)
-    for entries in (100, 1):
-        monkeypatch.setattr(files, "OBJECT_ENTRIES", entries)
-        files.save_concept_map(good, str(target))
-        assert sorted(tuples(files.load_concept_map(spark, str(target)))) == [("Item A", "Other"), ("Item B", "Ünï \"x\"")]
+    for form in files.FORMATS:
+        files.save_concept_map(good, str(target), form)
+        assert sorted(tuples(files.load_concept_map(spark, str(target), form))) == [("Item A", "Other"), ("Item B", "Ünï \"x\"")]
 
 
 def test_packet_skips_empty_tables(spark, sample):

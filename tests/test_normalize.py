@@ -36,7 +36,7 @@ def test_saved_choice_wins_per_field():
 
 def test_canonical_input_needs_no_mapping(sample):
     out = normalize(sample, infer_mapping=False)
-    assert out.mapping is None and out.data.columns == DEDUCTION_COLUMNS and out.data.count() == 11
+    assert out.mapping is None and out.data.columns == DEDUCTION_COLUMNS and out.data.count() == 13
 
 
 def test_mapping_strips_collapses_and_keeps_literal_none(spark):
@@ -111,14 +111,14 @@ def test_invariants(spark, sample):
     ]
     bad = sample.withColumns(
         {
-            "student_id": F.when(F.col("student_id") == "s3", " ").otherwise(F.col("student_id")),
-            "points_lost": F.when(F.col("student_id") == "s5", -1.0).otherwise(F.col("points_lost")),
+            "student_id": F.when(F.col("student_id") == "u3", " ").otherwise(F.col("student_id")),
+            "points_lost": F.when(F.col("student_id") == "u5", -1.0).otherwise(F.col("points_lost")),
         }
     ).drop("topic")
     assert tuples(quality.run_invariants(bad)) == [
         ("required_columns", False, "topic"),
-        ("missing_identifiers", False, "1"),
+        ("missing_identifiers", False, "3"),
         ("non_numeric_points_lost", True, "0"),
-        ("negative_points_lost", False, "2"),
+        ("negative_points_lost", False, "3"),
     ]
     assert tuples(quality.schema_listing(sample))[4] == ("points_lost", "double")

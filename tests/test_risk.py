@@ -71,23 +71,34 @@ def data(spark, rows):
     return spark.createDataFrame(rows, DDL)
 
 
+def counted(pairs):
+    """How often each key occurs."""
+    out = {}
+    for key, n in pairs:
+        out[key] = out.get(key, 0) + n
+    return out
+
+
 @pytest.mark.parametrize("order", [None, ["E3", "E1", "E4"]])
-def test_full_frames(data, rows, order):
+def test_compact_frames_stand_for_every_row(data, rows, order):
     train, score = brute(rows, order)
-    assert {r[:3]: r[3:] for r in tuples(risk.risk_train(data, order))} == train
-    assert {r[:2]: r[2:] for r in tuples(risk.risk_score_frame(data, order))} == score
+    frame = risk.risk_train(data, order).cache()
+    listed = frame.filter("rubric_item is not null").select("student_id", "exam_id", "rubric_item", *risk.FEATURES, "label")
+    assert all(train[r[:3]] == r[3:] for r in tuples(listed))
+    got = counted(((r.student_id, r.exam_id, r.prior_seen, r.prior_concept_points, r.label), r.n_items) for r in frame.collect())
+    assert got == counted(((s, e, *features), 1) for (s, e, _), features in train.items())
+    frame = risk.risk_score_frame(data, order)
+    got = counted(((r.student_id, r.prior_seen, r.prior_concept_points), r.n_items) for r in frame.collect())
+    assert got == counted(((s, *features), 1) for (s, _), features in score.items())
+    weights = {r[:3]: r[3] for r in tuples(risk.risk_train_weights(data, order))}
+    assert weights == counted((features, 1) for features in train.values())
 
 
-def test_compact_frame_counts_every_row(data, rows):
-    train, score = brute(rows)
-    expected = {}
-    for features in train.values():
-        expected[features] = expected.get(features, 0) + 1
-    assert {r[:3]: r[3] for r in tuples(risk.risk_train_weights(data))} == expected
-    compact = risk.risk_score_compact(data)
-    assert compact.agg(F.sum("n_items")).first()[0] == len(score)
-    listed = compact.filter("rubric_item is not null").select("student_id", "rubric_item", *risk.FEATURES)
-    assert all(score[r[:2]] == r[2:] for r in tuples(listed))
+def test_rows_without_ids_are_counted(spark, rows):
+    some = [(None if s == "s1" else s, *rest) for s, *rest in rows]
+    blank = [("" if s == "s1" else s, *rest) for s, *rest in rows]
+    got = risk.risk_score_frame(spark.createDataFrame(some, DDL)).agg(F.sum("n_items")).first()[0]
+    assert got == len(brute(blank)[1])
 
 
 def test_model_and_scores(data, rows):
@@ -98,30 +109,31 @@ def test_model_and_scores(data, rows):
     assert [model.model.intercept, *model.model.coefficients] == pytest.approx(list(w), abs=1e-5)
     assert dict(tuples(risk.risk_coefficients(data))) == pytest.approx(dict(zip(risk.FEATURES, w[1:])), abs=1e-5)
     chance = {k: 1 / (1 + np.exp(-(w[0] + w[1] * s + w[2] * p))) for k, (s, p) in score.items()}
-    got = {r[:2]: r[4:] for r in tuples(risk.risk_scores(data))}
-    assert got.keys() == chance.keys()
-    for k, (probability, level) in got.items():
-        assert probability == pytest.approx(chance[k], abs=1e-5)
-        assert level == ("high" if probability >= 0.7 else "medium" if probability >= 0.4 else "low")
+    for r in risk.risk_scores(data).collect():
+        if r.rubric_item is not None:
+            assert r.probability == pytest.approx(chance[r.student_id, r.rubric_item], abs=1e-6)
+        assert r.confidence == ("high" if r.probability >= 0.7 else "medium" if r.probability >= 0.4 else "low")
 
 
 @pytest.mark.parametrize("n", [1, 7, 50, 10_000])
-def test_top_risks_equal_the_sorted_full_frame(data, n):
-    full = tuples(risk.risk_scores(data).withColumn("probability", F.bround("probability", 3)))
-    expected = sorted(full, key=lambda r: (-r[4], r[0], r[1]))[:n]
-    assert tuples(risk.top_risks(data, n=n)) == expected
+def test_top_risks_equal_the_sorted_full_frame(data, rows, n):
+    train, score = brute(rows)
+    w = newton(train)
+    full = [(round(1 / (1 + np.exp(-(w[0] + w[1] * s + w[2] * p))), 3), *k, s, p) for k, (s, p) in score.items()]
+    expected = [(*k, s, p, c) for c, *k, s, p in sorted(full, key=lambda r: (-r[0], r[1], r[2]))[:n]]
+    assert [r[:5] for r in tuples(risk.top_risks(data, n=n))] == expected
 
 
 def test_sample_sizes(sample):
     data = concepts.apply_concepts(sample)
-    assert risk.risk_train(data).count() == 20
-    assert risk.risk_score_frame(data).count() == 30
+    assert risk.risk_train(data).agg(F.sum("n_items")).first()[0] == 30
+    assert risk.risk_score_frame(data).agg(F.sum("n_items")).first()[0] == 25
     assert risk.item_concept_mode(data).count() == 5
 
 
 def test_no_model(spark, sample):
     data = concepts.apply_concepts(sample)
-    one_exam = data.filter("exam_id = 'Exam1'")
+    one_exam = data.filter("exam_id = 'Fall'")
     assert risk.fit_risk_model(one_exam).warning == risk.NO_HISTORY
     assert risk.risk_scores(one_exam).count() == 0 and risk.risk_coefficients(one_exam).count() == 0
     always = spark.createDataFrame([("s", e, "i", 1.0, "c") for e in ("E1", "E2")], DDL)
