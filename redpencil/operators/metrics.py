@@ -189,25 +189,36 @@ def disparity_gap(df: DataFrame, group_col: str, label: str) -> DataFrame:
 def kpis(df: DataFrame, rubric_item: str | None = None) -> DataFrame:
     """Headline figures. Per-student figures, items and total follow the drill-down; the others do not.
 
-    Without a drill-down the sums per student also tell how many rows and students there are, so that the
-    facts are only expanded for the columns of few values.
+    Without a drill-down the sums per student also tell how many students there are, so that the facts are
+    only expanded for the columns of few values.
     """
-    chosen = F.lit(True) if rubric_item is None else F.col("rubric_item") == rubric_item
+    whole = rubric_item is None
+    chosen = F.lit(True) if whole else F.col("rubric_item") == rubric_item
     per_student = df.filter(chosen).groupBy("student_id").agg(F.sum("points_lost").alias("t"))
     spread = per_student.agg(
         F.struct(
+            F.count("student_id").alias("students"),
             F.coalesce(F.avg("t"), F.lit(0.0)).alias("avg"),
             F.coalesce(F.stddev_pop("t"), F.lit(0.0)).alias("std"),
             F.coalesce(F.sum("t"), F.lit(0.0)).alias("total"),
         ).alias("s")
     )
-    items = F.count_distinct(F.when(chosen, F.col("rubric_item")))
+    # A drill-down leaves one item, if it occurs at all.
+    items = F.count_distinct("rubric_item") if whole else F.coalesce(F.max(chosen.cast("bigint")), F.lit(0).cast("bigint"))
+    figures = [
+        F.count("*").alias("rows"),
+        F.count_distinct("exam_id").alias("exams"),
+        F.avg("points_lost").alias("avg_points_lost"),
+        items.alias("rubric_items"),
+    ]
+    if not whole:
+        figures.append(F.count_distinct("student_id").alias("students"))
     return (
-        df.agg(*_overall(), items.alias("rubric_items"))
+        df.agg(*figures)
         .withColumn("_s", spread.scalar())
         .select(
             "rows",
-            "students",
+            F.col("_s.students").alias("students") if whole else "students",
             F.col("_s.avg").alias("avg_points_per_student"),
             F.col("_s.std").alias("std_points_per_student"),
             "exams",
