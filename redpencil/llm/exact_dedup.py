@@ -159,10 +159,6 @@ def _members(open_rows: DataFrame) -> DataFrame:
     return open_rows.join(led, GROUP).select(*ROW, *GROUP, "lead_id", "lead_key")
 
 
-def _same_row(a: str, b: str):
-    return F.col(f"{a}_id").eqNullSafe(F.col(f"{b}_id")) & (F.col(f"{a}_key") == F.col(f"{b}_key"))
-
-
 def classes(docs: DataFrame, prints: DataFrame) -> DataFrame:
     """Rows (doc_id, text_key, lead_id, lead_key): the leader of each document whose text another document has too."""
     open_rows, done = prints, None
