@@ -50,8 +50,10 @@ LEAST_DOCS = 5
 LEAST_LOG_ODDS = 3.0
 MOST_TERMS = 500
 STEM_LENGTHS = range(4, 9)
-WORD_CACHE = 500_000
-STATE_CACHE = 100_000
+# Bounds on what a Python worker keeps; it starts anew beyond them.
+WORD_CACHE = 150_000
+STATES = 10_000
+COUNTED = 200_000
 # Weights used where nothing can be learned; in the order of ``FEATURES``.
 FEATURES = ("any", "exact", "stems", "fuzzy", "quoted", "addressed", "strongest", "terms", "density")
 PLAIN_WEIGHTS = (-3.0, 3.0, 1.0, 1.0, 0.5, -0.5, 0.5, 0.0, 0.5, 0.0)
@@ -91,23 +93,30 @@ class Lexicon:
         self._forget()
 
     def _forget(self) -> None:
-        self._steps: dict[tuple, tuple] = {}
-        self._initial = self._closed({0: 0})
-
-    def _closed(self, state: dict[int, int]) -> tuple:
-        """With the nodes reached by leaving letters of the term out; one edit in all."""
+        """Start the table of states and steps anew; state 0 is the dead one, 1 the initial one."""
+        self._states: list[tuple] = []
+        self._numbers: dict[tuple, int] = {}
+        self._steps: dict[tuple[int, str], int] = {}
+        self._numbered({})
+        self._numbered({0: 0})
+
+    def _numbered(self, state: dict[int, int]) -> int:
+        """Number of a state, closed under leaving letters of the term out; one edit in all."""
         for node, edits in list(state.items()):
             if edits == 0:
                 for child in self._children[node].values():
                     state.setdefault(child, 1)
-        return tuple(sorted(state.items()))
-
-    def _step(self, state: tuple, letter: str) -> tuple:
-        key = (state, letter)
-        after = self._steps.get(key)
+        key = tuple(sorted(state.items()))
+        number = self._numbers.setdefault(key, len(self._states))
+        if number == len(self._states):
+            self._states.append(key)
+        return number
+
+    def _step(self, number: int, letter: str) -> int:
+        after = self._steps.get((number, letter))
         if after is None:
             reached: dict[int, int] = {}
-            for node, edits in state:
+            for node, edits in self._states[number]:
                 children = self._children[node]
                 child = children.get(letter)
                 if child is not None:
@@ -116,24 +125,23 @@ class Lexicon:
                     reached.setdefault(node, 1)  # a letter too many
                     for other in children.values():
                         reached.setdefault(other, 1)  # a letter instead of another
-            after = self._closed(reached)
-            if len(self._steps) >= STATE_CACHE:
-                self._steps.clear()
-            self._steps[key] = after
+            after = self._steps[number, letter] = self._numbered(reached)
         return after
 
     def find(self, word: str) -> tuple[str, int, float] | None:
         """(term, edits, strength) of the best match: exact words, then stems, then words with one edit."""
-        state, stem = self._initial, None
+        if len(self._states) > STATES:
+            self._forget()
+        number, stem = 1, None
         for letter in word:
-            state = self._step(state, letter)
-            if not state:
+            number = self._step(number, letter)
+            if not number:
                 break
-            for node, edits in state:
+            for node, edits in self._states[number]:
                 if edits == 0 and node in self._stem:
                     stem = self._stem[node]
         fuzzy = None
-        for node, edits in state:
+        for node, edits in self._states[number]:
             term = self._word.get(node)
             if term is None:
                 continue
@@ -243,7 +251,7 @@ def _term_counts(sample: DataFrame) -> DataFrame:
                     for kind, terms in ((False, words), (True, stems)):
                         for term in terms:
                             counts.setdefault((term, kind), [0, 0])[int(toxic == 0)] += 1
-                if len(counts) > 1_000_000:
+                if len(counts) > COUNTED:
                     yield _counted(counts)
                     counts = {}
         yield _counted(counts)
