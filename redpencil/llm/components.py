@@ -37,12 +37,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
         .distinct()
     )
     current, path = store_at(current, "edges")
-    seen = None
-    while True:
-        mark = current.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if mark == seen or not mark[0]:
-            return current.select("u", F.col("v").alias("root"))
-        seen = mark
+    while not _settled(current):
         following, next_path = store_at(_small_star(_large_star(current)), "edges")
         discard(spark, path)
         current, path = following, next_path
+    return current.select("u", F.col("v").alias("root"))
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Every vertex has one edge, to a vertex that has none."""
+    rows, sources = edges.agg(F.count(F.lit(1)), F.count_distinct("u")).first()
+    if rows != sources:
+        return False
+    return edges.select("v").join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
