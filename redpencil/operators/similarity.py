@@ -2,17 +2,14 @@
 
 Co-occurrence is counted, not listed. Every student becomes one or more *units*, rows with a left and a
 right array of item numbers of about ``UNIT_ITEMS`` entries at most; a student with more items is split
-over the tiles of an item grid, so no task ever holds a large group. Arrow batches of units are tallied
-with numpy into (left, right, n) partial counts, and only those are shuffled.
+over the tiles of an item grid, so no task ever holds a large group. The pairs of a unit go straight into a
+partial aggregate, and only the (a, b, n) counts are shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,10 +17,8 @@ from redpencil.functions.text import clean
 from redpencil.operators.shared import materialize, ordinals
 from redpencil.schemas import empty
 
-# Size bounds: items per unit side, pairs tallied at a time, cells of a dense tally.
+# Size bound: items per unit side.
 UNIT_ITEMS = 512
-PAIRS_AT_ONCE = 2_000_000
-DENSE_CELLS = 4_000_000
 
 CLUSTER_DDL = "label string, rubric_item string, size bigint, support_students bigint"
 
@@ -171,9 +166,14 @@ def pair_tallies(units: DataFrame, ordered: bool) -> DataFrame:
     ``same`` marks units whose sides are one and the same set, kept in ``left``; there each pair counts once.
     An unordered pair is returned smaller number first, an ordered one as (left, right).
     """
-    partial = units.mapInArrow(_tally_batches, "a bigint, b bigint, n bigint")
+    other = F.when(F.col("same"), F.col("left")).otherwise(F.col("right"))
+    pairs = (
+        units.select(F.explode("left").alias("a"), other.alias("other"), "same", "weight")
+        .select("a", F.explode("other").alias("b"), "same", "weight")
+        .filter(~F.col("same") | (F.col("a") < F.col("b")))
+    )
     key = ["a", "b"] if ordered else [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    return partial.groupBy(*key).agg(F.sum("n").alias("n"))
+    return pairs.groupBy(*key).agg(F.sum("weight").alias("n"))
 
 
 def unit_blocks(count: Column) -> Column:
@@ -264,70 +264,3 @@ def _named(measures: DataFrame, items: DataFrame) -> DataFrame:
     name_b = items.select(F.col("item_no").alias("b"), F.col("rubric_item").alias("rubric_item_b"))
     named = measures.join(name_a, "a").join(name_b, "b")
     return named.select("rubric_item_a", "rubric_item_b", "jaccard", "corr", F.col("n").alias("cooccurrence"))
-
-
-def _tally_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        left, left_size = _ragged(batch.column("left"))
-        right, right_size = _ragged(batch.column("right"))
-        same = batch.column("same").to_numpy(zero_copy_only=False)
-        weight = batch.column("weight").to_numpy(zero_copy_only=False)
-        right_size = np.where(same, left_size, right_size)
-        pairs = np.cumsum(left_size * right_size)
-        left_at = np.concatenate([[0], np.cumsum(left_size)])
-        right_at = np.where(same, left_at[:-1], np.concatenate([[0], np.cumsum(np.where(same, 0, right_size))])[:-1])
-        start = 0
-        while start < len(same):
-            done = pairs[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(pairs, done + PAIRS_AT_ONCE, side="right")))
-            part = slice(start, stop)
-            yield _tally(
-                left, right, left_at[part], left_size[part], right_at[part], right_size[part], same[part], weight[part]
-            )
-            start = stop
-
-
-def _ragged(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    values = column.flatten().to_numpy(zero_copy_only=False)
-    sizes = np.diff(column.offsets.to_numpy())
-    return values, sizes.astype(np.int64)
-
-
-def _tally(left, right, left_at, left_size, right_at, right_size, same, weight) -> pa.RecordBatch:
-    """Weighted pair counts of a run of units: each left entry against all right entries of its unit."""
-    unit = np.repeat(np.arange(len(same)), left_size)
-    a = left[_runs(left_at, left_size)]
-    partners = right_size[unit]
-    a = np.repeat(a, partners)
-    of = np.repeat(unit, partners)
-    at = _runs(right_at[unit], partners)
-    b = np.empty(len(a), dtype=np.int64)
-    one_set = same[of]
-    b[one_set] = left[at[one_set]]
-    b[~one_set] = right[at[~one_set]]
-    keep = ~one_set | (a < b)
-    a, b, w = a[keep], b[keep], weight[of[keep]]
-    names = np.unique(np.concatenate([a, b]))
-    code = np.searchsorted(names, a) * len(names) + np.searchsorted(names, b)
-    if len(names) ** 2 <= DENSE_CELLS:
-        seen = np.flatnonzero(np.bincount(code, minlength=len(names) ** 2)) if len(code) else code
-        n = np.bincount(code, weights=w, minlength=len(names) ** 2)[seen] if len(code) else code
-    else:
-        seen, where = np.unique(code, return_inverse=True)
-        n = np.bincount(where, weights=w)
-    size = max(len(names), 1)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(names[seen // size] if len(seen) else np.empty(0, np.int64), pa.int64()),
-            pa.array(names[seen % size] if len(seen) else np.empty(0, np.int64), pa.int64()),
-            pa.array(np.asarray(n).astype(np.int64), pa.int64()),
-        ],
-        names=["a", "b", "n"],
-    )
-
-
-def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Concatenated index runs start[i] … start[i] + size[i] - 1."""
-    total = int(size.sum())
-    first = np.cumsum(size) - size
-    return np.repeat(start - first, size) + np.arange(total)

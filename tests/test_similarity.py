@@ -1,7 +1,6 @@
 import random
 from itertools import combinations
 
-import pyarrow as pa
 import pytest
 
 from conftest import tuples
@@ -97,21 +96,12 @@ def test_components_of_a_long_chain(spark):
     assert all(got[i] == 1 for i in range(1, 201)) and got[300] == 250 and got[240] == 240
 
 
-@pytest.mark.parametrize(("at_once", "cells"), [(2_000_000, 4_000_000), (5, 4_000_000), (1, 1)])
-def test_tally_in_steps(monkeypatch, at_once, cells):
-    monkeypatch.setattr(similarity, "PAIRS_AT_ONCE", at_once)
-    monkeypatch.setattr(similarity, "DENSE_CELLS", cells)
+def test_tallies_of_units(spark):
     units = [([3, 1, 2], [], True, 1), ([1, 5], [2, 9], False, 1), ([], [4], False, 1), ([2, 1], [], True, 0), ([7, 8], [], True, 0)]
-    left, right, same, weight = zip(*units)
-    batch = pa.RecordBatch.from_arrays(
-        [pa.array(left, pa.list_(pa.int64())), pa.array(right, pa.list_(pa.int64())), pa.array(same), pa.array(weight, pa.int64())],
-        names=["left", "right", "same", "weight"],
-    )
-    total = {}
-    for out in similarity._tally_batches(iter([batch])):
-        for a, b, n in zip(*(c.to_pylist() for c in out.columns)):
-            total[a, b] = total.get((a, b), 0) + n
-    assert total == {(1, 3): 1, (2, 3): 1, (1, 2): 2, (1, 9): 1, (5, 2): 1, (5, 9): 1, (7, 8): 0}
+    df = spark.createDataFrame(units, "left array<bigint>, right array<bigint>, same boolean, weight bigint")
+    total = {r[:2]: r[2] for r in tuples(similarity.pair_tallies(df, ordered=False))}
+    assert total == {(1, 3): 1, (2, 3): 1, (1, 2): 2, (1, 9): 1, (2, 5): 1, (5, 9): 1, (7, 8): 0}
+    assert (5, 2) in {r[:2] for r in tuples(similarity.pair_tallies(df, ordered=True))}
 
 
 def test_too_little_support(spark, sample):
