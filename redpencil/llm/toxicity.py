@@ -10,7 +10,7 @@ second person). Counts of hits by kind are the features of a logistic regression
 
 Words and stems are fixed seeds and those that labelled toxic texts have far more often. They are mined in one
 half of a sample of labelled rows, and the weights are fitted in the other half. The sample holds about
-``SAMPLE`` rows at any size of the input, so it can be broadcast; near copies count once while mining.
+``SAMPLE`` rows at any size of the input, so it can be broadcast; texts that repeat count once while mining.
 
 Scoring reads each text where it is, without a shuffle. Labels, lang, source and doc_id are not inputs of a score.
 
@@ -268,11 +268,15 @@ def _counted(counts: dict) -> pa.RecordBatch:
     )
 
 
+def distinct_texts(sample: DataFrame) -> DataFrame:
+    """One row of each text and label; case and white space do not tell texts apart."""
+    plain = F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"\s+", " "))
+    return sample.withColumn("plain", F.sha2(plain, 256)).dropDuplicates(["plain", "toxic"]).drop("plain")
+
+
 def mine_lexicon(sample: DataFrame) -> Lexicon:
     """Seeds, and at most ``MOST_TERMS`` words and stems that are far more frequent in toxic texts."""
-    words = F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+")
-    sketch = F.array_min(F.transform(words, lambda w: F.xxhash64(w)))
-    distinct = sample.withColumn("sketch", sketch).dropDuplicates(["sketch", "toxic"])
+    distinct = distinct_texts(sample)
     counts = store(_term_counts(distinct), "term-counts")
     sizes = distinct.groupBy().agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("all")).first()
     n_toxic, n_clean = sizes["toxic"] or 0, (sizes["all"] or 0) - (sizes["toxic"] or 0)

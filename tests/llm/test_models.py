@@ -81,6 +81,18 @@ def test_toxicity_finds_planted_words_and_leaves_the_rest(spark):
     assert clean_docs.columns == docs.columns and clean_docs.filter("doc_id % 5 != 0").count() == 480
 
 
+def test_texts_that_share_a_word_all_count_while_mining(spark):
+    rows = [(k, f"the same words and number{k}", int(k % 5 == 0)) for k in range(200)]
+    rows += [(1000 + k, "The  same words\nand NUMBER1 ", 0) for k in range(20)]
+    sample = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    kept = toxicity.distinct_texts(sample).collect()
+    assert len(kept) == 200 and sum(r.toxic for r in kept) == 40
+    # The mining itself: a word of few toxic texts is found although all texts share the word of the smallest hash.
+    planted = [(k, "the same words and number%d %s" % (k, "zorgblat" if k % 5 == 0 else "fine"), int(k % 5 == 0)) for k in range(200)]
+    lexicon = toxicity.mine_lexicon(spark.createDataFrame(planted, "doc_id bigint, text string, toxic int"))
+    assert "zorgblat" in lexicon.words
+
+
 def test_toxicity_of_odd_rows_and_empty_tables(odd_docs, no_docs, labels, no_labels):
     for known in (labels, no_labels):
         rows = toxicity.report(odd_docs, known).collect()
