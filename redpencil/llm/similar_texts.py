@@ -35,8 +35,6 @@ SAMPLED = 3
 SKETCH = 512
 BLOCK = 2048
 PASSES = 3
-# Fingerprints of whole texts that differ in more bits cannot stand for texts of the similarity (32 are expected of strangers, 10 at 0.8).
-FAR_BITS = 24
 _MULTIPLIERS = np.random.default_rng(11).integers(1, 1 << 63, BANDS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -106,12 +104,10 @@ def sketched(docs: DataFrame, words: int = WORDS) -> DataFrame:
 def _clusters(rows: list[dict], least: float) -> np.ndarray:
     """Label of each row: the place of the first row of its cluster, over links of the similarity."""
     label = np.arange(len(rows))
-    bits = np.array([r["bits"] for r in rows], np.int64).view(np.uint64)
     sizes = np.array([r["n"] for r in rows], float)
     sketch = [np.frombuffer(r["sketch"], "<u4") for r in rows]
     for k in range(1, len(rows)):
-        near = np.bitwise_count(bits[:k] ^ bits[k]) <= FAR_BITS
-        near &= np.minimum(sizes[:k], sizes[k]) >= least * np.maximum(sizes[:k], sizes[k])
+        near = np.minimum(sizes[:k], sizes[k]) >= least * np.maximum(sizes[:k], sizes[k])
         open_ = np.flatnonzero(near & (label[:k] != label[k]))
         while len(open_):
             j = open_[0]
@@ -151,7 +147,7 @@ def _verified(members: DataFrame, least: float) -> DataFrame:
             yield solve(held)
 
     dealt = members.repartition("band", "value", "block").sortWithinPartitions("band", "value", "block", "n", "row")
-    return dealt.select("band", "value", "block", "row", "bits", "n", "sketch").mapInArrow(run, "band int, value bigint, u bigint, v bigint")
+    return dealt.select("band", "value", "block", "row", "n", "sketch").mapInArrow(run, "band int, value bigint, u bigint, v bigint")
 
 
 def similar_links(made: DataFrame, trie: DataFrame, least: float) -> DataFrame:
@@ -171,7 +167,7 @@ def similar_links(made: DataFrame, trie: DataFrame, least: float) -> DataFrame:
             "band", "value", "row", F.pmod(F.xxhash64("row", F.lit(turn)), blocks).cast("int").alias("block"), (blocks > 1).alias("several")
         )
         members = store(members, "band-members")
-        full = members.join(made.select("row", "bits", "n", "sketch").hint("merge"), "row")
+        full = members.join(made.select("row", "n", "sketch").hint("merge"), "row")
         part = store(_verified(full, least), "similar-links")
         found = part if found is None else found.unionByName(part)
         if members.filter("several").isEmpty():

@@ -63,6 +63,16 @@ def test_sketch_similarity():
         assert abs(got - true) < (1e-9 if size <= similar_texts.SKETCH else 0.07)
 
 
+def test_near_copies_with_a_line_that_repeats(spark):
+    rng, rows = random.Random(5), []
+    for k in range(20):
+        base = [rng.choice(VOCABULARY) for _ in range(200)]
+        line = [f"line{k}x{j}" for j in range(5)]
+        rows += [(2 * k, " ".join(base + line)), (2 * k + 1, " ".join(base + line * 100))]
+    got = {r.doc_id: r.component_id for r in similar_texts.similar_texts(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {k: k - k % 2 for k in range(40)}
+
+
 def test_stages_on_odd_rows(spark, odd_docs, no_docs, tmp_path):
     folder = str(tmp_path)
     spark.createDataFrame([(1, 0, 0), (2, 1, 1)], "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
