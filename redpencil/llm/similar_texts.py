@@ -6,20 +6,23 @@ text gets ``BANDS`` further fingerprints, each the SimHash of a min-wise sample
 have the same sample with probability of about s to the power of the sample's size. At 0.8, the chance
 to share none of the bands is below one in ten thousand.
 
-What is found is then verified: texts that share a band or a trie component are compared by their sets of shingles, which is exact
-up to ``SKETCH`` distinct shingles and beyond that is estimated from the ``SKETCH`` smallest hashes of the union (standard error below 0.02).
-Only pairs at or above the similarity link. A group that shares a band is compared in blocks of bounded
-size; the representatives of the clusters found are compared again, dealt anew, for ``PASSES`` passes.
+What is found is then verified. Texts with the same set of shingles count once. Texts that share a band or a trie component are
+compared by their sketches, the ``SKETCH`` smallest shingle hashes, which only reject, with a wide margin. What is
+left falls into components, and inside each of them texts are compared by their full sets of shingles: only pairs at or above the
+similarity link. A group or component over the bound is dealt out in pairs of blocks, so that all pairs meet whose
+sizes allow the similarity.
 
 Defined results: as for fingerprints. Texts without words are similar to each other and to nothing else.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +37,9 @@ BANDS = 14
 SAMPLED = 3
 SKETCH = 512
 BLOCK = 2048
-PASSES = 3
+TOKENS = 1 << 20
+# Sketches reject below the similarity by so much of the larger text: seven standard errors of a sketch.
+MARGIN = 0.1
 _MULTIPLIERS = np.random.default_rng(11).integers(1, 1 << 63, BANDS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -72,9 +77,9 @@ def similarity(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> float:
 
 
 def sketched(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """Rows (row, doc_id, text_key, bits, bands, n, sketch)."""
+    """Rows (row, doc_id, text_key, same, bits, bands, n, sketch); ``same`` stands for the whole set of shingles."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"row bigint, doc_id {id_type}, text_key bigint, bits bigint, bands array<bigint>, n bigint, sketch binary"
+    schema = f"row bigint, doc_id {id_type}, text_key bigint, same binary, bits bigint, bands array<bigint>, n bigint, sketch binary"
     names = [part.split()[0] for part in schema.split(", ")]
 
     def run(batches):
@@ -83,17 +88,18 @@ def sketched(docs: DataFrame, words: int = WORDS) -> DataFrame:
             for batch in pieces(whole):
                 found = list(texts(batch))
                 bits = _fingerprints_of(found, words).view(np.int64)
-                band, count, sketch = [], [], []
+                same, band, count, sketch = [], [], [], []
                 for text in found:
                     parts = list(_hashes(text, words))
                     distinct = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+                    same.append(xxhash.xxh3_128_digest(distinct.tobytes()))
                     band.append(bands(distinct))
                     count.append(len(distinct))
                     sketch.append(np.unique((distinct[:SKETCH] >> np.uint64(32)).astype("<u4")).tobytes())
                 rows = (batch.column("part")[0].as_py() << 40) + number + np.arange(batch.num_rows)
                 number += batch.num_rows
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows), batch.column("doc_id"), batch.column("text_key"), pa.array(bits)]
+                    [pa.array(rows), batch.column("doc_id"), batch.column("text_key"), pa.array(same, pa.binary()), pa.array(bits)]
                     + [pa.array(band, pa.list_(pa.int64())), pa.array(count, pa.int64()), pa.array(sketch, pa.binary())],
                     names,
                 )
@@ -101,37 +107,104 @@ def sketched(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.select(F.spark_partition_id().alias("part"), "doc_id", text_key().alias("text_key"), "text").mapInArrow(run, schema)
 
 
-def _clusters(rows: list[dict], least: float) -> np.ndarray:
-    """Label of each row: the place of the first row of its cluster, over links of the similarity."""
-    label = np.arange(len(rows))
-    sizes = np.array([r["n"] for r in rows], float)
-    sketch = [np.frombuffer(r["sketch"], "<u4") for r in rows]
-    for k in range(1, len(rows)):
-        near = np.minimum(sizes[:k], sizes[k]) >= least * np.maximum(sizes[:k], sizes[k])
-        open_ = np.flatnonzero(near & (label[:k] != label[k]))
-        while len(open_):
-            j = open_[0]
-            if similarity(sketch[j], sketch[k], rows[j]["n"], rows[k]["n"]) >= least:
+def _clusters(sets: list[np.ndarray], sizes: np.ndarray, sides: np.ndarray, least: float, margin: float) -> np.ndarray:
+    """Label of each row: the place of the first row of its cluster, over links of the similarity. ``sizes`` ascend.
+
+    With a margin the sets are sketches, and two texts link unless the estimate is further below the similarity.
+    Where there are two sides, only rows of different sides are compared.
+    """
+    label = np.arange(len(sets))
+    starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    marked = np.zeros(ids.max(initial=0) + 1, bool)
+    two = sides[0] != sides[-1] or (sides != sides[0]).any()
+    for k in range(1, len(sets)):
+        low = np.searchsorted(sizes, least * sizes[k] - 1e-9)
+        open_ = label[low:k] != label[k]
+        if two:
+            open_ &= sides[low:k] != sides[k]
+        open_ = low + np.flatnonzero(open_)
+        if not len(open_):
+            continue
+        own = ids[starts[k] : starts[k + 1]]
+        marked[own] = True
+        head = label[open_] == open_
+        for j in np.concatenate([open_[head], open_[~head]]):
+            if label[j] == label[k]:
+                continue
+            both = np.count_nonzero(marked[ids[starts[j] : starts[j + 1]]])
+            if margin:
+                both *= max(1.0, sizes[k] / SKETCH)
+                linked = both >= least / (1 + least) * (sizes[j] + sizes[k]) - margin * sizes[k]
+            else:
+                union = sizes[j] + sizes[k] - both
+                linked = not union or both / union >= least
+            if linked:
                 first, second = sorted((label[j], label[k]))
                 label[label == second] = first
-            open_ = open_[1:]
-            open_ = open_[label[open_] != label[k]]
+        marked[own] = False
     return label
 
 
-def _verified(members: DataFrame, least: float) -> DataFrame:
-    """Rows (band, value, u, v): every member with the representative of its cluster in its block."""
+def _units(keys: DataFrame, least: float, most: int | None = None) -> DataFrame:
+    """Rows (band, value, first, second, side, row, n): the members of each group, dealt out to units of bounded size.
+
+    ``keys`` has rows (band, value, row, n). All pairs of a group that can have the similarity by their sizes meet in
+    a unit. A group over the bound is cut by size and then by chance into blocks, and every two blocks whose sizes are near
+    enough make a unit.
+    """
+    weight = F.least("n", F.lit(most)) if most else F.col("n")
+    keys = keys.withColumn("weight", weight)
+    group = ["band", "value"]
+    sizes = keys.groupBy(*group).agg(F.count(F.lit(1)).alias("rows"), F.sum("weight").alias("total")).filter("rows > 1")
+    sizes = store(sizes.select(*group, ((F.col("rows") > BLOCK) | (F.col("total") > TOKENS)).alias("large")), "groups")
+    none = F.lit(0).cast("bigint")
+    small = keys.join(sizes.filter(~F.col("large")), group).select(
+        *group, none.alias("first"), none.alias("second"), none.alias("side"), "row", "n"
+    )
+    large = sizes.filter("large").select(*group)
+    if large.isEmpty():
+        return store(small, "units")
+    # A little wider than the similarity, so that texts near enough are in the same range or in neighbouring ones.
+    ranged = keys.withColumn("size", F.when(F.col("n") > 0, F.floor(F.log("n") / (1.001 * math.log(1 / least)))).otherwise(-2))
+    ranged = store(ranged.join(large, group).select(*group, "size", "row", "n", "weight"), "large-groups")
+    blocks = ranged.groupBy(*group, "size").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("weight") / TOKENS)).alias("blocks")
+    )
+    blocks = store(blocks, "blocks")
+    near = F.explode(F.array(*[F.col("size") + d for d in (-1, 0, 1)]))
+    others = blocks.select(*group, F.col("size").alias("to"), F.col("blocks").alias("most"))
+    partners = blocks.select(*group, "size", "blocks", near.alias("to"))
+    partners = store(partners.join(others, [*group, "to"]), "block-pairs")
+    code = lambda size, place: size * (1 << 32) + place
+    dealt = (
+        ranged.join(partners, [*group, "size"])
+        .withColumn("side", code(F.col("size"), F.pmod(F.xxhash64("row"), F.col("blocks"))))
+        .withColumn("other", F.explode(F.sequence(none, F.col("most") - 1)))
+        .withColumn("other", code(F.col("to"), F.col("other")))
+        .select(*group, F.least("side", "other").alias("first"), F.greatest("side", "other").alias("second"), "side", "row", "n")
+    )
+    return store(small.unionByName(dealt), "units")
+
+
+def _verified(units: DataFrame, sets: DataFrame, kind: str, least: float, margin: float = 0.0) -> DataFrame:
+    """Rows (u, v): every member of a unit with the first row of its cluster there. ``sets`` has (row, hashes)."""
+    names = ["band", "value", "first", "second"]
+
     def run(batches):
         held: list[dict] = []
-        unit = lambda r: (r["band"], r["value"], r["block"])
+        unit = lambda r: tuple(r[c] for c in names)
 
         def solve(rows: list[dict]) -> pa.RecordBatch:
             out = []
             for _, group in groupby(rows, unit):
                 group = list(group)
-                for r, first in zip(group, _clusters(group, least)):
-                    out.append((r["band"], r["value"], r["row"], group[first]["row"]))
-            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["band", "value", "u", "v"])
+                sets = [np.frombuffer(r["hashes"], kind) for r in group]
+                sizes, sides = np.array([r["n"] for r in group]), np.array([r["side"] for r in group])
+                label = _clusters(sets, sizes, sides, least, margin)
+                out += [(r["row"], group[first]["row"]) for k, (r, first) in enumerate(zip(group, label)) if first != k]
+            u, v = zip(*out) if out else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
         for whole in batches:
             for batch in pieces(whole, 2048):
@@ -146,37 +219,47 @@ def _verified(members: DataFrame, least: float) -> DataFrame:
         if held:
             yield solve(held)
 
-    dealt = members.repartition("band", "value", "block").sortWithinPartitions("band", "value", "block", "n", "row")
-    return dealt.select("band", "value", "block", "row", "n", "sketch").mapInArrow(run, "band int, value bigint, u bigint, v bigint")
+    full = units.join(sets.hint("merge"), "row")
+    dealt = full.repartition(*names).sortWithinPartitions(*names, "n", "row")
+    return dealt.select(*names, "side", "row", "n", "hashes").mapInArrow(run, "u bigint, v bigint")
+
+
+def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """Rows (row, hashes): all distinct shingles of the rows ``wanted`` (row, doc_id, text_key), found again by id and text."""
+
+    def run(batches):
+        for whole in batches:
+            for batch in pieces(whole):
+                found = []
+                for text in texts(batch):
+                    parts = list(_hashes(text, words))
+                    found.append((np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)).astype("<u8").tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(found, pa.binary())], ["row", "hashes"])
+
+    known = wanted.select("row", F.col("doc_id").alias("w_id"), F.col("text_key").alias("w_key"))
+    own = docs.select(F.col("doc_id").alias("d_id"), text_key().alias("d_key"), "text")
+    same = F.col("d_id").eqNullSafe(F.col("w_id")) & (F.col("d_key") == F.col("w_key"))
+    # Rows that repeat an id and a text are found more than once.
+    found = own.join(known.hint("merge"), same).select("row", "text").mapInArrow(run, "row bigint, hashes binary")
+    return store(found.groupBy("row").agg(F.first("hashes").alias("hashes")), "shingle-sets")
 
 
-def similar_links(made: DataFrame, trie: DataFrame, least: float) -> DataFrame:
+def similar_links(docs: DataFrame, made: DataFrame, trie: DataFrame, words: int, least: float) -> DataFrame:
     """Rows (u, v) of linked rows. ``trie`` has (u, root) of fingerprints joined by the trie walk."""
-    whole = made.join(trie, F.col("bits") == F.col("u"), "left").select(
-        F.lit(-1).alias("band"), F.coalesce("root", "bits").alias("value"), "row"
+    first = store(made.groupBy("same").agg(F.min("row").alias("v")), "distinct-sets")
+    copies = made.join(first, "same").select(F.col("row").alias("u"), "v").filter("u != v")
+    one = made.drop("sketch", "same").join(first.select(F.col("v").alias("row")), "row", "left_semi")
+    one = store(one, "one-of-each")
+    whole = one.join(trie, F.col("bits") == F.col("u"), "left").select(
+        F.lit(-1).alias("band"), F.coalesce("root", "bits").alias("value"), "row", "n"
     )
-    keys = whole.unionByName(made.select(F.posexplode("bands").alias("band", "value"), "row"))
-    found = None
-    for turn in range(PASSES):
-        sizes = keys.groupBy("band", "value").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
-        sizes = store(sizes, "band-groups")
-        if sizes.isEmpty():
-            break
-        blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
-        members = keys.join(sizes, ["band", "value"]).select(
-            "band", "value", "row", F.pmod(F.xxhash64("row", F.lit(turn)), blocks).cast("int").alias("block"), (blocks > 1).alias("several")
-        )
-        members = store(members, "band-members")
-        full = members.join(made.select("row", "n", "sketch").hint("merge"), "row")
-        part = store(_verified(full, least), "similar-links")
-        found = part if found is None else found.unionByName(part)
-        if members.filter("several").isEmpty():
-            break
-        hot = sizes.filter(blocks > 1).select("band", "value")
-        keys = part.filter("u = v").join(hot, ["band", "value"], "left_semi").select("band", "value", F.col("u").alias("row"))
-    if found is None:
-        return made.select(F.col("row").alias("u"), F.col("row").alias("v")).limit(0)
-    return found.filter("u != v").select("u", "v")
+    keys = whole.unionByName(one.select(F.posexplode("bands").alias("band", "value"), "row", "n"))
+    sketches = made.select("row", F.col("sketch").alias("hashes"))
+    near = store(connected_components(_verified(_units(keys, least, SKETCH), sketches, "<u4", least, MARGIN)), "near-roots")
+    near = near.unionByName(near.select(F.col("root").alias("u"), "root").distinct())
+    wanted = store(one.join(near, F.col("row") == F.col("u")).select("row", "n", "doc_id", "text_key", "root"), "candidates")
+    members = wanted.select(F.lit(-2).alias("band"), F.col("root").alias("value"), "row", "n")
+    return copies.unionByName(_verified(_units(members, least), full_sets(docs, wanted, words), "<u8", least))
 
 
 def similar_texts(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY, budget: int = BUDGET) -> DataFrame:
@@ -184,7 +267,7 @@ def similar_texts(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY
     made = store(sketched(docs, words), "sketches")
     distinct = store(made.select("bits").distinct(), "distinct-fingerprints")
     trie = store(connected_components(links(distinct, budget)), "trie-roots")
-    linked = store(connected_components(similar_links(made, trie, least)), "similar-roots")
+    linked = store(connected_components(similar_links(docs, made, trie, words, least)), "similar-roots")
     ends = linked.unionByName(linked.select(F.col("root").alias("u"), "root").distinct())
     rows = store(made.select("row", "doc_id", "text_key").join(ends, F.col("row") == F.col("u")).select("doc_id", "text_key", "root"), "similar-rows")
     smallest = store(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "smallest-ids")

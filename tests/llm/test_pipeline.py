@@ -73,6 +73,29 @@ def test_near_copies_with_a_line_that_repeats(spark):
     assert got == {k: k - k % 2 for k in range(40)}
 
 
+def brute_force(rows, least=0.8):
+    """doc_id -> smallest doc_id of its group, for groups of two or more."""
+    sets, label = [shingles(t) for _, t in rows], list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if label[a] != label[b] and 5 * min(len(sets[a]), len(sets[b])) >= 4 * max(len(sets[a]), len(sets[b])) and jaccard(sets[a], sets[b]) >= least:
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = [new if x == old else x for x in label]
+    return {k: x for k, x in enumerate(label) if label.count(x) > 1}
+
+
+def test_long_texts_are_decided_by_all_their_shingles(spark):
+    rng, rows = random.Random(9), []
+    for k in range(40):
+        base = [rng.choice(VOCABULARY) for _ in range(1500)]
+        # The last words replaced: similarities from 0.78 to 0.82.
+        cut = int(1500 * (1 - (2 * (s := 0.78 + 0.001 * k) / (1 + s))))
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base[:-cut] + [rng.choice(VOCABULARY) for _ in range(cut)]))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in similar_texts.similar_texts(docs).collect()}
+    assert got == brute_force(rows) and 0 < len(got) < len(rows)
+
+
 def test_stages_on_odd_rows(spark, odd_docs, no_docs, tmp_path):
     folder = str(tmp_path)
     spark.createDataFrame([(1, 0, 0), (2, 1, 1)], "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
