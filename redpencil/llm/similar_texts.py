@@ -9,8 +9,9 @@ to share none of the bands is below one in ten thousand.
 What is found is then verified. Texts with the same set of shingles count once. Texts that share a band or a trie component are
 compared by their sketches, the ``SKETCH`` smallest shingle hashes, which only reject, with a wide margin. What is
 left falls into components, and inside each of them texts are compared by their full sets of shingles: only pairs at or above the
-similarity link. A group or component over the bound is dealt out in pairs of blocks, so that all pairs meet whose
-sizes allow the similarity.
+similarity link. A group of more than ``BLOCK`` texts is split by an exact key, the rare shingles of its texts (see
+``prefix_keys``). What is over the bound even so is dealt out in pairs of blocks, so that all pairs meet whose sizes allow
+the similarity.
 
 Defined results: as for fingerprints. Texts without words are similar to each other and to nothing else.
 """
@@ -24,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from redpencil.llm.components import connected_components
@@ -244,6 +246,43 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return store(found.groupBy("row").agg(F.first("hashes").alias("hashes")), "shingle-sets")
 
 
+def prefix_keys(sets: DataFrame, least: float) -> DataFrame:
+    """Rows (band, value, row, n): texts that share a key; all pairs at or above the similarity share one.
+
+    The shingles of a text are put in order from rare to frequent, the same order for all texts. Of two texts that have
+    the similarity, the first shingles up to a share of the size meet; for the smaller text, a shorter share is enough.
+    """
+    schema = "row bigint, n bigint, hash bigint"
+
+    def run(batches):
+        for whole in batches:
+            for batch in pieces(whole, 64):
+                found = [np.frombuffer(h.as_py(), "<i8") for h in batch.column("hashes")]
+                n = np.array([len(f) for f in found], np.int64)
+                rows = np.repeat(batch.column("row").to_numpy(), n)
+                columns = [pa.array(rows), pa.array(np.repeat(n, n)), pa.array(np.concatenate(found).astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "n", "hash"])
+
+    shingles = sets.mapInArrow(run, schema)
+    counts = store(shingles.groupBy("hash").agg(F.count(F.lit(1)).alias("times")).filter("times > 1"), "shingle-counts")
+    # Shingles of one text alone come first in the order and meet nothing.
+    own = W.partitionBy("row")
+    shared = shingles.join(counts.hint("merge"), "hash").withColumn("k", F.row_number().over(own.orderBy("times", "hash")))
+    place = F.col("n") - F.count(F.lit(1)).over(own) + F.col("k") - 1
+    until = lambda share: F.col("n") - F.ceil(share * F.col("n") - 1e-9)
+    keys = shared.withColumn("place", place).filter(F.col("place") <= until(least))
+    keys = store(keys.select("hash", "row", "n", (F.col("place") <= until(2 * least / (1 + least))).alias("early")), "prefixes")
+    groups = keys.groupBy("hash").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.bool_or("early").alias("early"),
+        F.bit_xor(F.xxhash64("row")).alias("a"),
+        F.bit_xor(F.xxhash64("row", F.lit(1))).alias("b"),
+    )
+    # Keys with the same texts count once.
+    once = store(groups.filter("rows > 1 and early").groupBy("rows", "a", "b").agg(F.min("hash").alias("hash")).select("hash"), "keys")
+    return keys.join(once, "hash").select(F.lit(-3).alias("band"), F.col("hash").alias("value"), "row", "n")
+
+
 def similar_links(docs: DataFrame, made: DataFrame, trie: DataFrame, words: int, least: float) -> DataFrame:
     """Rows (u, v) of linked rows. ``trie`` has (u, root) of fingerprints joined by the trie walk."""
     first = store(made.groupBy("same").agg(F.min("row").alias("v")), "distinct-sets")
@@ -254,6 +293,13 @@ def similar_links(docs: DataFrame, made: DataFrame, trie: DataFrame, words: int,
         F.lit(-1).alias("band"), F.coalesce("root", "bits").alias("value"), "row", "n"
     )
     keys = whole.unionByName(one.select(F.posexplode("bands").alias("band", "value"), "row", "n"))
+    hot = keys.groupBy("band", "value").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > BLOCK)
+    hot = store(hot.select("band", "value"), "hot-groups")
+    if not hot.isEmpty():
+        rows = store(keys.join(hot, ["band", "value"], "left_semi").select("row").distinct(), "hot-rows")
+        sets = full_sets(docs, one.join(rows, "row", "left_semi"), words)
+        rest = keys.join(hot, ["band", "value"], "left_anti")
+        keys = store(rest.unionByName(prefix_keys(sets, least)), "keys")
     sketches = made.select("row", F.col("sketch").alias("hashes"))
     near = store(connected_components(_verified(_units(keys, least, SKETCH), sketches, "<u4", least, MARGIN)), "near-roots")
     near = near.unionByName(near.select(F.col("root").alias("u"), "root").distinct())

@@ -96,6 +96,21 @@ def test_long_texts_are_decided_by_all_their_shingles(spark):
     assert got == brute_force(rows) and 0 < len(got) < len(rows)
 
 
+def test_hot_groups_give_what_brute_force_gives(spark, monkeypatch):
+    monkeypatch.setattr(similar_texts, "BLOCK", 20)
+    rng, rows = random.Random(13), []
+    for _ in range(2):
+        passage = [rng.choice(VOCABULARY) for _ in range(150)]
+        for k in range(60):
+            rows.append((len(rows), " ".join(passage + [rng.choice(VOCABULARY) for _ in range(14 + k // 2)])))
+            if k % 3 == 0:  # a near copy of a text that is not like the others
+                own = rows[-1][1].split() + [rng.choice(VOCABULARY) for _ in range(60)]
+                rows += [(len(rows), " ".join(own)), (len(rows) + 1, " ".join(own[:-25] + [rng.choice(VOCABULARY) for _ in range(25)]))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in similar_texts.similar_texts(docs).collect()}
+    assert got == brute_force(rows) and len(set(got.values())) > 5 and len(got) < len(rows)
+
+
 def test_stages_on_odd_rows(spark, odd_docs, no_docs, tmp_path):
     folder = str(tmp_path)
     spark.createDataFrame([(1, 0, 0), (2, 1, 1)], "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
