@@ -8,11 +8,12 @@ all state paths by the scaled forward recursion, times that of each word within
 
 Words meet their corpus counts without a row for each word of each document: a chunk of documents is numbered
 with a vocabulary of its own, the (chunk, word) rows are summed over the corpus by word, and go back to their
-chunk, where they are looked up by number. Chunks have a bounded size.
+chunk, where they are looked up by number. Chunks have a bounded size. The rows of a chunk are sorted with its
+vocabulary first, so that a task holds the vocabulary of one chunk and streams the texts past it.
 
-Training starts from a bounded sample (``SAMPLE`` texts, for the first guess only) and goes on with
-``ROUNDS`` Baum-Welch rounds over all training texts. A training sequence of more than ``LONGEST`` tokens is
-counted in parts; scores are always those of whole texts.
+Training starts from a bounded sample (the ``SAMPLE`` whole texts of the smallest hash, for the first guess only) and
+goes on with ``ROUNDS`` Baum-Welch rounds over all training texts. Sequences are never cut: the forward states are
+kept for ``KEPT_TOKENS`` tokens at a time and made again from those at the bounds, for the way back.
 
 Words are told apart by 64-bit hashes. Defined results: a null or blank text is its end token alone. Rows that
 repeat are counted and scored each. A row without a doc_id is held out. With no training rows, the base score is 0
@@ -31,7 +32,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from redpencil.llm.storage import discard, store, store_at, text_key
@@ -44,12 +44,14 @@ FREQUENT = 5e-4
 ENDINGS = 1024
 SAMPLE = 400
 SAMPLE_ROUNDS = 12
+SAMPLE_PARTS = 8
 ROUNDS = 2
-LONGEST = 200_000
 CHUNK_BYTES = 32 << 20
-CHUNK_WORDS = 600_000
+CHUNK_WORDS = 400_000
 # Tokens that are worked on at once, padding included.
-BLOCK = 400_000
+BLOCK = 200_000
+# Tokens whose forward states are held at once.
+KEPT_TOKENS = 50_000
 END_WORD = b" "  # no word holds a space
 
 
@@ -159,24 +161,15 @@ def encoded(docs: DataFrame) -> tuple[DataFrame, Counts]:
     rows, path = store_at(_numbered(docs), "numbered")
     words = rows.filter(F.col("word").isNotNull())
     total = words.agg(F.sum("n")).first()[0] or 0
-    by_word = W.partitionBy("word")
-    # A word has at most one row for each chunk. One of these rows stands for the word itself.
-    summed = words.select(
-        "chunk",
-        "place",
-        "word",
-        "ending",
-        F.sum("n").over(by_word).alias("n"),
-        (F.min("chunk").over(by_word) == F.col("chunk")).alias("first"),
-    ).withColumn("word", F.when(F.col("n") >= max(1.0, FREQUENT * total), F.col("word")))
-    summed, summed_path = store_at(summed, "word-counts")
+    # Added up where they are, then by word; the counts go back to the chunks by a join, which splits hot words.
+    summed, summed_path = store_at(words.groupBy("word").agg(F.min("ending").alias("ending"), F.sum("n").alias("n")), "word-counts")
     # Bounded: at most 1 / FREQUENT words can be that frequent.
-    common = summed.filter("first and word is not null").select("word").orderBy("word").collect()
+    common = summed.filter(F.col("n") >= max(1.0, FREQUENT * total)).select("word").orderBy("word").collect()
     frequent = {row["word"]: ENDINGS + k for k, row in enumerate(common)}
     classes = ENDINGS + len(frequent)
     table = spark.createDataFrame(list(frequent.items()), "word bigint, own int")
-    classed = summed.join(F.broadcast(table), "word", "left").withColumn("class", F.coalesce("own", "ending"))
-    per_class = classed.filter("first and n > 0").groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words"))
+    classed = summed.join(F.broadcast(table), "word", "left").select("word", "n", F.coalesce("own", "ending").alias("class"))
+    per_class = classed.filter("n > 0").groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words"))
     class_tokens, class_words = np.zeros(classes), np.zeros(classes)
     for row in per_class.collect():
         class_tokens[row["class"]], class_words[row["class"]] = row["n"], row["words"]
@@ -185,38 +178,52 @@ def encoded(docs: DataFrame) -> tuple[DataFrame, Counts]:
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, text_key bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, word_score double, classes binary"
 
-    def look_up(texts_: pa.Table, vocabulary: pa.Table) -> pa.Table:
-        place = vocabulary.column("place").to_numpy()
-        n, kind = np.empty(len(place)), np.empty(len(place), np.int64)
-        n[place] = vocabulary.column("n").to_numpy()
-        kind[place] = vocabulary.column("class").to_numpy()
-        base = np.log10((n + SMOOTHING) / (counts.tokens + SMOOTHING * (counts.distinct + 1)))
-        inside = np.log10((n + SMOOTHING) / (class_tokens[kind] + SMOOTHING * (class_words[kind] + 1)))
-        out = []
-        for data in texts_.column("ids"):
-            ids = _from_planes(data.as_py())
-            out.append((len(ids), int((n[ids] > 0).sum()), base[ids].sum(), inside[ids].sum(), kind[ids].astype("<u2").tobytes()))
-        columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()))]
-        return pa.Table.from_arrays([texts_.column(c).combine_chunks() for c in ("doc_id", "text_key", "held_out")] + columns, [p.split()[0] for p in schema.split(", ")])
-
-    texts_ = rows.filter(F.col("ids").isNotNull()).select("chunk", "doc_id", "text_key", "held_out", "ids")
-    vocabulary = classed.select("chunk", "place", "n", "class")
-    joined = texts_.groupBy("chunk").cogroup(vocabulary.groupBy("chunk")).applyInArrow(
-        lambda left, right: look_up(left, right) if left.num_rows else _none_of(left, schema), schema
-    )
-    made = store(joined, "encoded")
+    names = [part.split()[0] for part in schema.split(", ")]
+
+    def look_up(batches):
+        chunk, base, inside, kind = None, None, None, None
+        places, numbers, kinds = [], [], []
+        for whole in batches:
+            of, is_text = whole.column("chunk").to_numpy(), whole.column("is_text").to_numpy(zero_copy_only=False)
+            bounds = np.flatnonzero((of[1:] != of[:-1]) | (is_text[1:] != is_text[:-1])) + 1
+            for lo, hi in zip(np.append(0, bounds), np.append(bounds, len(of))):
+                if lo == hi:
+                    continue
+                part = whole.slice(lo, hi - lo)
+                if of[lo] != chunk:
+                    chunk, base = of[lo], None
+                    places, numbers, kinds = [], [], []
+                if not is_text[lo]:
+                    places.append(part.column("place").to_numpy())
+                    numbers.append(part.column("n").to_numpy())
+                    kinds.append(part.column("class").to_numpy())
+                    continue
+                if base is None:
+                    place = np.concatenate(places)
+                    n, kind = np.empty(len(place), np.int64), np.empty(len(place), np.int32)
+                    n[place], kind[place] = np.concatenate(numbers), np.concatenate(kinds)
+                    places, numbers, kinds = [], [], []
+                    base = np.log10((n + SMOOTHING) / (counts.tokens + SMOOTHING * (counts.distinct + 1)))
+                    inside = np.log10((n + SMOOTHING) / (class_tokens[kind] + SMOOTHING * (class_words[kind] + 1)))
+                    known = n > 0
+                out = []
+                for data in part.column("ids"):
+                    ids = _from_planes(data.as_py())
+                    out.append((len(ids), int(known[ids].sum()), base[ids].sum(), inside[ids].sum(), kind[ids].astype("<u2").tobytes()))
+                columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in names[:3]] + columns, names)
+
+    texts_ = rows.filter(F.col("ids").isNotNull()).select("chunk", F.lit(True).alias("is_text"), "place", F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("int").alias("class"), *names[:3], "ids")
+    nothing = [rows[c].alias(c) for c in (*names[:3], "ids")]
+    vocabulary = words.select("chunk", "place", "word", *nothing).join(classed.hint("shuffle_merge"), "word")
+    vocabulary = vocabulary.select("chunk", F.lit(False).alias("is_text"), "place", "n", "class", *names[:3], "ids")
+    both = texts_.unionByName(vocabulary).repartition("chunk").sortWithinPartitions("chunk", "is_text")
+    made = store(both.mapInArrow(look_up, schema), "encoded")
     discard(spark, path)
     discard(spark, summed_path)
     return made, counts
 
 
-def _none_of(left: pa.Table, schema: str) -> pa.Table:
-    kinds = {"bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}
-    fields = [p.split() for p in schema.split(", ")]
-    arrays = [pa.array([], left.schema.field("doc_id").type if name == "doc_id" else kinds[kind]) for name, kind in fields]
-    return pa.Table.from_arrays(arrays, [name for name, _ in fields])
-
-
 # The model
 
 
@@ -280,29 +287,43 @@ def expected_counts(model: Hmm, sequences: list[np.ndarray]) -> tuple[np.ndarray
     """Baum-Welch: expected starts, moves and emissions, added up over the sequences."""
     states, classes = len(model.start), len(model.emit)
     starts, moves, emits = np.zeros(states), np.zeros((states, states)), np.zeros((classes, states))
-    parts = [s[k : k + LONGEST] for s in sequences for k in range(0, len(s), LONGEST)]
-    for _, padded, active in _blocks(parts):
-        forwards, scales = [], []
-        for time, m in enumerate(active):
-            step = (model.start if time == 0 else forwards[-1][:m] @ model.move) * model.emit[padded[time, :m]]
+
+    def forward(padded, active, lo: int, hi: int, last):
+        """States and scales of the times from lo to under hi, after the states of the time before."""
+        found, scales = [], []
+        for time in range(lo, hi):
+            m = active[time]
+            step = (model.start if time == 0 else last[:m] @ model.move) * model.emit[padded[time, :m]]
             scale = step.sum(1)
-            forwards.append(step / scale[:, None])
+            last = step / scale[:, None]
+            found.append(last)
             scales.append(scale)
-        backward = np.ones((len(padded[0]), states))
-        shares = [None] * len(padded)
-        for time in range(len(padded) - 1, -1, -1):
-            m = active[time]
-            if time + 1 < len(padded):
-                k = active[time + 1]
-                ahead = model.emit[padded[time + 1, :k]] * backward[:k] / scales[time + 1][:, None]
-                moves += (forwards[time][:k].T @ ahead) * model.move
-                backward[:k] = ahead @ model.move.T
-            shares[time] = forwards[time] * backward[:m]
-        starts += shares[0].sum(0)
-        seen = np.concatenate([padded[time, :m] for time, m in enumerate(active)])
-        share = np.concatenate(shares)
-        for state in range(states):
-            emits[:, state] += np.bincount(seen, share[:, state], classes)
+        return found, scales
+
+    for _, padded, active in _blocks(sequences):
+        step = max(1, KEPT_TOKENS // padded.shape[1])
+        bounds = [*range(0, len(padded), step), len(padded)]
+        before = [None]
+        for lo, hi in zip(bounds[:-2], bounds[1:-1]):
+            before.append(forward(padded, active, lo, hi, before[-1])[0][-1])
+        backward, ahead = np.ones((padded.shape[1], states)), None
+        for lo, hi, last in reversed(list(zip(bounds, bounds[1:], before))):
+            found, scales = forward(padded, active, lo, hi, last)
+            shares = [None] * (hi - lo)
+            for time in range(hi - 1, lo - 1, -1):
+                m, here = active[time], found[time - lo]
+                if ahead is not None:
+                    k = len(ahead)
+                    moves += (here[:k].T @ ahead) * model.move
+                    backward[:k] = ahead @ model.move.T
+                shares[time - lo] = here * backward[:m]
+                ahead = model.emit[padded[time, :m]] * backward[:m] / scales[time - lo][:, None]
+            if lo == 0:
+                starts += shares[0].sum(0)
+            seen = np.concatenate([padded[time, : active[time]] for time in range(lo, hi)])
+            share = np.concatenate(shares)
+            for state in range(states):
+                emits[:, state] += np.bincount(seen, share[:, state], classes)
     return starts, moves, emits
 
 
@@ -338,13 +359,12 @@ def train(rows: DataFrame, counts: Counts, states: int = STATES, rounds: int = R
     """Baum-Welch: a first guess from a bounded sample, then ``rounds`` rounds over all training rows."""
     training = rows.filter(~F.col("held_out"))
     model = Hmm.guess(counts.class_tokens, states)
-    share = sample / max(1, training.count())
-    picked = training.filter(F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(1_000_000)) < min(1.0, share) * 1_000_000)
-    few = [np.frombuffer(r[0], "<u2")[:LONGEST] for r in picked.select("classes").limit(2 * sample).collect()]
-    if not few:
+    # The texts of the smallest hashes: a sample of fixed size, of whole texts, and the same on every run.
+    few = store(training.orderBy(F.xxhash64("doc_id", "text_key"), "doc_id", "text_key").limit(sample).select("classes").repartition(SAMPLE_PARTS), "sample")
+    if few.isEmpty():
         return model
     for _ in range(SAMPLE_ROUNDS):
-        model = Hmm.from_counts(*expected_counts(model, few))
+        model = _trained_once(few, model)
     # Classes that the sample lacks get their corpus frequency in every state.
     rest = counts.class_tokens / max(1.0, counts.class_tokens.sum()) + 1e-9
     emit = 0.8 * model.emit + 0.2 * (rest / rest.sum())[:, None]

@@ -127,7 +127,9 @@ def test_forward_is_the_sum_over_all_paths():
     assert np.allclose(hmm_lm.log_likelihoods(model, sequences), want)
 
 
-def test_baum_welch_counts_are_expectations():
+@pytest.mark.parametrize("kept", [hmm_lm.KEPT_TOKENS, 1, 9])
+def test_baum_welch_counts_are_expectations(monkeypatch, kept):
+    monkeypatch.setattr(hmm_lm, "KEPT_TOKENS", kept)
     model, rng = some_model(), np.random.default_rng(6)
     sequences = [rng.integers(0, 4, n) for n in (1, 4, 6, 3)]
     starts, moves, emits = np.zeros(2), np.zeros((2, 2)), np.zeros((4, 2))
