@@ -5,8 +5,8 @@ level by level: a prefix whose distinct documents are fewer than that is discard
 others are extended until only complete terms are left. Distinct documents need no full lists: a task lists each
 term's first ``LEAST_DOCS`` documents, which decides the threshold for every union of them exactly.
 
-Levels over the tables use counts alone: prefixes below which few rows lie are units, the others are extended (by a
-byte at first, by half their length later on), and large ones of too few documents go before any term is moved. Then terms are dealt out by unit, sorted, and
+Levels over the tables use counts alone: prefixes below which few rows lie are units, the others are extended by half
+their length, and large ones of too few documents go before any term is moved. Then terms are dealt out by unit, sorted, and
 refined further down inside the tasks. A unit has at most ``UNIT`` rows unless it is one complete term, whose rows are
 added up as they come.
 
@@ -23,9 +23,11 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -40,66 +42,75 @@ SCALE = 1_000_000_000
 # above the bound are never more than LARGE_PREFIXES at a level.
 UNIT = 1 << 16
 LARGE_PREFIXES = 4096
-# Distinct terms that a task holds before it writes them out, and pairs and sums that it holds at once.
-TERMS_AT_ONCE = 200_000
-PAIRS_AT_ONCE = 1 << 20
+# Counts by term and source that a task holds before it writes them out, rows that are looked at together, and pairs
+# and sums that are held at once.
+TERMS_AT_ONCE = 800_000
+ROWS_AT_ONCE = 50_000
+PAIRS_AT_ONCE = 1 << 19
 SUMS_AT_ONCE = 1 << 20
 
 # The bytes of terms by characters. Letters a-z and every byte of a non-ASCII character.
 _TERM = re.compile(rb"[a-z\x80-\xff]+")
 
-TERMS = "lang string, source string, term binary, n bigint, docs array<bigint>"
+TERMS = "lang string, term binary, sources array<string>, counts array<bigint>, docs array<bigint>, full boolean"
 KEPT = "lang string, source string, term binary, n bigint, total bigint, first boolean"
 
 
-def _arrow(schema: str) -> pa.Schema:
-    kinds = {"string": pa.string(), "binary": pa.binary(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "array<bigint>": pa.list_(pa.int64())}
-    return pa.schema([(name, kinds[kind]) for name, kind in (part.split() for part in schema.split(", "))])
+def _listed(lists: Iterator, sizes: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(chain.from_iterable(lists), kind))
 
 
-def _batches(rows: Iterator[tuple], schema: str, size: int = 20_000) -> Iterator[pa.RecordBatch]:
-    shape, held = _arrow(schema), []
-    for row in rows:
-        held.append(row)
-        if len(held) == size:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), shape)], schema=shape)
-            held = []
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), shape)], schema=shape)
+def counted_terms(docs: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
+    """Rows (lang, term, sources, counts, docs, full), added up within parts of a task.
 
+    docs lists up to ``least`` documents, and ``full`` tells that it lists as many.
+    """
 
-def counted_terms(docs: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
-    """Rows (lang, source, term, n, docs), added up within parts of a task; docs lists up to ``least`` documents."""
+    def written(held: dict[str, dict[bytes, list]]) -> Iterator[pa.RecordBatch]:
+        for lang, group in held.items():
+            terms, found = list(group), list(group.values())
+            for start in range(0, len(terms), ROWS_AT_ONCE):
+                some = found[start : start + ROWS_AT_ONCE]
+                sources = np.fromiter((len(known[0]) for known in some), np.int64, len(some))
+                documents = np.fromiter(map(len, some), np.int64, len(some)) - 1
+                columns = [pa.array([lang] * len(some), pa.string()), pa.array(terms[start : start + ROWS_AT_ONCE], pa.binary())]
+                columns.append(_listed((known[0] for known in some), sources, pa.string()))
+                columns.append(_listed((known[0].values() for known in some), sources, pa.int64()))
+                columns.append(_listed((known[1:] for known in some), documents, pa.int64()))
+                columns.append(pa.array(documents >= least))
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "term", "sources", "counts", "docs", "full"])
 
-    def rows(batches):
-        held: dict[tuple, dict[bytes, list]] = {}
+    def run(batches):
+        held: dict[str, dict[bytes, list]] = {}
         size, number = 0, 0
         for whole in batches:
             for batch in pieces(whole):
-                parts = batch.column("part").to_pylist()
-                for part, lang, source, text in zip(parts, batch.column("lang").to_pylist(), batch.column("source").to_pylist(), texts(batch)):
+                names = (batch.column(c).to_pylist() for c in ("part", "lang", "source"))
+                for part, lang, source, text in zip(*names, texts(batch)):
                     document = (part << 33) + number
                     number += 1
-                    group = held.setdefault((lang, source), {})
-                    size -= len(group)
+                    group = held.setdefault(lang, {})
                     for term, n in Counter(_TERM.findall(text.lower())).items():
                         known = group.get(term)
                         if known is None:
-                            group[term] = [n, document]
+                            group[term] = [{source: n}, document]
+                            size += 1
+                            continue
+                        counts = known[0]
+                        if source in counts:
+                            counts[source] += n
                         else:
-                            known[0] += n
-                            if len(known) <= least:
-                                known.append(document)
-                    size += len(group)
+                            counts[source] = n
+                            size += 1
+                        if len(known) <= least:
+                            known.append(document)
                     if size > TERMS_AT_ONCE:
-                        yield from ((*key, term, known[0], known[1:]) for key, group in held.items() for term, known in group.items())
+                        yield from written(held)
                         held, size = {}, 0
-        yield from ((*key, term, known[0], known[1:]) for key, group in held.items() for term, known in group.items())
+        yield from written(held)
 
-    named = docs.select(
-        F.spark_partition_id().alias("part"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), "text"
-    )
-    return named.mapInArrow(lambda batches: _batches(rows(batches), TERMS), TERMS)
+    empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    return docs.select(F.spark_partition_id().alias("part"), empty("lang"), empty("source"), "text").mapInArrow(run, TERMS)
 
 
 # The iceberg search
@@ -107,84 +118,120 @@ def counted_terms(docs: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
 
 def _widths() -> Iterator[int]:
     """Lengths of the prefixes, level by level."""
-    width = 1
+    width = 2
     while True:
         yield width
-        width += max(1, width // 2)
+        width += width // 2
 
 
-def _level(terms: DataFrame, shorter: int, width: int, open_: set[tuple] | None, least: int) -> DataFrame:
-    """Rows (lang, prefix, rows, documents) of the prefixes of ``width`` bytes below the open ones of ``shorter`` bytes.
+def _key(width: int) -> Column:
+    """A language and a prefix of this many bytes, apart by a byte that terms do not have."""
+    return F.concat(F.encode("lang", "UTF-8"), F.lit(b"\0"), F.substring("term", 1, width))
 
-    A complete term that is no longer than the open prefix is not extended. ``documents`` is exact up to ``least``.
-    """
-    shape = "lang string, prefix binary, rows bigint, docs array<bigint>"
 
-    def rows(batches):
-        held: dict[tuple, list] = {}
-        for batch in batches:
-            for lang, term, docs in zip(*(batch.column(c).to_pylist() for c in ("lang", "term", "docs"))):
-                if open_ is not None and (len(term) <= shorter or (lang, term[:shorter]) not in open_):
-                    continue
-                known = held.setdefault((lang, term[:width]), [0, set()])
-                known[0] += 1
-                if len(known[1]) < least:
-                    known[1].update(docs)
-            if len(held) > TERMS_AT_ONCE:
-                yield from ((*key, n, sorted(found)) for key, (n, found) in held.items())
-                held = {}
-        yield from ((*key, n, sorted(found)) for key, (n, found) in held.items())
-
-    found = terms.select("lang", "term", "docs").mapInArrow(lambda batches: _batches(rows(batches), shape), shape)
-    sizes = found.groupBy("lang", "prefix").agg(F.sum("rows").alias("rows"))
-    documents = found.select("lang", "prefix", F.explode("docs").alias("doc")).distinct().groupBy("lang", "prefix").agg(F.count(F.lit(1)).alias("documents"))
-    return sizes.join(documents, ["lang", "prefix"])
-
-
-def _large_prefixes(terms: DataFrame, least: int, unit: int) -> tuple[set[tuple], set[tuple]]:
-    """(open, dead) prefixes (lang, bytes) with more rows than a unit: those to be extended, and those of too few documents.
+def _among(column: Column, keys: set[bytes]) -> Column:
+    return column.isin(*sorted(keys)) if keys else F.lit(False)
+
+
+def _changes(*columns: pa.Array) -> np.ndarray:
+    """Where a row differs from the one before it in any of the columns; the first row does."""
+    out = np.zeros(len(columns[0]), bool)
+    out[:1] = True
+    for column in columns:
+        out[1:] |= pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False)
+    return out
+
+
+def _documents(owner: np.ndarray, docs: pa.ListArray, size: int) -> np.ndarray:
+    """How many distinct documents the lists of each owner hold."""
+    owners = np.repeat(owner, docs.value_lengths().to_numpy())
+    _, docs = np.unique(docs.flatten().to_numpy(), return_inverse=True)
+    pairs = np.unique(owners * (int(docs.max(initial=0)) + 1) + docs)
+    return np.bincount(pairs // (int(docs.max(initial=0)) + 1), minlength=size)
+
+
+def _large_prefixes(terms: DataFrame, least: int, unit: int) -> tuple[list[tuple[int, set[bytes]]], set[bytes]]:
+    """Prefixes with more rows than a unit, as keys: those to be extended, by width, and those of too few documents.
 
     At most as many for each level as units fit the table.
     """
-    every, dead, open_, shorter = set(), set(), None, 0
+    levels, dead, below = [], set(), terms
     for width in _widths():
-        found = _level(terms, shorter, width, open_, least).filter(F.col("rows") > unit).collect()
-        rare = {(r["lang"], bytes(r["prefix"])) for r in found if r["documents"] < least}
-        open_ = {(r["lang"], bytes(r["prefix"])) for r in found} - rare
-        every, dead, shorter = every | open_, dead | rare, width
+        keyed = below.withColumn("key", _key(width))
+        # A row that lists enough documents settles its prefix. Elsewhere all lists are complete and are counted.
+        found = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.max("full").alias("full")).filter(F.col("rows") > unit).collect()
+        open_ = {bytes(r["key"]) for r in found}
+        unsettled = {bytes(r["key"]) for r in found if not r["full"]}
+        if unsettled:
+            documents = keyed.filter(_among(F.col("key"), unsettled)).select("key", F.explode("docs").alias("doc")).distinct()
+            rare = documents.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") < least).collect()
+            dead |= {bytes(r["key"]) for r in rare}
+        open_ -= dead
         if not open_:
-            return every, dead
+            return levels, dead
+        levels.append((width, open_))
+        # A complete term is not extended.
+        below = below.filter(_among(_key(width), open_) & (F.length("term") > width))
 
 
-def refined(terms: list[bytes], docs: list[set], least: int) -> list[int]:
-    """Places of the terms with at least ``least`` documents, by prefixes extended byte by byte.
+def refined(terms: pa.Array, owner: np.ndarray, docs: pa.ListArray, least: int) -> np.ndarray:
+    """Which of the sorted distinct ``terms`` have at least ``least`` documents, by prefixes extended level by level.
 
-    ``terms`` are sorted and distinct.
+    Row k of ``docs`` lists documents of the term ``owner[k]``.
     """
-    kept, open_ = [], [(0, len(terms), 0)]
-    while open_:
-        lo, hi, width = open_.pop()
-        found = set()
-        for k in range(lo, hi):
-            found |= docs[k]
-            if len(found) >= least:
-                break
-        if len(found) < least:
-            continue
-        if hi - lo == 1:
-            kept.append(lo)
-            continue
-        while terms[lo][: width + 1] == terms[hi - 1][: width + 1] and len(terms[lo]) > width:
-            width += 1
-        if len(terms[lo]) == width:  # the prefix is itself a term
-            open_ += [(lo, lo + 1, width), (lo + 1, hi, width)]
-            continue
-        start = lo
-        for k in range(lo + 1, hi + 1):
-            if k == hi or terms[k][width] != terms[start][width]:
-                open_.append((start, k, width + 1))
-                start = k
-    return sorted(kept)
+    alive = np.arange(len(terms))
+    for width in _widths():
+        prefixes = pc.binary_slice(terms.take(pa.array(alive)), 0, width)
+        own = np.cumsum(_changes(prefixes)) - 1 if len(alive) else alive
+        place = np.full(len(terms), -1)
+        place[alive] = own
+        rows = place[owner] >= 0
+        seen = _documents(place[owner[rows]], docs.filter(pa.array(rows)), own[-1] + 1 if len(own) else 0)
+        complete = len(own) == 0 or own[-1] + 1 == len(alive)  # every prefix is left with one term
+        longest = complete or pc.max(pc.binary_length(terms)).as_py() <= width
+        alive = alive[seen[own] >= least] if len(own) else alive
+        if longest:
+            out = np.zeros(len(terms), bool)
+            out[alive] = True
+            return out
+
+
+def _kept_of(table: pa.Table, least: int) -> pa.RecordBatch:
+    """The kept terms of one unit, whose rows are sorted by term."""
+    table = table.combine_chunks()
+    lang, term, sources, counts, docs = (table.column(c).combine_chunks() for c in ("lang", "term", "sources", "counts", "docs"))
+    new = _changes(term)
+    owner = np.cumsum(new) - 1
+    terms = term.filter(pa.array(new))
+    kept = refined(terms, owner, docs, least)
+    owner = np.repeat(owner, sources.value_lengths().to_numpy())
+    rows = kept[owner]
+    coded = sources.flatten().dictionary_encode()
+    names, n = coded.dictionary, counts.flatten().to_numpy()[rows]
+    pairs, place = np.unique(owner[rows] * len(names) + coded.indices.to_numpy()[rows], return_inverse=True)
+    added, totals = np.zeros(len(pairs), np.int64), np.zeros(len(terms), np.int64)
+    np.add.at(added, place, n)
+    np.add.at(totals, owner[rows], n)
+    of = pairs // max(1, len(names))
+    first = np.append(True, of[1:] != of[:-1])[: len(of)]
+    columns = [lang.take(pa.array(np.zeros(len(pairs), np.int64))), names.take(pa.array(pairs % max(1, len(names)))), terms.take(pa.array(of))]
+    columns += [pa.array(added), pa.array(totals[of]), pa.array(first)]
+    return pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "total", "first"])
+
+
+def _shrunk(table: pa.Table, least: int) -> pa.Table:
+    """The rows of one term as one row: counts added up by source, with at most ``least`` documents."""
+    added: Counter = Counter()
+    docs: set[int] = set()
+    for sources, counts, seen in zip(*(table.column(c).to_pylist() for c in ("sources", "counts", "docs"))):
+        for source, n in zip(sources, counts):
+            added[source] += n
+        if len(docs) < least:
+            docs.update(seen)
+    first = table.slice(0, 1)
+    rows = [first.column(c).combine_chunks() for c in ("lang", "unit", "term")]
+    rows += [pa.array([list(added)], pa.list_(pa.string())), pa.array([list(added.values())], pa.list_(pa.int64())), pa.array([sorted(docs)[:least]], pa.list_(pa.int64()))]
+    return pa.Table.from_arrays(rows, table.column_names)
 
 
 def kept_terms(terms: DataFrame, least: int = LEAST_DOCS, unit: int = UNIT) -> DataFrame:
@@ -193,47 +240,39 @@ def kept_terms(terms: DataFrame, least: int = LEAST_DOCS, unit: int = UNIT) -> D
     ``total`` is the term's count in its language, and ``first`` is true on one row for each (lang, term).
     """
     unit = max(unit, terms.count() // LARGE_PREFIXES)
-    open_, dead = _large_prefixes(terms, least, unit)
-    dealt = "lang string, unit binary, source string, term binary, n bigint, docs array<bigint>"
-
-    def deal(batches):
-        def rows():
-            for batch in batches:
-                for lang, source, term, n, docs in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "term", "n", "docs"))):
-                    width = next(w for w in _widths() if w >= len(term) or (lang, term[:w]) not in open_)
-                    if (lang, term[:width]) not in dead:
-                        yield lang, term[:width], source, term, n, docs
-
-        yield from _batches(rows(), dealt)
+    levels, dead = _large_prefixes(terms, least, unit)
+    deepest = next(w for w in _widths() if not levels or w > levels[-1][0])
+    place = F.lit(deepest)
+    for width, open_ in reversed(levels):
+        place = F.when(_among(_key(width), open_), place).otherwise(F.lit(width))
+    prefix = F.substring("term", F.lit(1), place)
+    key = F.concat(F.encode("lang", "UTF-8"), F.lit(b"\0"), prefix)
+    names = ["lang", "unit", "term", "sources", "counts", "docs"]
 
     def refine(batches):
-        def solved(lang, words, docs, counts):
-            for k in refined(words, docs, least):
-                total = sum(counts[k].values())
-                for place, (source, n) in enumerate(sorted(counts[k].items())):
-                    yield lang, source, words[k], n, total, place == 0
-
-        def rows():
-            key, words, docs, counts = None, [], [], []
-            for batch in batches:
-                for lang, part, source, term, n, seen in zip(*(batch.column(c).to_pylist() for c in ("lang", "unit", "source", "term", "n", "docs"))):
-                    if (lang, part) != key:
-                        if words:
-                            yield from solved(key[0], words, docs, counts)
-                        key, words, docs, counts = (lang, part), [], [], []
-                    if not words or words[-1] != term:
-                        words.append(term)
-                        docs.append(set())
-                        counts.append(Counter())
-                    counts[-1][source] += n
-                    if len(docs[-1]) < least:
-                        docs[-1].update(seen)
-            if words:
-                yield from solved(key[0], words, docs, counts)
-
-        yield from _batches(rows(), KEPT)
-
-    moved = terms.mapInArrow(deal, dealt).repartition("lang", "unit").sortWithinPartitions("lang", "unit", "term")
+        held, rows = [], 0
+        for batch in batches:
+            # Units whose end has come are solved; of the last one it is not known yet.
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < ROWS_AT_ONCE:
+                continue
+            table = pa.Table.from_batches(held).select(names).combine_chunks()
+            starts = np.flatnonzero(_changes(table.column("lang").combine_chunks(), table.column("unit").combine_chunks()))
+            for lo, hi in zip(starts[:-1], starts[1:]):
+                yield _kept_of(table.slice(lo, hi - lo), least)
+            table = table.slice(starts[-1])
+            if table.num_rows > 2 * unit and table.column("term")[0] == table.column("term")[-1]:
+                table = _shrunk(table, least)
+            held, rows = table.to_batches(), 0
+        if held:
+            table = pa.Table.from_batches(held).select(names).combine_chunks()
+            starts = np.append(np.flatnonzero(_changes(table.column("lang").combine_chunks(), table.column("unit").combine_chunks())), table.num_rows)
+            for lo, hi in zip(starts[:-1], starts[1:]):
+                yield _kept_of(table.slice(lo, hi - lo), least)
+
+    moved = terms.filter(~_among(key, dead)).withColumn("unit", prefix)
+    moved = moved.select(*names).repartition("lang", "unit").sortWithinPartitions("lang", "unit", "term")
     return moved.mapInArrow(refine, KEPT)
 
 
@@ -263,13 +302,16 @@ def _common_sums(kept: DataFrame) -> DataFrame:
         number: dict[tuple, int] = {}
         sums: Counter = Counter()
 
-        def add(group, p, none, owner) -> None:
-            """Ordered pairs of the rows with the same owner; rows of one owner stand together."""
+        def add(table: pa.Table) -> None:
+            """Ordered pairs of the rows of a term; the rows of one term stand together."""
+            owner = np.cumsum(_changes(*(table.column(c).combine_chunks() for c in ("lang", "term"))))
+            p, none = table.column("p").to_numpy(), table.column("none").to_numpy()
+            group, names = _groups(table)
             starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
             sizes = np.diff(np.append(starts, len(owner)))
             others, first = np.repeat(sizes, sizes), np.repeat(starts, sizes)
-            at = 0
             upto = np.cumsum(others)
+            at = 0
             while at < len(owner):
                 base = upto[at - 1] if at else 0
                 end = max(at + 1, int(np.searchsorted(upto, base + PAIRS_AT_ONCE, side="right")))
@@ -277,53 +319,58 @@ def _common_sums(kept: DataFrame) -> DataFrame:
                 j = np.arange(len(i)) - np.repeat(upto[at:end] - others[at:end] - base, others[at:end]) + first[i]
                 i, j = i[i != j], j[i != j]
                 value = _gaps(p[i], p[j]) - _gaps(p[i], none[j]) - _gaps(none[i], p[j]) + _gaps(none[i], none[j])
-                pair, place = np.unique(group[i] * len(number) + group[j], return_inverse=True)
-                total = np.zeros(len(pair), np.int64)
-                np.add.at(total, place, value)
+                pair = group[i] * len(names) + group[j]
+                if len(names) <= 512:
+                    total = np.zeros(len(names) ** 2, np.int64)
+                    np.add.at(total, pair, value)
+                    pair = np.flatnonzero(np.bincount(pair, minlength=len(total)))
+                    total = total[pair]
+                else:
+                    pair, place = np.unique(pair, return_inverse=True)
+                    total = np.zeros(len(pair), np.int64)
+                    np.add.at(total, place, value)
                 for both, found in zip(pair.tolist(), total.tolist()):
-                    sums[divmod(both, len(number))] += found
+                    g, o = divmod(both, len(names))
+                    sums[number.setdefault(names[g], len(number)), number.setdefault(names[o], len(number))] += found
                 at = end
 
-        def out():
+        def written():
             names = list(number)
-            for (g, o), value in sums.items():
-                yield *names[g], names[o][1], value
+            rows = [(*names[g], names[o][1], value) for (g, o), value in sums.items()]
+            columns = [pa.array([r[c] for r in rows], kind) for c, kind in enumerate([pa.string()] * 3 + [pa.int64()])]
+            return pa.RecordBatch.from_arrays(columns, ["lang", "source", "item", "value"])
 
         held, rows = [], 0
         for batch in batches:
             held.append(batch)
             rows += batch.num_rows
-            if rows < 50_000:
+            if rows < ROWS_AT_ONCE:
                 continue
             table = pa.Table.from_batches(held).combine_chunks()
-            last = _owners(table)
-            cut = int(np.searchsorted(last, last[-1]))  # the last term may go on
-            if cut:
-                add(*_columns(table.slice(0, cut), number), last[:cut])
+            cut = int(np.flatnonzero(_changes(*(table.column(c).combine_chunks() for c in ("lang", "term"))))[-1])
+            if cut:  # the last term may go on
+                add(table.slice(0, cut).combine_chunks())
                 table = table.slice(cut)
             held, rows = table.to_batches(), table.num_rows
             if len(sums) > SUMS_AT_ONCE:
-                yield from _batches(out(), shape)
-                number, sums = {}, Counter()
-        if held and rows:
-            table = pa.Table.from_batches(held).combine_chunks()
-            add(*_columns(table, number), _owners(table))
-        yield from _batches(out(), shape)
+                yield written()
+                number.clear()
+                sums.clear()
+        if rows:
+            add(pa.Table.from_batches(held).combine_chunks())
+        yield written()
 
     rows = kept.select("lang", "source", "term", "p", "none").repartition("lang", "term").sortWithinPartitions("lang", "term")
     return rows.mapInArrow(run, shape).groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
 
 
-def _owners(table: pa.Table) -> np.ndarray:
-    """Numbers that rise where (lang, term) changes."""
-    lang, term = (table.column(c).combine_chunks() for c in ("lang", "term"))
-    new = [a != b or c != d for a, b, c, d in zip(*(x for column in (term.to_pylist(), lang.to_pylist()) for x in (column[1:], column[:-1])))]
-    return np.concatenate([[0], np.cumsum(new, dtype=np.int64)])
-
-
-def _columns(table: pa.Table, number: dict[tuple, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    groups = zip(table.column("lang").to_pylist(), table.column("source").to_pylist())
-    return np.array([number.setdefault(g, len(number)) for g in groups], np.int64), table.column("p").to_numpy(), table.column("none").to_numpy()
+def _groups(table: pa.Table) -> tuple[np.ndarray, list[tuple]]:
+    """A number for each row's (lang, source), and what the numbers stand for."""
+    lang, source = (table.column(c).combine_chunks().dictionary_encode() for c in ("lang", "source"))
+    both = lang.indices.to_numpy().astype(np.int64) * len(source.dictionary) + source.indices.to_numpy()
+    found, group = np.unique(both, return_inverse=True)
+    names = [(lang.dictionary[k // len(source.dictionary)].as_py(), source.dictionary[k % len(source.dictionary)].as_py()) for k in found.tolist()]
+    return group, names
 
 
 def divergence(docs: DataFrame, least: int = LEAST_DOCS, ranks: int = TERM_RANKS, unit: int = UNIT) -> DataFrame:

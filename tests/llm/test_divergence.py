@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from redpencil.llm import divergence
@@ -57,6 +59,7 @@ def corpus(seed, docs=120):
 def test_against_brute_force(spark, unit, least, at_once, monkeypatch):
     monkeypatch.setattr(divergence, "TERMS_AT_ONCE", at_once)
     monkeypatch.setattr(divergence, "PAIRS_AT_ONCE", at_once)
+    monkeypatch.setattr(divergence, "ROWS_AT_ONCE", at_once)
     rows = corpus(unit)
     found = divergence.divergence(made(spark, rows), least=least, ranks=7, unit=unit)
     assert rows_of(found) == brute(rows, least, 7)
@@ -74,12 +77,19 @@ def test_language_without_kept_terms(spark):
     assert got == brute(rows) and len(got) == 6 and {r[4] for r in got} == {0}
 
 
+def test_one_term_in_more_rows_than_a_unit(spark, monkeypatch):
+    monkeypatch.setattr(divergence, "TERMS_AT_ONCE", 1)
+    monkeypatch.setattr(divergence, "ROWS_AT_ONCE", 10)
+    rows = [(k, "a b" if k % 7 == 0 else "a", "en", f"s{k % 3}") for k in range(90)]
+    assert rows_of(divergence.divergence(made(spark, rows), unit=1)) == brute(rows)
+
+
 def test_prefixes_are_discarded_with_all_below(spark):
     """One document of very many terms with a prefix of its own: dropped at that prefix, before any term is dealt out."""
     rows = [(k, "shared words", "en", "s") for k in range(5)] + [(9, " ".join(f"zz{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(300)), "en", "s")]
     terms = divergence.counted_terms(made(spark, rows, 1)).persist()
-    open_, dead = divergence._large_prefixes(terms, 3, 50)
-    assert dead == {("en", b"z")} and open_ == set()
+    levels, dead = divergence._large_prefixes(terms, 3, 50)
+    assert dead == {b"en\0zz"} and levels == []
     assert {bytes(r["term"]) for r in divergence.kept_terms(terms, 3, 50).collect()} == {b"shared", b"words"}
     terms.unpersist()
 
@@ -88,5 +98,9 @@ def test_prefixes_are_discarded_with_all_below(spark):
 def test_refinement(seed):
     rng = random.Random(seed)
     terms = sorted({bytes(rng.choices(b"ab", k=rng.randrange(1, 7))) for _ in range(60)})
-    docs = [set(rng.choices(range(20), k=rng.randrange(1, 5))) for _ in terms]
-    assert refined(terms, docs, 3) == [k for k, d in enumerate(docs) if len(d) >= 3]
+    docs = [list(set(rng.choices(range(20), k=rng.randrange(1, 5)))) for _ in terms]
+    again = [list(set(rng.choices(range(20), k=rng.randrange(1, 3)))) for _ in terms]
+    owner = np.repeat(np.arange(len(terms)), 2)
+    lists = pa.array([d for pair in zip(docs, again) for d in pair], pa.list_(pa.int64()))
+    want = [len({*a, *b}) >= 3 for a, b in zip(docs, again)]
+    assert refined(pa.array(terms, pa.binary()), owner, lists, 3).tolist() == want
