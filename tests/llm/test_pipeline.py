@@ -1,114 +1,41 @@
-"""Near copies by similarity, and the pipeline stage by stage against brute force."""
+"""The pipeline stage by stage, and its near-copy stage against brute force over all pairs of fingerprints."""
 
 import random
 
-import pytest
+import xxhash
 
 import corpus_pipeline
-from redpencil.llm import similar_texts
 
-VOCABULARY = [f"w{k}" for k in range(3000)]
 
+def fingerprint(text):
+    words = (text or "").encode().lower().split()
+    shingles = [b" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))] if words else []
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes))
 
-def shingles(text, words=5):
-    found = (text or "").lower().split()
-    return {tuple(found[k : k + words]) for k in range(max(1, len(found) - words + 1))} if found else set()
 
-
-def jaccard(a, b):
-    return len(a & b) / len(a | b) if a | b else 1.0
-
-
-@pytest.fixture(scope="module")
-def copies():
-    """(doc_id, text): families of edited copies of different closeness, and passages that many texts share."""
+def test_near_copies_are_those_of_the_fingerprints(spark, tmp_path):
     rng, rows = random.Random(21), []
-    passage = [rng.choice(VOCABULARY) for _ in range(60)]
-    for family in range(40):
-        base = [rng.choice(VOCABULARY) for _ in range(rng.randrange(40, 700))]
-        if family % 4 == 0:
-            base = base[: rng.randrange(20, 200)] + passage + base[200:]
-        for _ in range(rng.randrange(1, 8)):
+    vocabulary = [f"w{k}" for k in range(300)]
+    for family in range(60):
+        base = [rng.choice(vocabulary) for _ in range(rng.randrange(1, 500))]
+        for _ in range(rng.randrange(1, 7)):
             text = list(base)
-            for _ in range(int(len(text) * rng.choice([0.0, 0.005, 0.01, 0.02, 0.06]))):
-                text[rng.randrange(len(text))] = rng.choice(VOCABULARY)
-            rows.append((len(rows), " ".join(text)))
-    return rows
-
-
-@pytest.mark.parametrize("block", [2048, 3])
-def test_similar_texts_are_those_of_brute_force(spark, copies, monkeypatch, block):
-    monkeypatch.setattr(similar_texts, "BLOCK", block)
-    docs = spark.createDataFrame(copies, "doc_id bigint, text string")
-    got = {r.doc_id: r.component_id for r in similar_texts.similar_texts(docs).collect()}
-    sets = [shingles(t) for _, t in copies]
-    near = {(a, b): jaccard(sets[a], sets[b]) for a in range(len(sets)) for b in range(a)}
-    sure = [p for p, s in near.items() if s >= 0.83]
-    assert len(sure) > 50
-    found = sum(got.get(a, -1) == got.get(b, -2) for a, b in sure)
-    assert found == len(sure) if block == 2048 else found > 0.9 * len(sure)
-    for a in got:  # nothing is grouped without a partner that is close
-        assert max(s for p, s in near.items() if a in p) > 0.75
-
-
-def test_sketch_similarity():
-    import numpy as np
-
-    rng = np.random.default_rng(2)
-    pool = np.unique(rng.integers(0, 1 << 32, 4000).astype(np.uint32))
-    for size, cut in ((100, 20), (2000, 300)):
-        a, b = np.sort(rng.permutation(pool[: size + cut])[:size]), np.sort(rng.permutation(pool[: size + cut])[:size])
-        true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
-        got = similar_texts.similarity(a[: similar_texts.SKETCH], b[: similar_texts.SKETCH], size, size)
-        assert abs(got - true) < (1e-9 if size <= similar_texts.SKETCH else 0.07)
-
-
-def test_near_copies_with_a_line_that_repeats(spark):
-    rng, rows = random.Random(5), []
-    for k in range(20):
-        base = [rng.choice(VOCABULARY) for _ in range(200)]
-        line = [f"line{k}x{j}" for j in range(5)]
-        rows += [(2 * k, " ".join(base + line)), (2 * k + 1, " ".join(base + line * 100))]
-    got = {r.doc_id: r.component_id for r in similar_texts.similar_texts(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    assert got == {k: k - k % 2 for k in range(40)}
-
-
-def brute_force(rows, least=0.8):
-    """doc_id -> smallest doc_id of its group, for groups of two or more."""
-    sets, label = [shingles(t) for _, t in rows], list(range(len(rows)))
+            for _ in range(rng.choice([0, 0, 1, 2, 40])):
+                text[rng.randrange(len(text))] = rng.choice(vocabulary)
+            rows.append((len(rows), " ".join(text), "en", "s", 1))
+    rows += [(1000, "", "en", "s", 0), (1001, None, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    bits = [fingerprint(r[1]) for r in rows]
+    label = [r[0] for r in rows]
     for a in range(len(rows)):
         for b in range(a):
-            if label[a] != label[b] and 5 * min(len(sets[a]), len(sets[b])) >= 4 * max(len(sets[a]), len(sets[b])) and jaccard(sets[a], sets[b]) >= least:
+            if (bits[a] ^ bits[b]).bit_count() <= 3 and label[a] != label[b]:
                 old, new = max(label[a], label[b]), min(label[a], label[b])
                 label = [new if x == old else x for x in label]
-    return {k: x for k, x in enumerate(label) if label.count(x) > 1}
-
-
-def test_long_texts_are_decided_by_all_their_shingles(spark):
-    rng, rows = random.Random(9), []
-    for k in range(40):
-        base = [rng.choice(VOCABULARY) for _ in range(1500)]
-        # The last words replaced: similarities from 0.78 to 0.82.
-        cut = int(1500 * (1 - (2 * (s := 0.78 + 0.001 * k) / (1 + s))))
-        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base[:-cut] + [rng.choice(VOCABULARY) for _ in range(cut)]))]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = {r.doc_id: r.component_id for r in similar_texts.similar_texts(docs).collect()}
-    assert got == brute_force(rows) and 0 < len(got) < len(rows)
-
-
-def test_hot_groups_give_what_brute_force_gives(spark, monkeypatch):
-    monkeypatch.setattr(similar_texts, "BLOCK", 20)
-    rng, rows = random.Random(13), []
-    for _ in range(2):
-        passage = [rng.choice(VOCABULARY) for _ in range(150)]
-        for k in range(60):
-            rows.append((len(rows), " ".join(passage + [rng.choice(VOCABULARY) for _ in range(14 + k // 2)])))
-            if k % 3 == 0:  # a near copy of a text that is not like the others
-                own = rows[-1][1].split() + [rng.choice(VOCABULARY) for _ in range(60)]
-                rows += [(len(rows), " ".join(own)), (len(rows) + 1, " ".join(own[:-25] + [rng.choice(VOCABULARY) for _ in range(25)]))]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = {r.doc_id: r.component_id for r in similar_texts.similar_texts(docs).collect()}
-    assert got == brute_force(rows) and len(set(got.values())) > 5 and len(got) < len(rows)
+    stages = dict(corpus_pipeline.STAGES)
+    kept = {r.doc_id for r in stages["near dedup"](spark, docs, str(tmp_path)).collect()}
+    assert kept == set(label) and 50 < len(kept) < len(rows)
 
 
 def test_stages_on_odd_rows(spark, odd_docs, no_docs, tmp_path):
