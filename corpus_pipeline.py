@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import DataFrame, SparkSession
 
-from redpencil.llm import decontamination, exact_dedup, packing, similar_texts, toxicity
+from redpencil.llm import decontamination, exact_dedup, packing, simhash, toxicity
 from redpencil.llm.storage import store
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -31,8 +31,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, a similarity of 0.8 or more."""
-    return similar_texts.keep_one_each(docs)
+    """One document of each group of near copies: fingerprints of three-word shingles that differ in three bits or fewer."""
+    return simhash.keep_one_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
