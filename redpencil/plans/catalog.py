@@ -68,6 +68,15 @@ def _csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return files.load_persisted_dataset(spark, path, check="inline")
 
 
+def _csv_line_breaks(spark: SparkSession, folder: str) -> DataFrame:
+    """A dataset whose topics and sections go over lines and hold quotes and separators, written and read back."""
+    data = deductions(spark, folder)
+    topic = F.replace(F.concat(F.lit('"'), "topic", F.lit('",')), F.lit(" "), F.lit("\n"))
+    odd = data.withColumns({"topic": topic, "section_id": F.concat(F.lit("a,"), "section_id", F.lit('\r\n""b'))})
+    path = files.persist_dataset(odd, scratch_path(spark, "breaks.csv"))
+    return files.load_persisted_dataset(spark, path, check="inline")
+
+
 def _normalize_csv(spark: SparkSession, folder: str) -> DataFrame:
     path = files.write_csv(event_records(spark, folder), scratch_path(spark, "events.csv"))
     return files.load_and_normalize(spark, path).data
@@ -181,6 +190,7 @@ def queries() -> dict[str, Query]:
     return {
         # Sources and sinks
         "csv_round_trip": _csv_round_trip,
+        "csv_line_breaks": _csv_line_breaks,
         "normalize_csv": _normalize_csv,
         "concept_map_load": _concept_map_load,
         "concept_map_save": _concept_map_files,

@@ -282,6 +282,9 @@ def oracle_sql() -> dict[str, str]:
                (SELECT sum(t) FROM per) AS total_points_lost"""
     return {
         "csv_round_trip": f"WITH {V1} SELECT * FROM v1",
+        "csv_line_breaks": f"""WITH {V1}
+            SELECT * REPLACE (replace('"' || topic || '",', ' ', chr(10)) AS topic,
+                              'a,' || section_id || chr(13) || chr(10) || '""b' AS section_id) FROM v1""",
         "normalize_csv": event_rows,
         "concept_map_load": f"WITH {CMAP} SELECT * FROM cmap",
         "concept_map_save": f"WITH {CMAP} SELECT * FROM cmap",

@@ -13,6 +13,7 @@ from redpencil.operators.concepts import clean_concept_map, invalid_entries, val
 from redpencil.operators.normalize import ColumnMapping, Normalized, canonicalize, normalize
 from redpencil.operators.shared import materialize
 from redpencil.schemas import empty
+from redpencil.sources.records import has_broken_lines, read_records
 
 # Texts that a persisted dataset reads as missing.
 MISSING_TOKENS = [
@@ -25,13 +26,17 @@ MAP_DDL = "rubric_item string, concept string"
 FORMATS = ("lines", "object")
 
 
-def read_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, multiline: bool | None = None) -> DataFrame:
     """All columns as text, empty fields as empty text; ``None`` and ``NA`` stay what they are.
 
-    ``multiline`` is needed for quoted line breaks only; such files cannot be split between tasks.
+    Records may go over line breaks inside quotes, and one file is read by many tasks even so. ``multiline`` says
+    whether there are any; where it is left open, the lines are looked through until one is found.
     """
-    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multiline)
-    return reader.csv(path).na.fill("")
+    if multiline is None:
+        multiline = has_broken_lines(spark, path)
+    if multiline:
+        return read_records(spark, path).na.fill("")
+    return spark.read.option("header", True).option("escape", '"').csv(path).na.fill("")
 
 
 def write_csv(df: DataFrame, path: str) -> str:
@@ -46,11 +51,12 @@ def load_and_normalize(
     mapping: ColumnMapping | None = None,
     infer_mapping: bool = True,
     check: str = "inline",
+    multiline: bool | None = None,
 ) -> Normalized:
-    return normalize(read_csv(spark, path), mapping, infer_mapping, check)
+    return normalize(read_csv(spark, path, multiline), mapping, infer_mapping, check)
 
 
-def read_scores(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+def read_scores(spark: SparkSession, path: str, multiline: bool | None = None) -> DataFrame:
     """A score file: as ``read_csv``, with the usual texts for missing entries read as null."""
     return _missing_to_null(read_csv(spark, path, multiline))
 
@@ -60,8 +66,8 @@ def persist_dataset(df: DataFrame, path: str) -> str:
     return write_csv(canonicalize(df, check="inline"), path)
 
 
-def load_persisted_dataset(spark: SparkSession, path: str, check: str = "inline") -> DataFrame:
-    return canonicalize(_missing_to_null(read_csv(spark, path)), check)
+def load_persisted_dataset(spark: SparkSession, path: str, check: str = "inline", multiline: bool | None = None) -> DataFrame:
+    return canonicalize(_missing_to_null(read_csv(spark, path, multiline)), check)
 
 
 def write_packet(artifacts: Mapping[str, DataFrame], folder: str) -> DataFrame:
