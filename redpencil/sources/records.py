@@ -108,7 +108,7 @@ def _blocks(lines: DataFrame) -> DataFrame:
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (file, first, record): every record as one text, without the first one of each file when it is ``first``.
+    """Rows (file, first, record): every record as one text; ``first`` marks the first one of each file, its header.
 
     A file that ends inside quotes is rejected.
     """
