@@ -4,21 +4,35 @@ Co-occurrence is counted, not listed. Every student becomes one or more *units*,
 right array of item numbers of about ``UNIT_ITEMS`` entries at most; a student with more items is split
 over the tiles of an item grid, so no task ever holds a large group. The pairs of a unit go straight into a
 partial aggregate, and only the (a, b, n) counts are shuffled.
+
+Where only the pairs over a threshold are wanted (edges, clusters, top pairs), most pairs are never made. The
+students of an item are put into one order for all items, those with the fewest items first. A pair that reaches
+a threshold has a common student within a *prefix* of both orders, whose length follows from the threshold; the
+students with very many items are seldom in a prefix. What lies beyond the prefixes is counted only for the pairs that can
+still reach their threshold.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from redpencil.functions.text import clean
-from redpencil.operators.shared import materialize, ordinals
+from redpencil.operators.shared import materialize, ordinals, running_totals
 from redpencil.schemas import empty
 
 # Size bound: items per unit side.
 UNIT_ITEMS = 512
+# Size bound: students of an item that meet a candidate pair in one join key.
+CHUNK_STUDENTS = 4096
+# Falling bounds of the similarity of top pairs; below the last one all pairs are counted.
+TOP_BANDS = (0.5, 0.2, 0.1)
+# Bounds are lowered by this share, so that rounding cannot cost a pair. The measures themselves decide.
+SLACK = 1e-9
 
 CLUSTER_DDL = "label string, rubric_item string, size bigint, support_students bigint"
 
@@ -45,6 +59,19 @@ class Incidence:
     items: DataFrame
     rows: DataFrame
 
+    @cached_property
+    def placed(self) -> DataFrame:
+        """Rows (item_no, size, unit, spread, place): the place of a student among the item's, rare students first.
+
+        ``spread`` is the student's number of items. A null student is one student.
+        """
+        unit = F.coalesce(F.concat(F.lit("s"), F.col("unit")), F.lit(""))
+        rows = self.rows.select(unit.alias("unit"), "item_no")
+        spread = rows.groupBy("unit").agg(F.count("*").alias("spread"))
+        sizes = self.items.select("item_no", F.col("students").alias("size"))
+        every = rows.join(spread, "unit").join(sizes, "item_no")
+        return materialize(running_totals(every, ["spread", "unit"], F.lit(1).cast("bigint"), ["item_no"], "place"))
+
     def with_catalogue(self, first: int | None = None) -> DataFrame:
         """The rows plus one weightless unit that has every item, or the first few: it adds pairs, not counts."""
         items = self.items if first is None else self.items.filter(F.col("item_no") <= first)
@@ -83,11 +110,10 @@ def overlapping_pairs(df: DataFrame, min_support: int = 2) -> DataFrame:
 def top_pairs(df: DataFrame, n: int = 20, min_support: int = 2) -> DataFrame:
     """The most similar pairs, ranked on the exact values and rounded for display.
 
-    Pairs without overlap only matter when fewer than ``n`` pairs overlap, and then the ones wanted are all
-    among the first ``2 n`` items; so no other such pair is made.
+    Bands of falling similarity are read until one holds ``n`` pairs, ties included; see ``_best_pairs``.
     """
     data = supported_incidence(df, min_support)
-    ranked = _measures(_pair_counts(data.with_catalogue(first=2 * n)), data.items)
+    ranked = _best_pairs(data, n)
     # Item numbers sort as the item names do.
     top = _named(ranked.orderBy(F.desc("jaccard"), "a", "b").limit(n), data.items)
     ordered = top.orderBy(F.desc("jaccard"), "rubric_item_a", "rubric_item_b")
@@ -195,10 +221,141 @@ def _supported(distinct: DataFrame, min_support: int) -> DataFrame:
 
 
 def _edges(data: Incidence, jaccard_threshold: float, corr_threshold: float) -> DataFrame:
-    # Pairs without overlap score 0, so they only count under a threshold of 0 or less.
-    rows = data.rows if min(jaccard_threshold, corr_threshold) > 0 else data.with_catalogue()
     near = (F.col("jaccard") >= jaccard_threshold) | (F.col("corr") >= corr_threshold)
-    return _measures(_pair_counts(rows), data.items).filter(near)
+    if min(jaccard_threshold, corr_threshold) > 0:
+        counts = _complete(data.placed, _candidates(data.placed, _Bounds(jaccard_threshold, corr_threshold)))
+    else:  # pairs without overlap score 0, so they count as well
+        counts = _pair_counts(data.with_catalogue())
+    return _measures(counts, data.items).filter(near)
+
+
+def _best_pairs(data: Incidence, n: int) -> DataFrame:
+    """Measures of pairs among which the ``n`` with the greatest Jaccard similarity are, with all their ties.
+
+    The sizes of two items bound their similarity, and a prefix join reads only what can reach the bound of a band.
+    Pairs without overlap only matter when fewer than ``n`` pairs overlap, and then the ones wanted are all
+    among the first ``2 n`` items; so no other such pair is made.
+    """
+    for bound in TOP_BANDS:
+        best = materialize(_edges(data, bound, math.inf))
+        if best.limit(n).count() == n:
+            return best
+    return _measures(_pair_counts(data.with_catalogue(first=2 * n)), data.items)
+
+
+@dataclass(frozen=True)
+class _Bounds:
+    """What the thresholds ask of a pair at the least, for items of sizes small <= large."""
+
+    jaccard: float
+    corr: float
+
+    @property
+    def ratio(self) -> float:
+        """A pair has small >= ratio * large, and ratio * large students in common."""
+        return min(self.jaccard, self.corr**2) * (1 - SLACK)
+
+    @property
+    def share(self) -> float:
+        """A pair has share * small students in common."""
+        return min(2 * self.jaccard / (1 + self.jaccard), self.corr) * (1 - SLACK)
+
+    def index_length(self, size: Column) -> Column:
+        """Length of the prefix in which an item meets larger ones."""
+        return size - F.ceil(size * self.share) + 1
+
+    def probe_length(self, size: Column) -> Column:
+        """Length of the prefix in which an item meets smaller ones; at least the other length."""
+        return size - F.ceil(size * self.ratio) + 1
+
+    def common(self, small: Column, large: Column) -> Column:
+        by_jaccard = (small + large) * (self.jaccard / (1 + self.jaccard))
+        return F.least(by_jaccard, F.sqrt(small * large) * self.corr) * (1 - SLACK)
+
+    def size_class(self, size: Column) -> Column:
+        """Sizes of a pair are in one class, or in two neighbouring ones."""
+        return F.floor(F.log(size.cast("double")) / -math.log(min(self.ratio, 0.99)))
+
+
+def _candidates(placed: DataFrame, bounds: _Bounds) -> DataFrame:
+    """Rows (small, large, index_length, probe_length, small_size, large_size, met) of the pairs that can reach a threshold.
+
+    ``met`` counts the common students within both prefixes. The items of a student meet by size class, and those of a
+    student with many items in blocks.
+    """
+    size, place = F.col("size"), F.col("place")
+    blocks = unit_blocks(F.col("spread"))
+    small = placed.filter(place <= bounds.index_length(size)).select(
+        "unit",
+        block_of(F.col("item_no"), blocks).alias("block"),
+        F.explode(F.array(bounds.size_class(size), bounds.size_class(size) + 1)).alias("size_class"),
+        F.col("item_no").alias("small"),
+        size.alias("small_size"),
+        place.alias("small_place"),
+    )
+    large = placed.filter(place <= bounds.probe_length(size)).select(
+        "unit",
+        F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"),
+        bounds.size_class(size).alias("size_class"),
+        F.col("item_no").alias("large"),
+        size.alias("large_size"),
+        place.alias("large_place"),
+    )
+    sizes = F.col("small_size"), F.col("large_size")
+    ordered = (sizes[0] < sizes[1]) | ((sizes[0] == sizes[1]) & (F.col("small") < F.col("large")))
+    met = (
+        small.join(large, ["unit", "block", "size_class"])
+        .filter(ordered & (sizes[0] >= sizes[1] * bounds.ratio))
+        .groupBy("small", "large", "small_size", "large_size")
+        .agg(F.count("*").alias("met"), F.max("small_place").alias("_s"), F.max("large_place").alias("_l"))
+    )
+    most = F.col("met") + F.least(sizes[0] - F.col("_s"), sizes[1] - F.col("_l"))
+    return met.filter(most >= bounds.common(*sizes)).select(
+        "small",
+        "large",
+        bounds.index_length(sizes[0]).alias("index_length"),
+        bounds.probe_length(sizes[1]).alias("probe_length"),
+        "small_size",
+        "large_size",
+        "met",
+    )
+
+
+def _complete(placed: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Pair counts (a, b, n): what the candidates met, and their common students beyond a prefix.
+
+    Such a student is beyond the prefix of the smaller item, or within it and beyond that of the larger one.
+    """
+    candidates = materialize(candidates)
+    chunk = F.floor(F.col("place") / CHUNK_STUDENTS)
+
+    def asked(item: str, other: str, length: str, limit: Column) -> DataFrame:
+        """Rows (small, large, unit, other, limit): is the student among the first ``limit`` of the other item?"""
+        beyond = placed.select(F.col("item_no").alias(item), "unit", "place", chunk.alias("chunk"))
+        first, last = F.col(length) + 1, F.col(f"{item}_size")
+        chunks = F.sequence(F.floor(first / CHUNK_STUDENTS), F.floor(last / CHUNK_STUDENTS))
+        open_ = candidates.filter(first <= last).withColumn("chunk", F.explode(chunks))
+        return (
+            open_.join(beyond, [item, "chunk"])
+            .filter(F.col("place") > F.col(length))
+            .select("small", "large", "unit", F.col(other).alias("other"), limit.alias("limit"))
+        )
+
+    questions = asked("small", "large", "index_length", F.col("large_size")).unionByName(
+        asked("large", "small", "probe_length", F.col("index_length"))
+    )
+    answers = placed.select(F.col("item_no").alias("other"), "unit", "place")
+    rest = (
+        questions.join(answers, ["other", "unit"])
+        .filter(F.col("place") <= F.col("limit"))
+        .groupBy("small", "large")
+        .agg(F.count("*").alias("rest"))
+    )
+    return candidates.join(rest, ["small", "large"], "left").select(
+        F.least("small", "large").alias("a"),
+        F.greatest("small", "large").alias("b"),
+        (F.col("met") + F.coalesce("rest", F.lit(0))).alias("n"),
+    )
 
 
 def _pair_counts(rows: DataFrame) -> DataFrame:
