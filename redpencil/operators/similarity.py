@@ -30,7 +30,7 @@ UNIT_ITEMS = 512
 # Size bound: students of an item that meet a candidate pair in one join key.
 CHUNK_STUDENTS = 4096
 # Falling bounds of the similarity of top pairs; below the last one all pairs are counted.
-TOP_BANDS = (0.5, 0.2, 0.1)
+TOP_BANDS = (0.5, 0.2)
 # Bounds are lowered by this share, so that rounding cannot cost a pair. The measures themselves decide.
 SLACK = 1e-9
 
@@ -223,7 +223,8 @@ def _supported(distinct: DataFrame, min_support: int) -> DataFrame:
 def _edges(data: Incidence, jaccard_threshold: float, corr_threshold: float) -> DataFrame:
     near = (F.col("jaccard") >= jaccard_threshold) | (F.col("corr") >= corr_threshold)
     if min(jaccard_threshold, corr_threshold) > 0:
-        counts = _complete(data.placed, _candidates(data.placed, _Bounds(jaccard_threshold, corr_threshold)))
+        bounds = _Bounds(jaccard_threshold, corr_threshold)
+        counts = _complete(data.placed, materialize(_candidates(data.placed, bounds)))
     else:  # pairs without overlap score 0, so they count as well
         counts = _pair_counts(data.with_catalogue())
     return _measures(counts, data.items).filter(near)
@@ -237,7 +238,11 @@ def _best_pairs(data: Incidence, n: int) -> DataFrame:
     among the first ``2 n`` items; so no other such pair is made.
     """
     for bound in TOP_BANDS:
-        best = materialize(_edges(data, bound, math.inf))
+        candidates = materialize(_candidates(data.placed, _Bounds(bound, math.inf)))
+        if candidates.limit(n).count() < n:
+            continue
+        measures = _measures(_complete(data.placed, candidates), data.items)
+        best = materialize(measures.filter(F.col("jaccard") >= bound))
         if best.limit(n).count() == n:
             return best
     return _measures(_pair_counts(data.with_catalogue(first=2 * n)), data.items)
@@ -326,7 +331,6 @@ def _complete(placed: DataFrame, candidates: DataFrame) -> DataFrame:
 
     Such a student is beyond the prefix of the smaller item, or within it and beyond that of the larger one.
     """
-    candidates = materialize(candidates)
     chunk = F.floor(F.col("place") / CHUNK_STUDENTS)
 
     def asked(item: str, other: str, length: str, limit: Column) -> DataFrame:

@@ -7,6 +7,7 @@ the transitions; the definitions are stated in the README.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -58,11 +59,19 @@ def trajectory(df: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
     ).orderBy("rubric_item")
 
 
-def transitions(df: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
-    """Rows (source, target, count, conditional_prob) over consecutive exams, most frequent first.
+@dataclass(frozen=True)
+class _Steps:
+    """Numbered items (rubric_item, item_no) and the sides of each step from an exam to the next (…, item_no, source).
 
-    A unit is one student's step from an exam to the next; its item pairs are tallied, never listed.
+    ``support`` has for each item how often it is a source (occasions) and a target (appearances).
     """
+
+    items: DataFrame
+    sides: DataFrame
+    support: DataFrame
+
+
+def _steps(df: DataFrame, order: Sequence[str] | None) -> _Steps:
     steps = materialize(item_sittings(df, order))
     items = materialize(ordinals(steps.select("rubric_item").distinct(), "rubric_item", "item_no"))
     placed = steps.join(items, "rubric_item")
@@ -80,24 +89,64 @@ def transitions(df: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
         ).alias("side"),
     ).select("student_id", "item_no", "side.*")
     sides = materialize(sides)
+    support = sides.groupBy("item_no").agg(
+        F.count_if("source").alias("occasions"), F.count_if(~F.col("source")).alias("appearances")
+    )
+    return _Steps(items, sides, materialize(support))
+
+
+def _tallied(steps: _Steps, sides: DataFrame) -> DataFrame:
     counts = pair_tallies(_step_units(sides), ordered=True)
-    occasions = sides.filter("source").groupBy("item_no").agg(F.count("*").alias("_occasions"))
-    source = items.select(F.col("item_no").alias("a"), F.col("rubric_item").alias("source"))
-    target = items.select(F.col("item_no").alias("b"), F.col("rubric_item").alias("target"))
+    source = steps.items.select(F.col("item_no").alias("a"), F.col("rubric_item").alias("source"))
+    target = steps.items.select(F.col("item_no").alias("b"), F.col("rubric_item").alias("target"))
+    occasions = steps.support.select(F.col("item_no").alias("a"), "occasions")
     return (
         counts.join(source, "a")
         .join(target, "b")
-        .join(occasions.withColumnRenamed("item_no", "a"), "a")
-        .select("source", "target", F.col("n").alias("count"), (F.col("n") / F.col("_occasions")).alias("conditional_prob"))
+        .join(occasions, "a")
+        .select("source", "target", F.col("n").alias("count"), (F.col("n") / F.col("occasions")).alias("conditional_prob"))
         .orderBy(F.desc("count"), F.desc("conditional_prob"), "source", "target")
     )
 
 
+def transitions(df: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
+    """Rows (source, target, count, conditional_prob) over consecutive exams, most frequent first.
+
+    A unit is one student's step from an exam to the next; its item pairs are tallied, never listed.
+    """
+    steps = _steps(df, order)
+    return _tallied(steps, steps.sides)
+
+
 def top_transitions(df: DataFrame, order: Sequence[str] | None = None, n: int = 20) -> DataFrame:
-    top = transitions(df, order).limit(n)
+    """The first ``n`` transitions, the probability rounded to 3 places.
+
+    A count is at most the occasions of its source and the appearances of its target. The pairs of the few most
+    frequent items give a count that ``n`` pairs reach; items that cannot reach it are left out of the tally.
+    """
+    steps = _steps(df, order)
+    top = _tallied(steps, _sides_reaching(steps, _reached(steps, n))).limit(n)
     return top.withColumn("conditional_prob", F.bround("conditional_prob", 3))
 
 
+def _reached(steps: _Steps, n: int) -> int:
+    """A count that at least ``n`` transitions reach, from those of the 2 n most frequent sources and targets; else 0."""
+    often = [steps.support.orderBy(F.desc(c), "item_no").limit(2 * n).select("item_no") for c in ("occasions", "appearances")]
+    sides = [
+        steps.sides.filter(side).join(F.broadcast(items), "item_no", "left_semi").select(*steps.sides.columns)
+        for side, items in zip(("source", "not source"), often)
+    ]
+    counts = pair_tallies(_step_units(sides[0].unionByName(sides[1])), ordered=True)
+    best = [row["n"] for row in counts.orderBy(F.desc("n")).limit(n).select("n").collect()]  # at most n
+    return best[-1] if len(best) == n else 0
+
+
+def _sides_reaching(steps: _Steps, count: int) -> DataFrame:
+    """The sides of items that can be in a transition of this count."""
+    enough = F.when(F.col("source"), F.col("occasions")).otherwise(F.col("appearances")) >= count
+    return steps.sides.join(steps.support, "item_no").filter(enough).select(*steps.sides.columns)
+
+
 def _step_units(sides: DataFrame) -> DataFrame:
     """One unit per step; a step with many items on a side is split into tiles of item blocks.
 

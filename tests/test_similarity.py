@@ -137,4 +137,58 @@ def test_transitions_and_trajectory(spark, unit_items):
     got = {r[:2]: r[2:] for r in tuples(trajectory.transitions(df))}
     assert got == {k: (n, n / occasions[k[0]]) for k, n in count.items()}
     assert {r[0]: list(r[1:5]) for r in tuples(trajectory.trajectory(df))} == fate
-    assert trajectory.top_transitions(df, n=5).count() == 5
+    ranked = sorted(count, key=lambda k: (-count[k], -count[k] / occasions[k[0]], k))
+    for n in (1, 5):
+        assert [r[:2] for r in tuples(trajectory.top_transitions(df, n=n))] == ranked[:n]
+
+
+def test_top_transitions_tally_only_items_that_can_reach_the_count(spark):
+    rows = [(f"s{s}", e, i) for s in range(20) for e, i in (("E1", "often"), ("E2", "after"), ("E2", f"rare {s}"))]
+    df = spark.createDataFrame(rows, "student_id string, exam_id string, rubric_item string")
+    steps = trajectory._steps(df, None)
+    assert trajectory._reached(steps, 1) == 20 and trajectory._reached(steps, 1000) == 0
+    kept = trajectory._sides_reaching(steps, 20).join(steps.items, "item_no").select("rubric_item").distinct()
+    assert {r[0] for r in tuples(kept)} == {"often", "after"}
+    assert tuples(trajectory.top_transitions(df, n=1)) == [("often", "after", 20, 1.0)]
+
+
+def test_few_candidates_of_items_that_frequent_students_share(spark):
+    """Two students with all items make every pair overlap; the edges are those of the items in twos."""
+    rows = {(f"hot {h}", f"item {i:03d}") for h in range(2) for i in range(120)}
+    rows |= {(f"s{i // 2}.{k}", f"item {i:03d}") for i in range(120) for k in range(12)}
+    df = spark.createDataFrame(sorted(rows), "student_id string, rubric_item string")
+    data = similarity.supported_incidence(df)
+    candidates = similarity._candidates(data.placed, similarity._Bounds(0.5, 0.6))
+    pairs = brute_pairs(rows)[2]
+    near = {k for k, v in pairs.items() if v[0] >= 0.5 or v[1] >= 0.6}
+    assert len(pairs) == 120 * 119 // 2 and len(near) == 60
+    assert candidates.count() == 60
+    assert {r[:2] for r in tuples(similarity.similarity_edges(df, 0.5, 0.6))} == near
+
+
+@pytest.mark.parametrize(("jaccard", "corr"), [(0.5, 0.7), (1.0, 1.0), (0.05, 0.1), (3.0, 0.5)])
+def test_edges_over_chunks_of_students(spark, monkeypatch, jaccard, corr):
+    """Items of very different sizes, counted beyond their prefixes in many chunks; a null student is one student."""
+    monkeypatch.setattr(similarity, "CHUNK_STUDENTS", 5)
+    rng = random.Random(5)
+    rows = {(s, f"item {i:02d}") for i in range(25) for s in rng.sample(range(60), rng.choice([2, 3, 10, 40, 58]))}
+    rows |= {(s, "twin a") for s in range(30)} | {(s, "twin b") for s in range(30)}
+    named = sorted((None if s == 7 else f"s{s:02d}", i) for s, i in rows if s != 7) + [(None, i) for s, i in rows if s == 7]
+    df = spark.createDataFrame(named, "student_id string, rubric_item string")
+    pairs = brute_pairs(named)[2]
+    near = {k: v for k, v in pairs.items() if v[0] >= jaccard or v[1] >= corr}
+    got = {r[:2]: r[2:] for r in tuples(similarity.similarity_edges(df, jaccard, corr))}
+    assert got.keys() == near.keys() and all(got[k] == pytest.approx(near[k]) for k in near)
+
+
+def test_top_pairs_end_with_the_first_band_that_holds_them(spark, monkeypatch):
+    rows = [(f"s{i // 2}{c}", f"item {i:02d}") for i in range(20) for c in "abc"] + [("all", f"item {i:02d}") for i in range(20)]
+    df = spark.createDataFrame(rows, "student_id string, rubric_item string")
+    pairs = brute_pairs(rows)[2]
+    ranked = sorted(pairs, key=lambda k: (-pairs[k][0], k))
+    read = []
+    bounds = similarity._Bounds
+    monkeypatch.setattr(similarity, "_Bounds", lambda j, c: read.append(j) or bounds(j, c))
+    assert [r[:2] for r in tuples(similarity.top_pairs(df, 8))] == ranked[:8] and read == [0.5]
+    read.clear()
+    assert [r[:2] for r in tuples(similarity.top_pairs(df, 15))] == ranked[:15] and read == [0.5, 0.2]
