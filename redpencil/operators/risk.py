@@ -17,17 +17,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from redpencil.functions.exams import sort_keys
 from redpencil.functions.text import clean
 from redpencil.operators.shared import materialize
+from redpencil.operators.trajectory import sittings
 
 # Feature names, confidence thresholds and the messages for data that cannot be fitted.
 FEATURES = ["prior_seen", "prior_concept_points"]
 HIGH, MEDIUM = 0.7, 0.4
 NO_HISTORY = "No student sat two exams, so there is nothing to fit."
 ONE_CLASS = "Every item was repeated, or none was, so no model can be fitted."
-# Newton's method: most steps, and the size of a step that ends it.
-STEPS, SMALL = 50, 1e-10
+NOT_CONVERGED = "The fit did not converge, so its coefficients are not used."
+# Newton's method: most steps and most halvings of one, and the change of a typical row's margin that ends it.
+STEPS, HALVINGS, SMALL = 50, 40, 1e-10
+# Share of the loss by which sums over the same rows may differ.
+ROUNDING = 1e-9
 
 
 @dataclass(frozen=True)
@@ -77,11 +80,10 @@ def risk_base(df: DataFrame, order: Sequence[str] | None = None) -> RiskBase:
         .groupBy("student_id", "exam_id", "rubric_item", "concept")
         .agg(F.sum("points_lost").alias("points"), F.count("*").alias("n"))
     )
-    # Numbering a student's exams needs all rows of the student together, which the sum per student keeps.
-    own = W.partitionBy("student_id")
-    seq = F.dense_rank().over(own.orderBy(*sort_keys(order))) - 1
-    placed = facts.withColumn("seq", seq).withColumn("last", F.max("seq").over(own))
-    history = materialize(placed)
+    # A student's exams are numbered as (student, exam) pairs and joined back, so that no task gets all rows of a student.
+    # Both sides are stored, as only joins of plain shuffles are split where a student holds many rows.
+    facts = materialize(facts)
+    history = materialize(facts.join(materialize(sittings(facts, order)), ["student_id", "exam_id"]))
     catalogue = materialize(_modes(history.groupBy("rubric_item", "concept").agg(F.sum("n").alias("n"))))
     return RiskBase(history, catalogue, catalogue.count())
 
@@ -150,9 +152,12 @@ def confidence(probability: Column) -> Column:
     return F.when(probability >= HIGH, "high").when(probability >= MEDIUM, "medium").otherwise("low")
 
 
+def _margin(intercept: float, seen: float, points: float) -> Column:
+    return F.lit(intercept) + F.lit(seen) * F.col(FEATURES[0]) + F.lit(points) * F.col(FEATURES[1])
+
+
 def _chance(intercept: float, seen: float, points: float) -> Column:
-    margin = F.lit(intercept) + F.lit(seen) * F.col(FEATURES[0]) + F.lit(points) * F.col(FEATURES[1])
-    return 1 / (1 + F.exp(-margin))
+    return 1 / (1 + F.exp(-_margin(intercept, seen, points)))
 
 
 def _weights(base: RiskBase) -> DataFrame:
@@ -160,9 +165,10 @@ def _weights(base: RiskBase) -> DataFrame:
 
 
 def _fit(base: RiskBase) -> RiskModel:
-    """Logistic regression with a unit L2 penalty on the slopes, by Newton's method.
+    """Logistic regression with a unit L2 penalty on the slopes, by Newton's method with step halving.
 
-    The rows are reduced to distinct feature combinations with counts; each step is one aggregate over these.
+    The rows are reduced to distinct feature combinations with counts. One aggregate over these gives the penalised
+    loss with its gradient and curvature at a point. A step that raises the loss is halved until it does not.
     """
     weights = materialize(_weights(base))
     size = weights.agg(F.sum("n_rows").alias("rows"), F.count_distinct("label").alias("classes")).first()
@@ -170,18 +176,49 @@ def _fit(base: RiskBase) -> RiskModel:
         return RiskModel(None, NO_HISTORY)
     if size["classes"] < 2:
         return RiskModel(None, ONE_CLASS)
-    x = [F.lit(1.0), *map(F.col, FEATURES)]
-    at, penalty = np.zeros(3), np.diag([0.0, 1.0, 1.0])
+    here = _loss_at(weights, np.zeros(3))
     for _ in range(STEPS):
-        p = _chance(*map(float, at))
-        off, slope = F.col("n_rows") * (p - F.col("label")), F.col("n_rows") * p * (1 - p)
-        sums = weights.agg(*[F.sum(off * a) for a in x], *[F.sum(slope * a * b) for a in x for b in x]).first()
-        gradient = np.array(sums[:3]) + penalty @ at
-        step = np.linalg.solve(np.array(sums[3:]).reshape(3, 3) + penalty, gradient)
-        at = at - step
-        if np.abs(step).max() < SMALL:
+        try:
+            step = np.linalg.solve(here.curvature, here.gradient)
+        except np.linalg.LinAlgError:
             break
-    return RiskModel(Fitted(float(at[0]), (float(at[1]), float(at[2]))), None)
+        # Features differ in scale, so a step counts by what it changes for a row of typical features.
+        typical = np.sqrt(np.diag(here.curvature) / here.curvature[0, 0])
+        for _ in range(HALVINGS):
+            there = _loss_at(weights, here.at - step)
+            if there.loss <= here.loss + ROUNDING * abs(here.loss):
+                break
+            step = step / 2
+        else:
+            break
+        here = there
+        if (np.abs(step) * typical).max() < SMALL:
+            intercept, *slopes = map(float, here.at)
+            return RiskModel(Fitted(intercept, tuple(slopes)), None)
+    return RiskModel(None, NOT_CONVERGED)
+
+
+@dataclass(frozen=True)
+class _Loss:
+    at: np.ndarray
+    loss: float
+    gradient: np.ndarray
+    curvature: np.ndarray
+
+
+def _loss_at(weights: DataFrame, at: np.ndarray) -> _Loss:
+    """Penalised negative log-likelihood of the counted rows at a point, with its derivatives, in one aggregate."""
+    x, n, penalty = [F.lit(1.0), *map(F.col, FEATURES)], F.col("n_rows"), np.diag([0.0, 1.0, 1.0])
+    point = list(map(float, at))
+    margin, p = _margin(*point), _chance(*point)
+    loss = n * (F.greatest(margin, F.lit(0.0)) + F.log1p(F.exp(-F.abs(margin))) - F.col("label") * margin)
+    off, slope = n * (p - F.col("label")), n * p * (1 - p)
+    total, *sums = weights.agg(
+        F.sum(loss), *[F.sum(off * a) for a in x], *[F.sum(slope * a * b) for a in x for b in x]
+    ).first()
+    return _Loss(
+        at, total + at @ penalty @ at / 2, np.array(sums[:3]) + penalty @ at, np.array(sums[3:]).reshape(3, 3) + penalty
+    )
 
 
 def _scored(frame: DataFrame, model: RiskModel) -> DataFrame:

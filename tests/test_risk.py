@@ -139,3 +139,31 @@ def test_no_model(spark, sample):
     always = spark.createDataFrame([("s", e, "i", 1.0, "c") for e in ("E1", "E2")], DDL)
     assert risk.fit_risk_model(always).warning == risk.ONE_CLASS
     assert risk.top_risks(always).count() == 0
+
+
+@pytest.mark.parametrize("scale", [1e-4, 1.0, 1e5])
+def test_fit_on_any_scale_of_points(spark, rows, scale):
+    data = spark.createDataFrame([(*r[:3], r[3] * scale, r[4]) for r in rows], DDL)
+    model = risk.fit_risk_model(data).model
+    weights = risk.risk_train_weights(data)
+    found = risk._loss_at(weights, np.array([model.intercept, *model.coefficients]))
+    # At the optimum the gradient vanishes, measured against the curvature along each feature.
+    assert (np.abs(found.gradient) / np.sqrt(np.diag(found.curvature))).max() < 1e-6
+
+
+def test_fit_of_separable_rows_and_of_too_few_steps(spark, monkeypatch):
+    """An item is repeated exactly where it was seen before; only the penalty keeps the slope finite."""
+    rows = [(f"s{s}", e, f"i{s % 2}", 1000.0, "c") for s in range(12) for e in ("E1", "E2")]
+    data = spark.createDataFrame(rows, DDL)
+    model = risk.fit_risk_model(data)
+    assert model.warning is None and 0 < model.model.coefficients[0] < 50
+    monkeypatch.setattr(risk, "STEPS", 1)
+    assert risk.fit_risk_model(data).warning == risk.NOT_CONVERGED
+    assert risk.risk_scores(data).count() == 0
+
+
+def test_exams_of_a_hot_student_are_numbered_as_pairs(data):
+    """No window is over the rows of a student: numbering takes one row for each exam."""
+    history = risk.risk_base(data).history
+    hot = history.filter("student_id = 'hot'")
+    assert sorted({(r.exam_id, r.seq, r.last) for r in hot.collect()}) == [(f"E{k + 1}", k, 3) for k in range(4)]
