@@ -20,9 +20,9 @@ no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,22 +41,69 @@ SCALE = 1_000_000_000
 # above the bound are never more than LARGE_PREFIXES at a level.
 UNIT = 1 << 16
 LARGE_PREFIXES = 4096
-# Counts by term and source that a task holds before it writes them out, rows that are looked at together, and pairs
-# and sums that are held at once.
-TERMS_AT_ONCE = 800_000
+# Bytes of text whose terms a task counts together, rows that are looked at together, and pairs and sums that are held
+# at once.
+BYTES_AT_ONCE = 24_000_000
 ROWS_AT_ONCE = 50_000
 PAIRS_AT_ONCE = 1 << 19
 SUMS_AT_ONCE = 1 << 20
 
 # The bytes of terms by characters. Letters a-z and every byte of a non-ASCII character; A-Z are lower-cased.
-_TERM_BYTES = bytes(k if k >= 128 or 97 <= k <= 122 else k + 32 if 65 <= k <= 90 else 32 for k in range(256))
+_TERM_BYTES = np.array([k if k >= 128 or 97 <= k <= 122 else k + 32 if 65 <= k <= 90 else 32 for k in range(256)], np.uint8)
+_GAP = re.compile(rb"[^A-Za-z\x80-\xff]")
 
 TERMS = "lang string, term binary, sources array<string>, counts array<bigint>, docs array<bigint>, full boolean"
 KEPT = "lang string, source string, term binary, n bigint, total bigint, first boolean"
 
 
-def _listed(lists: Iterator, sizes: np.ndarray, kind: pa.DataType) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(chain.from_iterable(lists), kind))
+def _cuts(text: bytes, size: int) -> Iterator[bytes]:
+    """A long text in parts of about this size, cut between terms."""
+    start = 0
+    while len(text) - start > size:
+        gap = _GAP.search(text, start + size)
+        if gap is None:
+            break
+        yield text[start : gap.start()]
+        start = gap.start()
+    yield text[start:] if start else text
+
+
+def _lists(values: pa.Array, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), values)
+
+
+def _counted(documents: list[tuple[str, str, int, bytes]], least: int) -> Iterator[pa.RecordBatch]:
+    """Counted terms of (lang, source, number, text) documents, by one sort of their (term, document) pairs."""
+    documents.sort(key=lambda d: d[:3])  # so that the documents of a language, and of a source in it, stand together
+    data = _TERM_BYTES[np.frombuffer(b" ".join(d[3] for d in documents), np.uint8)]
+    inside = data != 32
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    starts, ends = edges[::2], edges[1::2]
+    upto = np.searchsorted(starts, np.cumsum([len(d[3]) + 1 for d in documents]))
+    document = np.repeat(np.arange(len(documents)), np.diff(upto, prepend=0))
+    offsets = np.append(0, np.cumsum(ends - starts)).astype(np.int32)
+    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])]
+    coded = pa.Array.from_buffers(pa.binary(), len(starts), buffers).dictionary_encode()
+    pairs, n = np.unique(coded.indices.to_numpy() * np.int64(len(documents)) + document, return_counts=True)
+    term, document = np.divmod(pairs, len(documents))
+
+    langs = pa.array([d[0] for d in documents], pa.string())
+    sources = pa.array([d[1] for d in documents], pa.string())
+    lang, group = np.cumsum(_changes(langs))[document], np.cumsum(_changes(langs, sources))[document]
+    row_first = np.append(True, (term[1:] != term[:-1]) | (lang[1:] != lang[:-1]))[: len(term)]
+    group_first = np.append(True, row_first[1:] | (group[1:] != group[:-1]))[: len(term)]
+    rows, groups = np.flatnonzero(row_first), np.flatnonzero(group_first)
+    n = np.add.reduceat(n, groups) if len(groups) else n
+    row = np.cumsum(row_first) - 1
+    listed = np.arange(len(term)) - rows[row] < least
+    numbers = np.array([d[2] for d in documents], np.int64)
+    seen = np.bincount(row[listed], minlength=len(rows))
+    size = np.bincount(row[groups], minlength=len(rows))
+    columns = [langs.take(pa.array(document[rows])), coded.dictionary.take(pa.array(term[rows]))]
+    columns += [_lists(sources.take(pa.array(document[groups])), size), _lists(pa.array(n), size)]
+    columns += [_lists(pa.array(numbers[document[listed]]), seen), pa.array(seen >= least)]
+    whole = pa.RecordBatch.from_arrays(columns, ["lang", "term", "sources", "counts", "docs", "full"])
+    yield from pieces(whole, ROWS_AT_ONCE)
 
 
 def counted_terms(docs: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
@@ -65,48 +112,21 @@ def counted_terms(docs: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
     docs lists up to ``least`` documents, and ``full`` tells that it lists as many.
     """
 
-    def written(held: dict[str, dict[bytes, list]]) -> Iterator[pa.RecordBatch]:
-        for lang, group in held.items():
-            terms, found = list(group), list(group.values())
-            for start in range(0, len(terms), ROWS_AT_ONCE):
-                some = found[start : start + ROWS_AT_ONCE]
-                sources = np.fromiter((len(known[0]) for known in some), np.int64, len(some))
-                documents = np.fromiter(map(len, some), np.int64, len(some)) - 1
-                columns = [pa.array([lang] * len(some), pa.string()), pa.array(terms[start : start + ROWS_AT_ONCE], pa.binary())]
-                columns.append(_listed((known[0] for known in some), sources, pa.string()))
-                columns.append(_listed((known[0].values() for known in some), sources, pa.int64()))
-                columns.append(_listed((known[1:] for known in some), documents, pa.int64()))
-                columns.append(pa.array(documents >= least))
-                yield pa.RecordBatch.from_arrays(columns, ["lang", "term", "sources", "counts", "docs", "full"])
-
     def run(batches):
-        held: dict[str, dict[bytes, list]] = {}
+        held: list[tuple[str, str, int, bytes]] = []
         size, number = 0, 0
-        for whole in batches:
-            for batch in pieces(whole):
-                names = (batch.column(c).to_pylist() for c in ("part", "lang", "source"))
-                for part, lang, source, text in zip(*names, texts(batch)):
-                    document = (part << 33) + number
-                    number += 1
-                    group = held.setdefault(lang, {})
-                    for term, n in Counter(text.translate(_TERM_BYTES).split()).items():
-                        known = group.get(term)
-                        if known is None:
-                            group[term] = [{source: n}, document]
-                            size += 1
-                            continue
-                        counts = known[0]
-                        if source in counts:
-                            counts[source] += n
-                        else:
-                            counts[source] = n
-                            size += 1
-                        if len(known) <= least:
-                            known.append(document)
-                    if size > TERMS_AT_ONCE:
-                        yield from written(held)
-                        held, size = {}, 0
-        yield from written(held)
+        for batch in batches:
+            names = (batch.column(c).to_pylist() for c in ("part", "lang", "source"))
+            for part, lang, source, text in zip(*names, texts(batch)):
+                for cut in _cuts(text, BYTES_AT_ONCE):
+                    held.append((lang, source, (part << 33) + number, cut))
+                    size += len(cut) + 1
+                    if size > BYTES_AT_ONCE:
+                        yield from _counted(held, least)
+                        held, size = [], 0
+                number += 1
+        if held:
+            yield from _counted(held, least)
 
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     return docs.select(F.spark_partition_id().alias("part"), empty("lang"), empty("source"), "text").mapInArrow(run, TERMS)

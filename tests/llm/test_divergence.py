@@ -57,7 +57,7 @@ def corpus(seed, docs=120):
 
 @pytest.mark.parametrize("unit, least, at_once", [(divergence.UNIT, 3, 200_000), (2, 3, 40), (5, 1, 10)])
 def test_against_brute_force(spark, unit, least, at_once, monkeypatch):
-    monkeypatch.setattr(divergence, "TERMS_AT_ONCE", at_once)
+    monkeypatch.setattr(divergence, "BYTES_AT_ONCE", at_once)
     monkeypatch.setattr(divergence, "PAIRS_AT_ONCE", at_once)
     monkeypatch.setattr(divergence, "ROWS_AT_ONCE", at_once)
     rows = corpus(unit)
@@ -78,7 +78,7 @@ def test_language_without_kept_terms(spark):
 
 
 def test_one_term_in_more_rows_than_a_unit(spark, monkeypatch):
-    monkeypatch.setattr(divergence, "TERMS_AT_ONCE", 1)
+    monkeypatch.setattr(divergence, "BYTES_AT_ONCE", 1)
     monkeypatch.setattr(divergence, "ROWS_AT_ONCE", 10)
     rows = [(k, "a b" if k % 7 == 0 else "a", "en", f"s{k % 3}") for k in range(90)]
     assert rows_of(divergence.divergence(made(spark, rows), unit=1)) == brute(rows)
