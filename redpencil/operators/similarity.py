@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from redpencil.functions.text import clean
+from redpencil.operators.components import connected_components
 from redpencil.operators.shared import materialize, ordinals, running_totals
 from redpencil.schemas import empty
 
@@ -158,34 +159,6 @@ def misconception_clusters(
     )
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Rows (item_no, component), the component being its smallest node.
-
-    Each round takes the smallest label among the neighbours and then jumps to the label of that label, so
-    long chains close in a logarithmic number of rounds. Rounds are checkpointed.
-    """
-    ways = F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
-    links = materialize(edges.select(ways))
-    labels = materialize(nodes.select("item_no", F.col("item_no").alias("component")))
-    while True:
-        nearest = (
-            links.join(labels, links["b"] == labels["item_no"])
-            .groupBy("a")
-            .agg(F.min("component").alias("_near"))
-            .withColumnRenamed("a", "item_no")
-        )
-        lowered = labels.join(nearest, "item_no", "left").select(
-            "item_no", F.col("component").alias("_old"), F.least("component", "_near").alias("_new")
-        )
-        target = labels.select(F.col("item_no").alias("_new"), F.col("component").alias("_jump"))
-        moved = materialize(
-            lowered.join(target, "_new").select("item_no", "_old", F.least("_new", "_jump").alias("component"))
-        )
-        labels = moved.select("item_no", "component")
-        if moved.filter(F.col("component") < F.col("_old")).limit(1).count() == 0:
-            return labels
-
-
 def pair_tallies(units: DataFrame, ordered: bool) -> DataFrame:
     """Sum of weights per (a, b) from units (left, right, same, weight).
 
