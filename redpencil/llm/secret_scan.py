@@ -1,9 +1,9 @@
 """Secret scan by corpus-wide ownership frequency, in DataFrame functions only.
 
 Candidates are found by patterns. Their values, as hashes, are counted over the whole corpus by distinct
-repositories and owners: a value that several owners hold is a copied example, one that stays with few owners looks
-like a live credential. Base kinds are always reported; the further kinds, whose patterns are wider, are added
-where the counts say live.
+repositories and owners: a value that several owners hold, or two owners in many repositories, is a copied example.
+One that stays with its owner looks like a live credential, in however many repositories the owner has it. Base kinds
+are always reported; the further kinds, whose patterns are wider, are added where the counts say live.
 
 A source is an owner; the parts of a source in one language are its repositories. Both columns are parameters.
 
@@ -14,6 +14,7 @@ repository. An empty table gives no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -23,6 +24,10 @@ from redpencil.llm.storage import store, text_key
 
 # Values held by at least so many owners are copied examples.
 WIDE_OWNERS = 3
+# So are values held in at least so many repositories, if not by one owner alone.
+WIDE_REPOSITORIES = 6
+# Matches whose positions are added up together; their sums are added up after that.
+MATCHES_AT_ONCE = 256
 
 
 @dataclass(frozen=True)
@@ -64,25 +69,48 @@ def _spans(text: Column, kind: Kind, number: int) -> Column:
     )
     start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("found"))
 
+    def span(begin: Column, end: Column, value: Column) -> Column:
+        names = [F.lit(number).alias("kind_no"), end.alias("end"), F.lit(kind.name).alias("kind"), value.alias("value")]
+        return F.struct(begin.alias("start"), *names)
+
     def step(state: Column, part: Column) -> Column:
         begin = state["at"] + F.length(part["gap"])
         end = begin + F.length(part["hit"])
-        span = F.struct(
-            begin.alias("start"),
-            F.lit(number).alias("kind_no"),
-            end.alias("end"),
-            F.lit(kind.name).alias("kind"),
-            F.sha2(part["value"], 256).alias("value"),
-        )
         fits = F.length(part["value"]) >= kind.least
-        one = F.when(fits, F.array(span)).otherwise(F.array()).cast(_SPANS)
+        one = F.when(fits, F.array(span(begin, end, F.sha2(part["value"], 256)))).otherwise(F.array()).cast(_SPANS)
         return F.struct(end.alias("at"), F.concat(state["found"], one).cast(_SPANS).alias("found"))
 
+    def moved(part: Column, at: Column) -> Column:
+        return F.transform(part["found"], lambda s: span(s["start"] + at, s["end"] + at, s["value"])).cast(_SPANS)
+
     matched = F.filter(zipped, lambda part: part["hit"].isNotNull())
-    found = F.aggregate(matched, start, step, lambda state: state["found"])
+    # Arrays grow by copies, so positions are counted in short parts from each part's own start and then moved.
+    parts = _each(matched, lambda all_: F.transform(_slices(all_), lambda some: F.aggregate(some, start, step)))
+    found = _each(parts, lambda all_: F.flatten(F.zip_with(all_, _starts(all_["at"]), moved)))
     return F.when(text.rlike(kind.test), found).otherwise(F.array().cast(_SPANS))
 
 
+def _each(value: Column, what: Callable[[Column], Column]) -> Column:
+    """``what`` of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), what)[0]
+
+
+def _slices(values: Column) -> Column:
+    last = F.greatest(F.lit(0), F.floor((F.size(values) - 1) / MATCHES_AT_ONCE).cast("int"))
+    return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(values, k * MATCHES_AT_ONCE + 1, MATCHES_AT_ONCE))
+
+
+def _starts(lengths: Column) -> Column:
+    """Where parts of these lengths start, one after the other."""
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    return F.aggregate(
+        lengths,
+        none,
+        lambda state, n: F.struct((state["at"] + n).alias("at"), F.concat(state["starts"], F.array(state["at"])).cast("array<int>").alias("starts")),
+        lambda state: state["starts"],
+    )
+
+
 def candidates(docs: DataFrame, owner: Column | None = None, repository: Column | None = None) -> DataFrame:
     """Rows (doc_id, text_key, owner, repository, base, added): spans with the hash of their value."""
     owner = F.col("source") if owner is None else owner
@@ -112,19 +140,26 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def scan(docs: DataFrame, wide_owners: int = WIDE_OWNERS, owner: Column | None = None, repository: Column | None = None) -> DataFrame:
-    """Rows (doc_id, text_key, base, spans, n_live, n_example).
+def scan(
+    docs: DataFrame,
+    wide_owners: int = WIDE_OWNERS,
+    owner: Column | None = None,
+    repository: Column | None = None,
+    wide_repositories: int = WIDE_REPOSITORIES,
+) -> DataFrame:
+    """Rows (doc_id, text_key, base, spans, n_live, n_example, most_owners, most_repositories).
 
     ``base`` and ``spans`` are arrays of (start, kind_no, end, kind, value); n_live and n_example count the
-    spans of ``spans`` by the verdict on their values.
+    spans of ``spans`` by the verdict on their values, and the last two are the widest spread of any of these values.
     """
     found = store(candidates(docs, owner, repository), "secret-candidates")
     rows = found.select("doc_id", "text_key", F.explode(F.concat("base", "added")).alias("span"))
+    copied = (F.col("n_owners") >= wide_owners) | ((F.col("n_owners") > 1) & (F.col("n_repositories") >= wide_repositories))
     judged = rows.join(store(ownership(found), "ownership"), F.col("span.value") == F.col("value")).select(
-        "doc_id", "text_key", "span", (F.col("n_owners") < wide_owners).alias("live")
+        "doc_id", "text_key", "span", "n_owners", "n_repositories", (~copied).alias("live")
     )
     per_row = judged.groupBy(F.col("doc_id").alias("j_id"), F.col("text_key").alias("j_key")).agg(
-        F.collect_set(F.struct("span", "live")).alias("judged")
+        F.collect_set(F.struct("span", "live", "n_owners", "n_repositories")).alias("judged")
     )
     base_kinds = F.lit(len(BASE))
     joined = found.join(per_row, F.col("doc_id").eqNullSafe(F.col("j_id")) & (F.col("text_key") == F.col("j_key")), "left")
@@ -140,6 +175,8 @@ def scan(docs: DataFrame, wide_owners: int = WIDE_OWNERS, owner: Column | None =
         F.array_sort(F.concat("base", live_added)).alias("spans"),
         F.size(F.filter(verdicts, lambda j: j["live"])).cast("bigint").alias("n_live"),
         F.size(F.filter(verdicts, lambda j: ~j["live"])).cast("bigint").alias("n_example"),
+        F.coalesce(F.array_max(verdicts["n_owners"]), F.lit(0)).cast("bigint").alias("most_owners"),
+        F.coalesce(F.array_max(verdicts["n_repositories"]), F.lit(0)).cast("bigint").alias("most_repositories"),
     )
 
 
@@ -148,7 +185,7 @@ def _count(spans: str, number: int) -> Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example)."""
+    """Rows (doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, most_owners, most_repositories)."""
     counts = [_count("base", k).alias(f"n_{kind.name}") for k, kind in enumerate(BASE)]
     return scan(docs).select(
         "doc_id",
@@ -157,4 +194,6 @@ def report(docs: DataFrame) -> DataFrame:
         _listed(F.col("spans")).alias("spans"),
         "n_live",
         "n_example",
+        "most_owners",
+        "most_repositories",
     )

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -201,6 +202,35 @@ def test_secret_scan(spark, odd_docs, no_docs):
     assert secret_scan.report(odd_docs).count() == odd_docs.count() and secret_scan.report(no_docs).count() == 0
 
 
+def test_many_matches_in_one_text(spark):
+    """50,000 matches between other words, whose positions go over many parts."""
+    rng = random.Random(9)
+    text = " ".join(f"ü{'x' * rng.randrange(5)} {rng.getrandbits(96):024x}" for _ in range(50_000))
+    began = time.monotonic()
+    row = secret_scan.report(spark.createDataFrame([(1, text, "a", "en")], "doc_id bigint, text string, source string, lang string")).first()
+    took = time.monotonic() - began
+    base = brute_base(text)
+    assert row.n_hex == len(base) >= 50_000 and row.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+    assert took < 60  # a growing array took 39 s for 21,000
+
+
+def test_owners_and_repositories_decide_together(spark):
+    key = "ghp_" + "a1B2" * 10
+    held = lambda pairs: [(k, f"x {key}", source, lang) for k, (source, lang) in enumerate(pairs)]
+    langs = ["en", "de", "fr", "es", "it", "pt", "nl"]
+    for pairs, live in (
+        ([("a", lang) for lang in langs], True),  # one owner, seven repositories
+        ([("a", "en"), ("b", "en")], True),
+        ([("a", lang) for lang in langs[:5]] + [("b", "en")], False),  # two owners, six repositories
+        ([("a", "en"), ("b", "en"), ("c", "en")], False),
+    ):
+        frame = spark.createDataFrame(held(pairs), "doc_id bigint, text string, source string, lang string")
+        rows = secret_scan.report(frame).collect()
+        assert {r.spans for r in rows} == {"forge:2:46" if live else ""}
+        if live:
+            assert {(r.most_owners, r.most_repositories) for r in rows} == {(len({s for s, _ in pairs}), len(pairs))}
+
+
 def test_secret_scan_has_no_python(spark):
     frame = spark.createDataFrame(SECRETS, "doc_id bigint, text string, source string, lang string")
     for df in (secret_scan.candidates(frame), secret_scan.report(frame)):
