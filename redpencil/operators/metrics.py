@@ -148,6 +148,18 @@ def rubric_exam_pivot(df: DataFrame, exams: Sequence[str] | None = None) -> Data
     return grouped.agg(F.count(F.lit(1))).na.fill(0).orderBy("rubric_item")
 
 
+def rubric_exam_map(df: DataFrame) -> DataFrame:
+    """Row counts per rubric item as a map from exam to count, exams in order, for any number of exams.
+
+    Unlike the pivot, nothing about the exams is collected and an exam costs nothing for items that do not occur in it.
+    A null exam is the blank one, as a map has no null keys.
+    """
+    exam = F.coalesce("exam_id", F.lit("")).alias("exam_id")
+    counts = df.groupBy("rubric_item", exam).agg(F.count("*").alias("rows"))
+    entries = F.sort_array(F.collect_list(F.struct("exam_id", "rows")))
+    return counts.groupBy("rubric_item").agg(F.map_from_entries(entries).alias("rows_by_exam")).orderBy("rubric_item")
+
+
 def group_comparison(df: DataFrame, group_col: str, missing_label: str = "Unassigned") -> DataFrame:
     """Compare the groups of any column. No rows when the column is absent or blank throughout."""
     ddl = (

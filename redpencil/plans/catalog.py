@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from redpencil.functions.text import name_is_traversal, safe_name
-from redpencil.operators import cohorts, concepts, metrics, quality, recommend, risk, scope, scores, similarity, trajectory
+from redpencil.operators import cohorts, concepts, metrics, quality, recommend, risk, rollup, scope, scores, similarity, trajectory
 from redpencil.operators.normalize import ColumnMapping, apply_mapping, canonicalize
 from redpencil.operators.shared import scratch_path
 from redpencil.sources import files, tables
@@ -113,6 +113,20 @@ def _packet(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _rollup(spark: SparkSession, folder: str) -> rollup.Rollup:
+    return rollup.roll_up(with_concepts(spark, folder), ["exam_id", "rubric_item", "section_id", "concept"])
+
+
+def _rollup_packet(spark: SparkSession, folder: str) -> DataFrame:
+    """Four tables from one pass over the facts."""
+    return files.write_packet(rollup.packet_tables(_rollup(spark, folder), ["section_id"]), scratch_path(spark, "packet"))
+
+
+def _exam_map(spark: SparkSession, folder: str) -> DataFrame:
+    maps = metrics.rubric_exam_map(deductions(spark, folder))
+    return maps.select("rubric_item", F.to_json("rows_by_exam").alias("rows_by_exam"))
+
+
 def _safe_names(spark: SparkSession, folder: str) -> DataFrame:
     pages = tables.page_urls(spark, folder)
     # Every tenth address climbs a folder, every tenth is written with backslashes and dots.
@@ -233,6 +247,11 @@ def queries() -> dict[str, Query]:
         "summarize_errors": _v1(metrics.summarize_errors),
         "error_by_exam": _v1(metrics.error_by_exam),
         "rubric_exam_pivot": _v1(metrics.rubric_exam_pivot),
+        "rubric_exam_map": _exam_map,
+        "rollup_summaries": lambda s, d: rollup.summaries(_rollup(s, d), ["exam_id", "rubric_item", "section_id", "concept"]),
+        "rollup_exam_breakdown": lambda s, d: rollup.exam_breakdown(_rollup(s, d)),
+        "rollup_kpis": _rounded(lambda s, d: rollup.kpis(_rollup(s, d)), "std_points_per_student"),
+        "rollup_packet": _rollup_packet,
         "section_comparison": _v1(metrics.group_comparison, "section_id"),
         "ta_comparison": _v1(metrics.group_comparison, "ta_id"),
         "persistence": _v1(cohorts.persistence),

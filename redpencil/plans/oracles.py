@@ -271,6 +271,14 @@ def oracle_sql() -> dict[str, str]:
     event_rows = """WITH """ + V2 + """
         SELECT student_id, exam_id, question_id, replace(rubric_item, ':', ': ') AS rubric_item, points_lost,
                topic, section_id, ta_id FROM v2"""
+    parts = " UNION ALL ".join(
+        f"""SELECT '{part}' AS part, {key} AS item, count(*) AS rows, count(DISTINCT student_id) AS students,
+            sum(points_lost) AS total, avg(points_lost) AS mean FROM v1c{group}"""
+        for part, key, group in [
+            ("all", "''", ""),
+            *((k, k, f" GROUP BY {k}") for k in ("exam_id", "rubric_item", "section_id", "concept")),
+        ]
+    )
     bb1 = "printf('%.1f', bin_lo) || '-' || printf('%.1f', bin_hi)"
     kpi = """
         SELECT (SELECT count(*) FROM v1) AS rows, (SELECT count(DISTINCT student_id) FROM v1) AS students,
@@ -365,6 +373,18 @@ def oracle_sql() -> dict[str, str]:
         "rubric_exam_pivot": f"WITH {V1} SELECT rubric_item, "
         + ", ".join(f"count(*) FILTER (WHERE exam_id = 'Y{y}') AS \"Y{y}\"" for y in range(1995, 2002))
         + " FROM v1 GROUP BY rubric_item",
+        "rubric_exam_map": f"""WITH {V1}, cells AS (SELECT rubric_item, exam_id, count(*) AS n FROM v1 GROUP BY ALL)
+            SELECT rubric_item, '{{' || string_agg('"' || exam_id || '":' || n, ',' ORDER BY exam_id) || '}}' AS rows_by_exam
+            FROM cells GROUP BY rubric_item""",
+        "rollup_summaries": f"WITH {V1C} {parts}",
+        "rollup_exam_breakdown": f"WITH {V1}, {BY_EXAM} SELECT * FROM by_exam",
+        "rollup_kpis": f"""WITH {V1}, scoped AS (SELECT * FROM v1),
+            per AS (SELECT student_id, sum(points_lost) AS t FROM scoped GROUP BY 1) {kpi}""",
+        "rollup_packet": f"""WITH {V1C}
+            SELECT 'exam_breakdown' AS artifact, 'exam_breakdown.csv' AS file, count(DISTINCT exam_id) AS rows FROM v1c
+            UNION ALL SELECT 'summarize_errors', 'summarize_errors.csv', count(DISTINCT rubric_item) FROM v1c
+            UNION ALL SELECT 'concept_stats', 'concept_stats.csv', count(DISTINCT concept) FROM v1c WHERE trim(concept) <> ''
+            UNION ALL SELECT 'section_id_comparison', 'section_id_comparison.csv', count(DISTINCT section_id) FROM v1c""",
         "section_comparison": f"WITH {V1}, {group_stats('section_id', 'Unassigned')} SELECT * FROM grp",
         "ta_comparison": f"WITH {V1}, {group_stats('ta_id', 'Unassigned')} SELECT * FROM grp",
         "persistence": v1_persist,
