@@ -43,7 +43,7 @@ UNIT = 1 << 16
 LARGE_PREFIXES = 4096
 # Bytes of text whose terms a task counts together, rows that are looked at together, and pairs and sums that are held
 # at once.
-BYTES_AT_ONCE = 24_000_000
+BYTES_AT_ONCE = 12_000_000
 ROWS_AT_ONCE = 50_000
 PAIRS_AT_ONCE = 1 << 19
 SUMS_AT_ONCE = 1 << 20
@@ -72,20 +72,29 @@ def _lists(values: pa.Array, sizes: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), values)
 
 
-def _counted(documents: list[tuple[str, str, int, bytes]], least: int) -> Iterator[pa.RecordBatch]:
-    """Counted terms of (lang, source, number, text) documents, by one sort of their (term, document) pairs."""
-    documents.sort(key=lambda d: d[:3])  # so that the documents of a language, and of a source in it, stand together
-    data = _TERM_BYTES[np.frombuffer(b" ".join(d[3] for d in documents), np.uint8)]
+def _coded(documents: list[bytes]) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The terms of all texts in order, as codes, and how many there are up to the end of each text."""
+    data = _TERM_BYTES[np.frombuffer(b" ".join(documents), np.uint8)]
     inside = data != 32
-    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    edges = np.flatnonzero(np.append(inside, False) != np.append(False, inside))
     starts, ends = edges[::2], edges[1::2]
-    upto = np.searchsorted(starts, np.cumsum([len(d[3]) + 1 for d in documents]))
-    document = np.repeat(np.arange(len(documents)), np.diff(upto, prepend=0))
+    upto = np.searchsorted(starts, np.cumsum([len(d) + 1 for d in documents]))
     offsets = np.append(0, np.cumsum(ends - starts)).astype(np.int32)
     buffers = [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])]
-    coded = pa.Array.from_buffers(pa.binary(), len(starts), buffers).dictionary_encode()
-    pairs, n = np.unique(coded.indices.to_numpy() * np.int64(len(documents)) + document, return_counts=True)
-    term, document = np.divmod(pairs, len(documents))
+    return pa.Array.from_buffers(pa.binary(), len(starts), buffers).dictionary_encode(), upto
+
+
+def _counted(documents: list[tuple[str, str, int, bytes]], least: int) -> Iterator[pa.RecordBatch]:
+    """Counted terms of (lang, source, number, text) documents, by one sort of their (term, document) pairs."""
+    documents.sort(key=lambda d: d[:3])  # so that the documents of a language, and of a source in it, stand together
+    coded, upto = _coded([d[3] for d in documents])
+    pairs = coded.indices.to_numpy() * np.int64(len(documents))
+    pairs += np.repeat(np.arange(len(documents)), np.diff(upto, prepend=0))
+    pairs.sort()
+    edges = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1])[: len(pairs)])
+    n = np.diff(edges, append=len(pairs))
+    term, document = np.divmod(pairs[edges], len(documents))
+    del pairs, edges
 
     langs = pa.array([d[0] for d in documents], pa.string())
     sources = pa.array([d[1] for d in documents], pa.string())
@@ -124,9 +133,12 @@ def counted_terms(docs: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
                     if size > BYTES_AT_ONCE:
                         yield from _counted(held, least)
                         held, size = [], 0
+                        pa.default_memory_pool().release_unused()  # a worker lives on, and would keep it
                 number += 1
         if held:
             yield from _counted(held, least)
+            held.clear()
+            pa.default_memory_pool().release_unused()
 
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     return docs.select(F.spark_partition_id().alias("part"), empty("lang"), empty("source"), "text").mapInArrow(run, TERMS)
