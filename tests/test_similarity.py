@@ -192,3 +192,21 @@ def test_top_pairs_end_with_the_first_band_that_holds_them(spark, monkeypatch):
     assert [r[:2] for r in tuples(similarity.top_pairs(df, 8))] == ranked[:8] and read == [0.5]
     read.clear()
     assert [r[:2] for r in tuples(similarity.top_pairs(df, 15))] == ranked[:15] and read == [0.5, 0.2]
+
+
+def test_prefixes_only_where_they_leave_out_most_pairs(spark, monkeypatch):
+    """Students with equally many items: prefixes would hold most pairs, and all are tallied. Frequent students: prefixes."""
+    rng = random.Random(9)
+    even = {(f"s{s}", f"item {i:02d}") for s in range(40) for i in rng.sample(range(30), 12)}
+    hot = {(f"s{i // 2}.{k}", f"item {i:02d}") for i in range(30) for k in range(12)} | {(f"hot {h}", f"item {i:02d}") for h in range(4) for i in range(30)}
+    tallied = []
+    tally = similarity._pair_counts
+    monkeypatch.setattr(similarity, "_pair_counts", lambda rows: tallied.append(True) or tally(rows))
+    for rows, whole in ((even, True), (hot, False)):
+        df = spark.createDataFrame(sorted(rows), "student_id string, rubric_item string")
+        pairs = brute_pairs(rows)[2]
+        tallied.clear()
+        near = {k for k, v in pairs.items() if v[0] >= 0.4}
+        assert {r[:2] for r in tuples(similarity.similarity_edges(df, 0.4, 2.0))} == near and bool(tallied) == whole
+        ranked = sorted(pairs, key=lambda k: (-pairs[k][0], k))
+        assert [r[:2] for r in tuples(similarity.top_pairs(df, 10))] == ranked[:10]
