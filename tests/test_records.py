@@ -109,3 +109,25 @@ def test_plain_files_are_read_without_gluing(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(records, "records", lambda *a: pytest.fail("glued"))
     path = written(tmp_path, 'a,b\n"x, y",2\n')
     assert tuples(files.read_csv(spark, path)) == [("x, y", "2")]
+
+
+def test_records_are_parsed_once_and_lines_are_not_shuffled(spark, tmp_path, capsys):
+    path = written(tmp_path, 'a,b,c\n"x\ny",2,3\n1,"2\n3",4\n5,6,7\n')
+    read = files._missing_to_null(files.read_csv(spark, path, True))
+    assert sorted(tuples(read)) == [("1", "2\n3", "4"), ("5", "6", "7"), ("x\ny", "2", "3")]
+    read.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("from_csv") == 1 and "Window" not in plan
+
+
+def test_a_quote_open_over_whole_blocks(spark, tmp_path):
+    """One field goes over many blocks, with lines in it that look like records; a header after blank lines."""
+    long = "\n".join(f'{k},x""y' for k in range(3000))
+    path = written(tmp_path, f'\n  \na,b\n1,"{long}"\n2,"p\nq"\n3,4\n')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        found = records.records(spark, path).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(r["record"] for r in found) == sorted(["a,b", f'1,"{long}"', '2,"p\nq"', "3,4"])
+    assert [r["record"] for r in found if r["first"]] == ["a,b"]
