@@ -167,3 +167,12 @@ def test_exams_of_a_hot_student_are_numbered_as_pairs(data):
     history = risk.risk_base(data).history
     hot = history.filter("student_id = 'hot'")
     assert sorted({(r.exam_id, r.seq, r.last) for r in hot.collect()}) == [(f"E{k + 1}", k, 3) for k in range(4)]
+
+
+def test_frames_take_one_shuffle_by_exam(spark, rows, capsys):
+    """Listed rows, concepts and exams meet in one shuffle; they are not joined by (student, exam)."""
+    base = risk.risk_base(spark.createDataFrame(rows, DDL))
+    for which in ("train", "score"):
+        risk._compact(base, which).explain()
+        plan = capsys.readouterr().out
+        assert "FullOuter" not in plan and "LeftOuter" not in plan
