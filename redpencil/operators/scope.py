@@ -11,6 +11,8 @@ from redpencil.operators.shared import ordinals
 
 # Fixed value: instructor-level output is withheld below this number of students.
 SMALL_COHORT = 5
+# Size bound: keys over which the rows without an id are spread.
+BLANK_SHARES = 256
 
 
 def student_scope(df: DataFrame, students: Iterable[str] | DataFrame | None = None) -> DataFrame:
@@ -57,11 +59,20 @@ def student_aliases(df: DataFrame) -> DataFrame:
 
 
 def anonymize(df: DataFrame, enabled: bool = True) -> DataFrame:
-    """Replace ids, and names where there are any, by aliases; every row stays. Few students: the facts are not shuffled."""
+    """Replace ids, and names where there are any, by aliases; every row stays. Few students: the facts are not shuffled.
+
+    The rows of the blank id, which may be many, meet their alias in ``BLANK_SHARES`` keys, dealt by the rest of the row.
+    """
     if not enabled:
         return df
-    out = df.withColumn("student_id", _id())
-    out = out.join(student_aliases(df), "student_id").withColumn("student_id", F.col("alias"))
+    others = [F.col(c) for c in df.columns if c != "student_id"]
+    share = F.pmod(F.xxhash64(*others), F.lit(BLANK_SHARES)) if others else F.lit(0).cast("bigint")
+    blank = F.col("student_id") == ""
+    zero = F.lit(0).cast("bigint")
+    shares = F.when(blank, F.sequence(zero, zero + BLANK_SHARES - 1)).otherwise(F.array(zero))
+    aliases = student_aliases(df).withColumn("_share", F.explode(shares))
+    out = df.withColumn("student_id", _id()).withColumn("_share", F.when(blank, share).otherwise(zero))
+    out = out.join(aliases, ["student_id", "_share"]).withColumn("student_id", F.col("alias"))
     if "student_name" in df.columns:
         out = out.withColumn("student_name", F.col("alias"))
     return out.select(*df.columns)
