@@ -144,7 +144,11 @@ def lesson_plan(df: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
 
 
 def report_lines(df: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
-    """The report excerpts (section, line_no, line): eight issues, six persistence rows, six recommendations."""
+    """The report excerpts (section, line_no, line): eight issues, six persistence rows, six recommendations.
+
+    The excerpts need several passes, so the columns they use are stored first and ``df`` is computed once.
+    """
+    df = materialize(df.select("student_id", "exam_id", "rubric_item", "points_lost", "concept"))
     pts = one_decimal(F.col("points_lost_total"))
     issues = _lines(
         top_issues(df, 8),
