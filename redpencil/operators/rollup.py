@@ -2,8 +2,8 @@
 
 A student set is exact and can be united: students are numbered densely, and a cell, one combination of the keys, holds
 its students by bucket of 32,768 numbers. A bucket with at least ``DENSE`` students is a bitmap of 4 KB; the others stay
-rows (bucket, position). So a base is never much larger than the distinct (keys, student) pairs, however many cells hold
-a single student. A coarser key unites bitmaps by ``bitmap_or_agg``; rows count where the united bitmap has no such bit.
+rows (bucket, position). Cells are numbered too, so that these rows are three numbers whatever the keys are. So a base is
+never much larger than the distinct (keys, student) pairs, however many cells hold a single student. A coarser key unites bitmaps by ``bitmap_or_agg``; rows count where the united bitmap has no such bit.
 Null students are in no set, but their rows and points count. A null key is a group of its own.
 """
 
@@ -16,20 +16,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from redpencil.functions.text import clean, is_blank, strip
-from redpencil.operators.shared import materialize, null_safe_join, ordinals
+from redpencil.operators.shared import materialize, null_safe_join, ordinals, running_totals
 from redpencil.schemas import empty
 
 # From 512 students on, a bitmap of 4,096 bytes is smaller than as many numbers of 8 bytes.
 DENSE = 512
-_CELL = ["_bucket", "_position"]
+_POSITION = ["_bucket", "_position"]
 
 
 class Rollup(NamedTuple):
-    """Stored tables: (keys, question_id, rows, known, points), (student_id, points), and the two forms of student sets."""
+    """Stored tables: (keys, question_id, rows, known, points), (student_id, points), (keys, cell), and the two forms of student sets by cell."""
 
     keys: list[str]
     totals: DataFrame
     per_student: DataFrame
+    cells: DataFrame
     dense: DataFrame
     sparse: DataFrame
 
@@ -45,27 +46,30 @@ def roll_up(df: DataFrame, keys: Sequence[str] = ("exam_id", "rubric_item"), den
     totals = materialize(counts.groupBy(*keys, "question_id").agg(*(F.sum(c).alias(c) for c in ("rows", "known", "points"))))
     per_student = materialize(counts.groupBy("student_id").agg(F.sum("points").alias("points")))
 
+    cells = materialize(_cells(totals, keys))
     numbers = ordinals(per_student.select("student_id").filter("student_id IS NOT NULL"), "student_id", "_number")
-    seen = counts.filter("student_id IS NOT NULL").select(*keys, "student_id").distinct()
+    known = counts.filter("student_id IS NOT NULL")
+    seen = (null_safe_join(known, cells, keys) if keys else known.withColumn("_cell", F.lit(1).cast("bigint"))).select("student_id", "_cell").distinct()
     members = materialize(
         seen.join(numbers, "student_id").select(
-            *keys,
+            "_cell",
             F.bitmap_bucket_number("_number").alias("_bucket"),
             F.bitmap_bit_position("_number").alias("_position"),
         )
     )
-    cell = [*keys, "_bucket"]
+    cell = ["_cell", "_bucket"]
     large = materialize(members.groupBy(*cell).agg(F.count("*").alias("_n")).filter(F.col("_n") >= dense_from).select(*cell))
-    dense = null_safe_join(members, large, cell, "left_semi").groupBy(*cell).agg(F.bitmap_construct_agg("_position").alias("_bits"))
-    sparse = null_safe_join(members, large, cell, "left_anti")
-    return Rollup(keys, totals, per_student, materialize(dense), materialize(sparse))
+    dense = members.join(large, cell, "left_semi").groupBy(*cell).agg(F.bitmap_construct_agg("_position").alias("_bits"))
+    sparse = members.join(large, cell, "left_anti")
+    return Rollup(keys, totals, per_student, cells, materialize(dense), materialize(sparse))
 
 
 def students(base: Rollup, by: Sequence[str] = ()) -> DataFrame:
     """Distinct students per ``by``; without keys one row."""
     by = list(by)
-    united = base.dense.groupBy(*by, "_bucket").agg(F.bitmap_or_agg("_bits").alias("_bits"))
-    alone = null_safe_join(base.sparse.select(*by, *_CELL).distinct(), united, [*by, "_bucket"], "left")
+    dense, sparse = (t.join(base.cells.select("_cell", *by), "_cell") if by else t for t in (base.dense, base.sparse))
+    united = dense.groupBy(*by, "_bucket").agg(F.bitmap_or_agg("_bits").alias("_bits"))
+    alone = null_safe_join(sparse.select(*by, *_POSITION).distinct(), united, [*by, "_bucket"], "left")
     parts = united.select(*by, F.bitmap_count("_bits").alias("_n")).unionByName(
         alone.filter(F.col("_bits").isNull() | ~_is_set(F.col("_bits"), F.col("_position"))).select(
             *by, F.lit(1).cast("bigint").alias("_n")
@@ -190,6 +194,13 @@ def packet_tables(base: Rollup, group_cols: Sequence[str] = ()) -> dict[str, Dat
     return tables | {f"{c}_comparison": group_comparison(base, c) for c in group_cols}
 
 
+def _cells(totals: DataFrame, keys: list[str]) -> DataFrame:
+    """Every combination of the keys with a number of its own; without keys one."""
+    if not keys:
+        return totals.sparkSession.range(1, 2).withColumnRenamed("id", "_cell")
+    return running_totals(totals.select(*keys).distinct(), keys, F.lit(1).cast("bigint"), name="_cell")
+
+
 def _errors(base: Rollup, key: str) -> DataFrame:
     return figures(base, [key]).select(
         key,
@@ -202,7 +213,7 @@ def _errors(base: Rollup, key: str) -> DataFrame:
 
 def _renamed(base: Rollup, key: str, value: Column) -> Rollup:
     """The base with the values of one key replaced; values that fall together are united when rolled up."""
-    return base._replace(**{t: getattr(base, t).withColumn(key, value) for t in ("totals", "dense", "sparse")})
+    return base._replace(**{t: getattr(base, t).withColumn(key, value) for t in ("totals", "cells")})
 
 
 def _mean() -> Column:

@@ -80,3 +80,19 @@ def test_pivot_as_a_map(facts):
     assert len(maps) == len(wide)
     for item, counts in maps:
         assert {e: n for e, n in wide[item].items() if e != "rubric_item" and n} == {"null" if e == "" else e: n for e, n in counts.items()}
+
+
+def test_student_sets_hold_numbers_only(spark, facts):
+    """However long the keys, a member of a cell is three numbers."""
+    keys = ["exam_id", "rubric_item", "section_id", "concept"]
+    base = rollup.roll_up(facts, keys, 40)
+    assert base.sparse.columns == ["_cell", "_bucket", "_position"] and base.dense.columns == ["_cell", "_bucket", "_bits"]
+    assert {t for _, t in base.sparse.dtypes} == {"bigint"}
+    assert base.cells.count() == facts.select(*keys).distinct().count() == base.cells.select("_cell").distinct().count()
+    pairs = facts.filter("student_id IS NOT NULL").select(*keys, "student_id").distinct().count()
+    assert base.sparse.count() + base.dense.selectExpr("sum(bitmap_count(_bits))").first()[0] == pairs
+
+
+def test_no_keys(facts):
+    base = rollup.roll_up(facts, [], 40)
+    assert tuples(rollup.students(base)) == [(facts.select("student_id").distinct().count() - 1,)]
