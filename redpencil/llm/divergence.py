@@ -5,9 +5,10 @@ level by level: a prefix whose distinct documents are fewer than that is discard
 others are extended until only complete terms are left. Distinct documents need no full lists: a task lists each
 term's first ``LEAST_DOCS`` documents, which decides the threshold for every union of them exactly.
 
-Levels over the tables use counts alone: prefixes below which few rows lie are units, the others are extended by half
-their length, and large ones of too few documents go before any term is moved. Then terms are dealt out by unit, sorted, and
-refined further down inside the tasks. A unit has at most ``UNIT`` rows unless it is one complete term, whose rows are
+Levels over the tables use counts alone, those of short prefixes from one pass: prefixes below which few rows lie are
+units, the others are extended by half their length, and large ones of too few documents go before any term is moved. Then
+terms are dealt out by unit, sorted, and refined further down inside the tasks. Lists are moved as bytes, and a language and
+a term as one key, as Spark compares and converts these much faster than arrays and several columns. A unit has at most ``UNIT`` rows unless it is one complete term, whose rows are
 added up as they come.
 
 The pair sums over all kept terms are taken apart: what a source's terms give against a term that the other source
@@ -37,10 +38,14 @@ from redpencil.llm.words import pieces, texts
 LEAST_DOCS = 3
 TERM_RANKS = 200
 SCALE = 1_000_000_000
+# Counts below which SCALE * (count + 1) is a long.
+LONG_PRODUCTS = 9_000_000_000
 # Rows of counted terms below one prefix that a task refines at once. It grows with the table, so that the prefixes
 # above the bound are never more than LARGE_PREFIXES at a level.
 UNIT = 1 << 16
 LARGE_PREFIXES = 4096
+# Length of the prefixes that are counted once for all levels up to it.
+SHORT = 4
 # Bytes of text whose terms a task counts together, rows that are looked at together, and pairs and sums that are held
 # at once.
 BYTES_AT_ONCE = 12_000_000
@@ -52,7 +57,10 @@ SUMS_AT_ONCE = 1 << 20
 _TERM_BYTES = np.array([k if k >= 128 or 97 <= k <= 122 else k + 32 if 65 <= k <= 90 else 32 for k in range(256)], np.uint8)
 _GAP = re.compile(rb"[^A-Za-z\x80-\xff]")
 
-TERMS = "lang string, term binary, sources array<string>, counts array<bigint>, docs array<bigint>, full boolean"
+# A byte that UTF-8 does not have, between a language and a term and between the sources of a list.
+_APART = b"\xff"
+
+TERMS = "lang string, term binary, sources binary, counts binary, docs binary, full boolean"
 KEPT = "lang string, source string, term binary, n bigint, total bigint, first boolean"
 
 
@@ -72,6 +80,35 @@ def _lists(values: pa.Array, sizes: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), values)
 
 
+def _packed(values: np.ndarray, sizes: np.ndarray) -> pa.BinaryArray:
+    """Lists of long numbers as bytes, eight for each number."""
+    offsets = np.append(0, np.cumsum(sizes * 8)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(values.astype(np.int64))])
+
+
+def _joined(sources: pa.Array, sizes: np.ndarray) -> pa.BinaryArray:
+    """Lists of sources as bytes."""
+    return pc.binary_join(_lists(sources.cast(pa.binary()), sizes), _APART)
+
+
+def _numbers(packed: pa.BinaryArray) -> pa.ListArray:
+    """The lists that ``_packed`` made."""
+    sizes = pc.binary_length(packed).to_numpy() // 8
+    data = b"".join(packed.to_pylist()) if packed.buffers()[2] is None else memoryview(packed.buffers()[2])
+    start = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset] if len(packed) else 0
+    return _lists(pa.array(np.frombuffer(data, np.uint8, int(sizes.sum()) * 8, start).view(np.int64)), sizes)
+
+
+def _unpacked(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows (key, width, sources, counts, docs) as (lang, term, width, sources, counts, docs) with lists."""
+    both = pc.split_pattern(batch.column("key"), _APART, max_splits=1).flatten()
+    at = np.arange(batch.num_rows) * 2
+    columns = [both.take(pa.array(at)).cast(pa.string()), both.take(pa.array(at + 1)), batch.column("width")]
+    columns += [pc.split_pattern(batch.column("sources"), _APART).cast(pa.list_(pa.string()))]
+    columns += [_numbers(batch.column(c)) for c in ("counts", "docs")]
+    return pa.RecordBatch.from_arrays(columns, ["lang", "term", "width", "sources", "counts", "docs"])
+
+
 def _coded(documents: list[bytes]) -> tuple[pa.DictionaryArray, np.ndarray]:
     """The terms of all texts in order, as codes, and how many there are up to the end of each text."""
     data = _TERM_BYTES[np.frombuffer(b" ".join(documents), np.uint8)]
@@ -109,8 +146,8 @@ def _counted(documents: list[tuple[str, str, int, bytes]], least: int) -> Iterat
     seen = np.bincount(row[listed], minlength=len(rows))
     size = np.bincount(row[groups], minlength=len(rows))
     columns = [langs.take(pa.array(document[rows])), coded.dictionary.take(pa.array(term[rows]))]
-    columns += [_lists(sources.take(pa.array(document[groups])), size), _lists(pa.array(n), size)]
-    columns += [_lists(pa.array(numbers[document[listed]]), seen), pa.array(seen >= least)]
+    columns += [_joined(sources.take(pa.array(document[groups])), size), _packed(n, size)]
+    columns += [_packed(numbers[document[listed]], seen), pa.array(seen >= least)]
     whole = pa.RecordBatch.from_arrays(columns, ["lang", "term", "sources", "counts", "docs", "full"])
     yield from pieces(whole, ROWS_AT_ONCE)
 
@@ -118,7 +155,7 @@ def _counted(documents: list[tuple[str, str, int, bytes]], least: int) -> Iterat
 def counted_terms(docs: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
     """Rows (lang, term, sources, counts, docs, full), added up within parts of a task.
 
-    docs lists up to ``least`` documents, and ``full`` tells that it lists as many.
+    docs lists up to ``least`` documents, and ``full`` tells that it lists as many. The lists are packed.
     """
 
     def run(batches):
@@ -186,15 +223,20 @@ def _large_prefixes(terms: DataFrame, least: int, unit: int) -> tuple[list[tuple
 
     At most as many for each level as units fit the table.
     """
+    counted = lambda rows, n, *by: rows.groupBy(*by).agg(n.alias("rows"), F.max("full").alias("full"))
+    short = store(counted(terms, F.count(F.lit(1)), "lang", F.substring("term", 1, SHORT).alias("term")), "prefixes")
     levels, dead, below = [], set(), terms
     for width in _widths():
-        keyed = below.withColumn("key", _key(width))
+        # A short prefix is as long as its terms where those are not longer than the level.
+        rows, n = (short, F.sum("rows")) if width <= SHORT else (below, F.count(F.lit(1)))
         # A row that lists enough documents settles its prefix. Elsewhere all lists are complete and are counted.
-        found = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.max("full").alias("full")).filter(F.col("rows") > unit).collect()
+        found = counted(rows, n, _key(width).alias("key")).filter(F.col("rows") > unit).collect()
         open_ = {bytes(r["key"]) for r in found}
         unsettled = {bytes(r["key"]) for r in found if not r["full"]}
         if unsettled:
-            documents = keyed.filter(_among(F.col("key"), unsettled)).select("key", F.explode("docs").alias("doc")).distinct()
+            keyed = below.withColumn("key", _key(width)).filter(_among(F.col("key"), unsettled))
+            ids = F.transform(F.sequence(F.lit(1), F.octet_length("docs"), F.lit(8)), lambda at: F.substring("docs", at, F.lit(8)))
+            documents = keyed.select("key", F.explode(ids).alias("doc")).distinct()
             rare = documents.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") < least).collect()
             dead |= {bytes(r["key"]) for r in rare}
         open_ -= dead
@@ -202,7 +244,8 @@ def _large_prefixes(terms: DataFrame, least: int, unit: int) -> tuple[list[tuple
             return levels, dead
         levels.append((width, open_))
         # A complete term is not extended.
-        below = below.filter(_among(_key(width), open_) & (F.length("term") > width))
+        longer = _among(_key(width), open_) & (F.octet_length("term") > width)
+        below, short = below.filter(longer), short.filter(longer)
 
 
 def refined(terms: pa.Array, owner: np.ndarray, docs: pa.ListArray, least: int) -> np.ndarray:
@@ -250,6 +293,15 @@ def _kept_of(table: pa.Table, least: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "total", "first"])
 
 
+def _starts(table: pa.Table) -> np.ndarray:
+    """Where the units start, in rows sorted by language and term; ``width`` is the length of a row's unit."""
+    lang, term, width = (table.column(c).combine_chunks() for c in ("lang", "term", "width"))
+    new, widths = _changes(lang, width), width.to_numpy()
+    for size in np.unique(widths).tolist():
+        new |= (widths == size) & _changes(pc.binary_slice(term, 0, size))
+    return np.flatnonzero(new)
+
+
 def _shrunk(table: pa.Table, least: int) -> pa.Table:
     """The rows of one term as one row: counts added up by source, with at most ``least`` documents."""
     added: Counter = Counter()
@@ -260,7 +312,7 @@ def _shrunk(table: pa.Table, least: int) -> pa.Table:
         if len(docs) < least:
             docs.update(seen)
     first = table.slice(0, 1)
-    rows = [first.column(c).combine_chunks() for c in ("lang", "unit", "term")]
+    rows = [first.column(c).combine_chunks() for c in ("lang", "term", "width")]
     rows += [pa.array([list(added)], pa.list_(pa.string())), pa.array([list(added.values())], pa.list_(pa.int64())), pa.array([sorted(docs)[:least]], pa.list_(pa.int64()))]
     return pa.Table.from_arrays(rows, table.column_names)
 
@@ -278,18 +330,17 @@ def kept_terms(terms: DataFrame, least: int = LEAST_DOCS, unit: int = UNIT) -> D
         place = F.when(_among(_key(width), open_), place).otherwise(F.lit(width))
     prefix = F.substring("term", F.lit(1), place)
     key = F.concat(F.encode("lang", "UTF-8"), F.lit(b"\0"), prefix)
-    names = ["lang", "unit", "term", "sources", "counts", "docs"]
 
     def refine(batches):
         held, rows = [], 0
         for batch in batches:
             # Units whose end has come are solved; of the last one it is not known yet.
-            held.append(batch)
+            held.append(_unpacked(batch))
             rows += batch.num_rows
             if rows < ROWS_AT_ONCE:
                 continue
-            table = pa.Table.from_batches(held).select(names).combine_chunks()
-            starts = np.flatnonzero(_changes(table.column("lang").combine_chunks(), table.column("unit").combine_chunks()))
+            table = pa.Table.from_batches(held).combine_chunks()
+            starts = _starts(table)
             for lo, hi in zip(starts[:-1], starts[1:]):
                 yield _kept_of(table.slice(lo, hi - lo), least)
             table = table.slice(starts[-1])
@@ -297,13 +348,15 @@ def kept_terms(terms: DataFrame, least: int = LEAST_DOCS, unit: int = UNIT) -> D
                 table = _shrunk(table, least)
             held, rows = table.to_batches(), 0
         if held:
-            table = pa.Table.from_batches(held).select(names).combine_chunks()
-            starts = np.append(np.flatnonzero(_changes(table.column("lang").combine_chunks(), table.column("unit").combine_chunks())), table.num_rows)
+            table = pa.Table.from_batches(held).combine_chunks()
+            starts = np.append(_starts(table), table.num_rows)
             for lo, hi in zip(starts[:-1], starts[1:]):
                 yield _kept_of(table.slice(lo, hi - lo), least)
 
-    moved = terms.filter(~_among(key, dead)).withColumn("unit", prefix)
-    moved = moved.select(*names).repartition("lang", "unit").sortWithinPartitions("lang", "unit", "term")
+    # The terms of a unit are a range of the keys.
+    whole = F.concat(F.encode("lang", "UTF-8"), F.lit(_APART), "term")
+    moved = terms.filter(~_among(key, dead)).repartition("lang", prefix)
+    moved = moved.select(whole.alias("key"), place.alias("width"), "sources", "counts", "docs").sortWithinPartitions("key")
     return moved.mapInArrow(refine, KEPT)
 
 
@@ -312,9 +365,12 @@ def kept_terms(terms: DataFrame, least: int = LEAST_DOCS, unit: int = UNIT) -> D
 
 def _share(n: Column, tokens: Column, terms: Column) -> Column:
     """1 + floor(SCALE * (n + 1) / (tokens + terms)) without rounding; null without terms."""
+    size, n = F.nullif(tokens + terms, F.lit(0)), n.cast("bigint")
+    # Decimals are slow, and only needed where the product exceeds a long.
     exact = F.lit(SCALE).cast("decimal(12,0)") * (n + 1).cast("decimal(20,0)")
-    frame = F.call_function("div", exact, F.nullif(tokens + terms, F.lit(0)).cast("decimal(20,0)"))
-    return (frame + 1).cast("bigint")
+    large = F.call_function("div", exact, size.cast("decimal(20,0)"))
+    small = F.call_function("div", F.lit(SCALE).cast("bigint") * (n + 1), size)
+    return (F.when(n < LONG_PRODUCTS, small).otherwise(large) + 1).cast("bigint")
 
 
 def _gap(p: Column, q: Column) -> Column:
@@ -391,7 +447,7 @@ def _common_sums(kept: DataFrame) -> DataFrame:
             add(pa.Table.from_batches(held).combine_chunks())
         yield written()
 
-    rows = kept.select("lang", "source", "term", "p", "none").repartition("lang", "term").sortWithinPartitions("lang", "term")
+    rows = kept.select("lang", "source", "term", "p", "none").repartition("lang", "term").sortWithinPartitions("term", "lang")
     return rows.mapInArrow(run, shape).groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
 
 

@@ -94,6 +94,35 @@ def test_prefixes_are_discarded_with_all_below(spark):
     terms.unpersist()
 
 
+def test_lists_are_moved_as_bytes(spark):
+    """No column that is sorted or shuffled is an array, and any names and counts come back."""
+    names = ["", "a", "a\0b", "a\0", "ÿ", "漢,字", " "]
+    rows = [(k, "a ab b abcdef über " * (k % 3 + 1), names[k // 4 % 7], names[k % 7]) for k in range(84)]
+    docs = made(spark, rows)
+    assert not [t for _, t in divergence.counted_terms(docs).dtypes if t.startswith("array")]
+    for unit in (1, 10, 1000):
+        assert rows_of(divergence.divergence(docs, unit=unit)) == brute(rows)
+
+
+def test_short_prefixes_are_counted_in_one_pass(spark, monkeypatch):
+    """The levels up to four bytes read counts of prefixes, not the terms again."""
+    terms = divergence.counted_terms(made(spark, [(k, "abcdefgh abcdefgi xy ab", "en", "s") for k in range(9)], 3)).persist()
+    stored = []
+    monkeypatch.setattr(divergence, "store", lambda df, name: stored.append(df.persist()) or stored[-1])
+    levels, _ = divergence._large_prefixes(terms, 3, 2)
+    key = lambda *prefixes: {b"en\0" + p for p in prefixes}
+    assert levels == [(2, key(b"ab", b"xy")), (3, key(b"abc")), (4, key(b"abcd")), (6, key(b"abcdef")), (9, key(b"abcdefgh", b"abcdefgi"))]
+    assert len(stored) == 1 and stored[0].count() == 3
+    terms.unpersist()
+
+
+@pytest.mark.parametrize("n, tokens", [(0, 7), (8_999_999_999, 9_000_000_001), (9_000_000_000, 9_000_000_001), (10**15, 10**15 + 3)])
+def test_share_at_the_bound_of_long_products(spark, n, tokens):
+    frame = spark.createDataFrame([(n, tokens, 5)], "n bigint, tokens bigint, terms bigint")
+    got = frame.select(divergence._share(*(divergence.F.col(c) for c in frame.columns))).first()[0]
+    assert got == 1 + SCALE * (n + 1) // (tokens + 5)
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_refinement(seed):
     rng = random.Random(seed)
