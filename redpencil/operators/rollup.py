@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from redpencil.functions.text import clean, is_blank, strip
-from redpencil.operators.shared import materialize, null_safe_join, ordinals, running_totals
+from redpencil.operators.shared import dealt, materialize, null_safe_join, ordinals, running_totals
 from redpencil.schemas import empty
 
 # From 512 students on, a bitmap of 4,096 bytes is smaller than as many numbers of 8 bytes.
@@ -38,8 +38,11 @@ class Rollup(NamedTuple):
 def roll_up(df: DataFrame, keys: Sequence[str] = ("exam_id", "rubric_item"), dense_from: int = DENSE) -> Rollup:
     """The base of ``df`` for any subset of ``keys``. The facts are read once; everything else follows from their counts."""
     keys = list(keys)
+    by = [*keys, "question_id", "student_id"]
+    # Nearly all of these are distinct, so that combining them before a shuffle saves little and takes much memory.
+    lines = materialize(df.select(*by, "points_lost"))
     counts = materialize(
-        df.groupBy(*keys, "question_id", "student_id").agg(
+        dealt(lines, by).groupBy(*by).agg(
             F.count("*").alias("rows"), F.count("points_lost").alias("known"), F.sum("points_lost").alias("points")
         )
     )
@@ -48,7 +51,7 @@ def roll_up(df: DataFrame, keys: Sequence[str] = ("exam_id", "rubric_item"), den
 
     cells = materialize(_cells(totals, keys))
     numbers = ordinals(per_student.select("student_id").filter("student_id IS NOT NULL"), "student_id", "_number")
-    known = counts.filter("student_id IS NOT NULL")
+    known = dealt(counts, ["student_id"]).filter("student_id IS NOT NULL")
     seen = (null_safe_join(known, cells, keys) if keys else known.withColumn("_cell", F.lit(1).cast("bigint"))).select("student_id", "_cell").distinct()
     members = materialize(
         seen.join(numbers, "student_id").select(

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import CANONICAL_DDL, tuples
-from redpencil.operators import metrics, recommend, rollup
+from redpencil.operators import metrics, recommend, rollup, shared
 
 GROUPED_DDL = CANONICAL_DDL + ", section_id string, concept string"
 
@@ -96,3 +96,24 @@ def test_student_sets_hold_numbers_only(spark, facts):
 def test_no_keys(facts):
     base = rollup.roll_up(facts, [], 40)
     assert tuples(rollup.students(base)) == [(facts.select("student_id").distinct().count() - 1,)]
+
+
+@pytest.fixture
+def dealt(monkeypatch):
+    """The tables that are dealt over tasks, with a bound of 4,000 rows."""
+    tables, spread = [], shared.dealt
+    monkeypatch.setattr(shared, "ROWS_PER_TASK", 4_000)
+    for module in (rollup, metrics):
+        monkeypatch.setattr(module, "dealt", lambda stored, by: tables.append(spread(stored, by)) or tables[-1], raising=False)
+    return tables
+
+
+def by_item(facts):
+    return sorted(tuples(facts.groupBy("rubric_item").agg(F.count("*"), F.count_distinct("student_id"), F.sum("points_lost"), F.avg("points_lost"))))
+
+
+def test_the_base_is_grouped_in_tasks_of_few_rows(facts, dealt):
+    """However many rows there are, a task groups a bounded number of them."""
+    base = rollup.roll_up(facts, ["exam_id", "rubric_item", "section_id", "concept"])
+    assert sorted(tuples(rollup.summarize_errors(base))) == by_item(facts)
+    assert len(dealt) == 2 and all(d.rdd.getNumPartitions() == -(-d.count() // 4_000) > 2 for d in dealt)
