@@ -117,3 +117,9 @@ def test_the_base_is_grouped_in_tasks_of_few_rows(facts, dealt):
     base = rollup.roll_up(facts, ["exam_id", "rubric_item", "section_id", "concept"])
     assert sorted(tuples(rollup.summarize_errors(base))) == by_item(facts)
     assert len(dealt) == 2 and all(d.rdd.getNumPartitions() == -(-d.count() // 4_000) > 2 for d in dealt)
+
+
+def test_item_totals_are_grouped_in_tasks_of_few_rows(facts, dealt):
+    assert sorted(tuples(metrics.errors_by_item(facts))) == by_item(facts)
+    assert len(dealt) == 1 and dealt[0].rdd.getNumPartitions() == -(-dealt[0].count() // 4_000) > 2
+    assert metrics.errors_by_item(facts.limit(0)).isEmpty() and dealt[1].rdd.getNumPartitions() == 1
