@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from redpencil.functions.exams import sort_keys
 from redpencil.functions.text import is_blank, strip
-from redpencil.operators.shared import dealt, materialize, medians, null_safe_join
+from redpencil.operators.shared import ROWS_PER_FILE, dealt, materialize, medians, null_safe_join
 from redpencil.schemas import empty
 
 
@@ -120,7 +120,7 @@ def errors_by_item(df: DataFrame) -> DataFrame:
     Nearly every (item, student) is distinct, so that combining them before a shuffle saves little and holds a large table
     next to the joins of ``df``. The three columns used are stored and dealt over tasks of few rows instead.
     """
-    lines = dealt(materialize(df.select("rubric_item", "student_id", "points_lost")), ["rubric_item", "student_id"])
+    lines = dealt(materialize(df.select("rubric_item", "student_id", "points_lost"), ROWS_PER_FILE), ["rubric_item", "student_id"])
     return lines.groupBy("rubric_item").agg(
         F.count("*").alias("count_rows"),
         F.count_distinct("student_id").alias("students_affected"),

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from redpencil.functions.text import clean, is_blank, strip
-from redpencil.operators.shared import dealt, materialize, null_safe_join, ordinals, running_totals
+from redpencil.operators.shared import ROWS_PER_FILE, dealt, materialize, null_safe_join, ordinals, running_totals
 from redpencil.schemas import empty
 
 # From 512 students on, a bitmap of 4,096 bytes is smaller than as many numbers of 8 bytes.
@@ -40,11 +40,12 @@ def roll_up(df: DataFrame, keys: Sequence[str] = ("exam_id", "rubric_item"), den
     keys = list(keys)
     by = [*keys, "question_id", "student_id"]
     # Nearly all of these are distinct, so that combining them before a shuffle saves little and takes much memory.
-    lines = materialize(df.select(*by, "points_lost"))
+    lines = materialize(df.select(*by, "points_lost"), ROWS_PER_FILE)
     counts = materialize(
         dealt(lines, by).groupBy(*by).agg(
             F.count("*").alias("rows"), F.count("points_lost").alias("known"), F.sum("points_lost").alias("points")
-        )
+        ),
+        ROWS_PER_FILE,
     )
     totals = materialize(counts.groupBy(*keys, "question_id").agg(*(F.sum(c).alias(c) for c in ("rows", "known", "points"))))
     per_student = materialize(counts.groupBy("student_id").agg(F.sum("points").alias("points")))
